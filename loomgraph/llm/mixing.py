@@ -46,29 +46,33 @@ def solve(hist: DataFrame, targets: DataFrame, max_repeat: int, steps: int = 60,
     Newton steps on the logarithm of the constraint, kept in a bracket; every step is one
     aggregation of the (source, size) histogram, so its cost is that of the distinct sizes.
     """
-    state = targets.withColumns({"mean": F.col("source_size") / F.col("source_docs"), "tilt": F.lit(0.0), "lo": F.lit(-1e6), "hi": F.lit(1e6), "gap": F.lit(1.0)})
-    state = cut(state)
+    kept = ["source_size", "source_docs", "target", "mean", "tilt", "lo", "hi"]
+    state = targets.withColumns({"mean": F.col("source_size") / F.col("source_docs"), "tilt": F.lit(0.0), "lo": F.lit(-1e6), "hi": F.lit(1e6)})
+    state = cut(state.withColumnRenamed("source", "s"))
+    top = F.lit(float(max_repeat))
     x = F.col("size") / F.col("mean")
-    for _ in range(steps):
-        u = F.col("tilt") * x
-        rate = F.when(u >= F.log(F.lit(float(max_repeat))), F.lit(float(max_repeat))).otherwise(F.exp(u))
-        slope = F.when(u >= F.log(F.lit(float(max_repeat))), F.lit(0.0)).otherwise(F.exp(u) * x)
-        moments = (
-            hist.where("size > 0").withColumnRenamed("source", "s").join(state, F.col("s").eqNullSafe(F.col("source")))
-            .groupBy("source").agg(F.sum(F.col("n") * F.col("size") * rate).alias("m"), F.sum(F.col("n") * F.col("size") * slope).alias("dm"))
-            .withColumnRenamed("source", "s")
+    u = F.col("tilt") * x
+    rate = F.when(u >= F.log(top), top).otherwise(F.exp(u))
+    slope = F.when(u >= F.log(top), F.lit(0.0)).otherwise(F.exp(u) * x)
+    for turn in range(1, steps + 1):
+        new = hist.join(state, F.col("source").eqNullSafe(F.col("s"))).groupBy("source").agg(
+            F.sum(F.col("n") * F.col("size") * F.coalesce(rate, F.lit(0.0))).alias("m"),
+            F.sum(F.col("n") * F.col("size") * F.coalesce(slope, F.lit(0.0))).alias("dm"),
+            *[F.first(c).alias(c) for c in kept],
         )
-        new = state.join(moments, F.col("s").eqNullSafe(F.col("source")), "left").drop("s")
         new = new.withColumn("lo", F.when(F.col("m") < F.col("target"), F.col("tilt")).otherwise(F.col("lo")))
         new = new.withColumn("hi", F.when(F.col("m") > F.col("target"), F.col("tilt")).otherwise(F.col("hi")))
         step = F.col("tilt") + F.when((F.col("dm") > 0) & (F.col("m") > 0), F.log(F.col("target") / F.col("m")) * F.col("m") / F.col("dm"))
         inside = step.isNotNull() & (step > F.col("lo")) & (step < F.col("hi"))
         middle = F.when(F.col("lo") <= -1e6, F.least(F.col("tilt") * 2, F.col("tilt") - 1)).when(F.col("hi") >= 1e6, F.greatest(F.col("tilt") * 2, F.col("tilt") + 1)).otherwise((F.col("lo") + F.col("hi")) / 2)
-        gap = F.coalesce(F.abs(F.col("m") / F.col("target") - 1), F.lit(0.0))
+        gap = F.when(F.col("target") > 0, F.abs(F.col("m") / F.col("target") - 1)).otherwise(0.0)
         new = new.withColumn("gap", gap).withColumn("tilt", F.when(F.col("gap") <= tolerance, F.col("tilt")).when(inside, step).otherwise(middle))
-        state = cut(new.drop("m", "dm"))
-        if (state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
-            break
+        state = new.drop("m", "dm").withColumnRenamed("source", "s")
+        if turn % 6 == 0:
+            state = cut(state)
+            if (state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
+                break
+    state = state.withColumnRenamed("s", "source")
     return state.select("source", "source_size", "source_docs", "target", "mean", "tilt")
 
 
