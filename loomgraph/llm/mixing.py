@@ -54,7 +54,7 @@ def solve(hist: DataFrame, targets: DataFrame, max_repeat: int, steps: int = 60,
     u = F.col("tilt") * x
     rate = F.when(u >= F.log(top), top).otherwise(F.exp(u))
     slope = F.when(u >= F.log(top), F.lit(0.0)).otherwise(F.exp(u) * x)
-    for turn in range(1, steps + 1):
+    for _ in range(steps):
         new = hist.join(state, F.col("source").eqNullSafe(F.col("s"))).groupBy("source").agg(
             F.sum(F.col("n") * F.col("size") * F.coalesce(rate, F.lit(0.0))).alias("m"),
             F.sum(F.col("n") * F.col("size") * F.coalesce(slope, F.lit(0.0))).alias("dm"),
@@ -67,11 +67,9 @@ def solve(hist: DataFrame, targets: DataFrame, max_repeat: int, steps: int = 60,
         middle = F.when(F.col("lo") <= -1e6, F.least(F.col("tilt") * 2, F.col("tilt") - 1)).when(F.col("hi") >= 1e6, F.greatest(F.col("tilt") * 2, F.col("tilt") + 1)).otherwise((F.col("lo") + F.col("hi")) / 2)
         gap = F.when(F.col("target") > 0, F.abs(F.col("m") / F.col("target") - 1)).otherwise(0.0)
         new = new.withColumn("gap", gap).withColumn("tilt", F.when(F.col("gap") <= tolerance, F.col("tilt")).when(inside, step).otherwise(middle))
-        state = new.drop("m", "dm").withColumnRenamed("source", "s")
-        if turn % 6 == 0:
-            state = cut(state)
-            if (state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
-                break
+        state = cut(new.drop("m", "dm").withColumnRenamed("source", "s"))
+        if (state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
+            break
     state = state.withColumnRenamed("s", "source")
     return state.select("source", "source_size", "source_docs", "target", "mean", "tilt")
 
