@@ -26,7 +26,8 @@ def discounts(counts: dict[int, int], k: int = K) -> dict[int, float]:
 
 
 def _ratio(c, d: dict[int, float]):
-    col = F.lit(1.0)
+    # Above K the counts are reliable but for half a count, so that every history frees some mass.
+    col = 1 - 0.5 / c
     for r, v in d.items():
         col = F.when(c == r, F.lit(v)).otherwise(col)
     return col

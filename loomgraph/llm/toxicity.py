@@ -14,6 +14,10 @@ from .common import UPPER, WORD_RE, map_columns, table
 #: Labelled rows per class that the classifier is fitted on, the least by hash of doc_id and text.
 FIT_ROWS = 3_000
 DISCOUNT = 0.75
+#: Deviations that make a count tell the classes apart.
+SIGMAS = 3.0
+#: The ratio is divided by this power of the number of words.
+LENGTH = 1.0
 STRIP = ".,;:!?\"'()[]"
 
 
@@ -24,13 +28,12 @@ def tokens(text: str | None) -> list[str]:
 @dataclass
 class Model:
     """Ids of the words that two or more fitted texts hold (0: all others, and the start), the
-    log-likelihood ratio of each word by backoff and of each seen bigram, and the calibration."""
+    log-likelihood ratio of each word by backoff and of each telling bigram, and the calibration."""
 
     ids: dict[str, int]
     unigram: np.ndarray
     keys: np.ndarray
     ratio: np.ndarray
-    back: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
 
@@ -39,16 +42,13 @@ class Model:
         return np.fromiter((self.ids.get(w, 0) for w in found), np.int64, len(found))
 
     def mean_ratio(self, text: str | None) -> float:
-        """Mean over the words of ln P(word | toxic) - ln P(word | ordinary); 0 without words."""
+        """Length-normalised ln P(text | toxic) - ln P(text | ordinary); 0 without words."""
         w = self.encode(text)
         if not len(w):
             return 0.0
-        v = np.r_[0, w[:-1]]
-        key = v * (len(self.ids) + 1) + w
+        key = np.r_[0, w[:-1]] * (len(self.ids) + 1) + w
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        p = np.exp(self.back[:, v]) * self.unigram[:, w]
-        p = p + np.where(self.keys[at] == key, self.ratio[:, at], 0.0)
-        return float((np.log(p[1]) - np.log(p[0])).mean())
+        return float(np.where(self.keys[at] == key, self.ratio[at], self.unigram[w]).sum() / len(w) ** LENGTH)
 
     def score(self, text: str | None) -> float:
         z = self.slope * self.mean_ratio(text) + self.shift
@@ -87,7 +87,27 @@ def _fit(texts: list[str], labels: np.ndarray) -> Model:
         back[label] = np.where(after > 0, np.log(np.maximum(DISCOUNT * kinds, 1e-12) / np.maximum(after, 1)), 0.0)
         if len(k):
             seen[label][np.searchsorted(keys, k)] = np.maximum(c - DISCOUNT, 0) / after[k // size]
-    return Model(ids, unigram, keys, seen, back)
+    # Where the classes' counts agree with the shared ones up to chance, both back off to these.
+    own = [np.bincount((k % size).astype(np.int64), minlength=size).astype(float) for k, _ in pairs]
+    word_ratio = np.where(_apart(own[0], own[1]), np.log(unigram[1] / unigram[0]), 0.0)
+    counts = np.zeros((2, len(keys)))
+    for label, (k, c) in enumerate(pairs):
+        if len(k):
+            counts[label][np.searchsorted(keys, k)] = c
+    told = _apart(counts[0], counts[1])
+    keys, v, w = keys[told], keys[told] // size, keys[told] % size
+    p = np.exp(back[:, v]) * unigram[:, w] + seen[:, told]
+    ratio = np.log(p[1] / p[0])
+    if not len(keys):
+        keys, ratio = np.array([-1]), np.zeros(1)
+    return Model(ids, word_ratio, keys, ratio)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the counts differ from the classes' overall shares by SIGMAS standard deviations."""
+    share = b.sum() / max(a.sum() + b.sum(), 1)
+    expected = (a + b) * share
+    return np.abs(b - expected) >= SIGMAS * np.sqrt(expected + 1)
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
