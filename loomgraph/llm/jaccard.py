@@ -15,7 +15,7 @@ BITS = 2048
 #: Logarithmic step of the size bands.
 STEP = 0.325
 #: Rounds in which a tile compares its smallest document with the others; then all that is left.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,7 +145,6 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
         return map_columns(near.drop("n", "m").join(one, "a").join(two, "b"), ["a", "b", "n", "x", "s", "m", "y", "t"], test, f"a {kind}, b {kind}")
 
     state = cut(wanted.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("comp")))
-    edges = None
     for turn in range(LEADER_ROUNDS + 1):
         members = tiles.join(state, F.col("rep") == F.col("node")).select("key", "rep", "comp")
         open_keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("a")).where("lo < hi")
@@ -157,9 +156,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
         if pairs.isEmpty() and turn == LEADER_ROUNDS:
             break
         new = cut(verify(pairs))
-        edges = new if edges is None else cut(edges.union(new))
-        comps = components(edges)
-        state = cut(wanted.join(comps, F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("node"), F.coalesce("comp", "doc_id").alias("comp")))
+        if not new.isEmpty():
+            # Only the components that the new links join have to be labelled anew.
+            ends = new.join(state.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(state.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
+            joined = components(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            joined = joined.select(F.col("node").alias("old"), F.col("comp").alias("now"))
+            state = cut(state.join(joined, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("now", "comp").alias("comp")))
         if turn < LEADER_ROUNDS:
             tiles = cut(tiles.join(open_keys.select("key", "a"), "key").where("rep <> a").drop("a"))
     # Documents join their class by digest; AQE splits the partition of a very large class.

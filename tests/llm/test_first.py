@@ -88,11 +88,11 @@ def brute_components(rows, width=4):
 
 
 def test_jaccard_matches_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
     base = ("w%d " * 400) % tuple(range(400))
-    near = [(10_000 + k, base.replace(f"w{k * 3} ", f"z{k} ").replace(f"w{k * 3 + 30} ", f"y{k} ")) for k in range(60)]
-    drift = [(20_000 + k, " ".join(f"v{j}" for j in range(k * 4, k * 4 + 100))) for k in range(40)]
+    near = [(10_000 + k, base.replace(f"w{k * 3} ", f"z{k} ").replace(f"w{k * 3 + 30} ", f"y{k} ")) for k in range(30)]
+    drift = [(20_000 + k, " ".join(f"v{j}" for j in range(k * 4, k * 4 + 100))) for k in range(8)]
     short = [(30_000 + k, " ".join(["q"] * (k + 1))) for k in range(12)]
     every = rows + near + drift + short
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(every, "doc_id long, text string")).collect()}
