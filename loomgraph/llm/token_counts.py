@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import json
 import re
 from functools import lru_cache
@@ -9,10 +10,13 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_columns, table
+from .common import WORD_RE, map_columns, table
 
-#: Distinct pre-tokens whose counts a worker keeps; past it the store starts anew.
+#: Distinct chunks whose counts a worker keeps, and their longest; past it the store starts anew.
 KEPT = 500_000
+LONGEST_KEPT = 64
+#: Characters of the texts whose chunks are held at a time (a longer text is a block of its own).
+BLOCK = 4_000_000
 
 
 class Merger:
@@ -69,19 +73,39 @@ class Merger:
             flat, seq = flat[~done], seq[~done]
         return count
 
-    def counts(self, texts: list[str | None]) -> list[int]:
-        found, extra = [], []
-        for text in texts:
-            parts = self.special.split(text) if text else []
-            extra.append(max(0, len(parts) - 1))
+    def measure(self, chunks: list[str]) -> list[int]:
+        """Tokens of each chunk; special strings count one and are cut out first."""
+        extra, found = [], []
+        for chunk in chunks:
+            parts = self.special.split(chunk)
+            extra.append(len(parts) - 1)
             found.append([w for part in parts if part for w, _ in self.pre.pre_tokenize_str(self.normal.normalize_str(part))])
-        if len(self.store) > KEPT:
-            self.store.clear()
-        new = list({w for words in found for w in words if w not in self.store})
-        if new:
-            self.store.update(zip(new, self.merge(new).tolist()))
-        get = self.store.__getitem__
-        return [n + sum(map(get, words)) for n, words in zip(extra, found)]
+        distinct = list({w for pre in found for w in pre})
+        left = dict(zip(distinct, self.merge(distinct).tolist()))
+        return [n + sum(map(left.__getitem__, pre)) for n, pre in zip(extra, found)]
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """Tokens of each text, as the sum over its chunks between ASCII white space.
+
+        Neither a pre-token nor a special string holds white space, and no normal form joins
+        characters over it, so chunks count on their own; a chunk seen before is looked up.
+        """
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size < BLOCK:
+                size += len(texts[end] or "")
+                end += 1
+            found = [WORD_RE.findall(t) if t else [] for t in texts[at:end]]
+            if len(self.store) > KEPT:
+                self.store.clear()
+            new = list({w for chunks in found for w in chunks} - self.store.keys())
+            known = dict(zip(new, self.measure(new)))
+            self.store.update((w, n) for w, n in known.items() if len(w) <= LONGEST_KEPT)
+            known = collections.ChainMap(self.store, known) if any(len(w) > LONGEST_KEPT for w in new) else self.store
+            out += [sum(map(known.__getitem__, chunks)) for chunks in found]
+            at = end
+        return out
 
 
 @lru_cache(2)
