@@ -29,10 +29,14 @@ def induced(egos: DataFrame, arcs: DataFrame) -> DataFrame:
     return one.join(arcs.distinct(), "src").join(two, ["center", "dst"]).select("center", "src", "dst", "sdepth", "ddepth")
 
 
-def outward_paths(nodes: DataFrame, egos: DataFrame, arcs: DataFrame, radius: int) -> DataFrame:
-    """(center, path): distinct label sequences of radius hops, each hop one deeper."""
+def outward_paths(nodes: DataFrame, egos: DataFrame, arcs: DataFrame, radius: int, labels: DataFrame | None = None) -> DataFrame:
+    """(center, path): distinct label sequences of radius hops from nodes, each hop one deeper.
+
+    labels(id, label) names all nodes where `nodes` are only some centres.
+    """
+    labels = nodes if labels is None else labels
     out = induced(egos, arcs).where("ddepth = sdepth + 1").select("center", "src", "dst")
-    out = out.join(nodes.select(F.col("id").alias("dst"), F.col("label").alias("next")), "dst")
+    out = out.join(labels.select(F.col("id").alias("dst"), F.col("label").alias("next")), "dst")
     paths = nodes.select(F.col("id").alias("center"), F.col("id").alias("node"), F.array("label").alias("path"))
     for _ in range(radius):
         paths = paths.join(out, (paths["center"] == out["center"]) & (F.col("node") == F.col("src"))).select(paths["center"], F.col("dst").alias("node"), F.concat("path", F.array("next")).alias("path")).distinct()

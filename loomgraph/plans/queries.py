@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import base_slots, entropy, linear_decay
 from ..operators import graph as G
+from ..operators import patterns as P
 
 
 def chain(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -44,6 +45,21 @@ def _compat(nodes, arcs):
     return G.compatible(ids.select("id", F.explode("paths").alias("path")))
 
 
+
+def _numbered(f):
+    """The chain with its edges numbered by their ends, for what depends on the order of edges."""
+
+    def run(spark, sf):
+        nodes, edges = chain(spark, sf)
+        return f(nodes, P.ordered_arcs(edges.withColumn("seq", F.col("src"))))
+
+    return run
+
+
+def _patterns(radius):
+    return _numbered(lambda n, a: P.extract_patterns(n, a, radius).select("pattern_id", "center_label", "frequency", "center_degree"))
+
+
 QUERIES = {
     "graph_nodes": _with(lambda n, a: n),
     "graph_arcs": _with(lambda n, a: a),
@@ -54,12 +70,21 @@ QUERIES = {
     "center_degree": _with(lambda n, a: G.ego(n, a, 1).groupBy("center").agg(F.count_if(F.col("depth") == 1).alias("degree"))),
     "outward_paths": _with(_label_paths),
     "compatible_patterns": _with(_compat),
+    "patterns_r1": _patterns(1),
+    "patterns_r2": _patterns(2),
+    "compatibility_by_radius": _numbered(lambda n, a: P.compatibility(n, a, 2)[0]),
+    "compatibility_keys": _numbered(lambda n, a: P.compatibility(n, a, 2)[1]),
     "resource_allocation": _with(lambda n, a: G.resource_allocation(a)),
     "label_entropy": _with(lambda n, a: n.groupBy("label").agg(F.count("*").alias("c")).agg(F.round(entropy(F.array_sort(F.collect_list("c"))), 9).alias("entropy"))),
     "linear_decay": lambda s, sf: s.read.parquet(f"{sf}/customer.parquet").select("c_custkey", F.round(linear_decay(F.col("c_acctbal") / 5000), 6).alias("decay")),
     "base_slots": _with(lambda n, a: a.groupBy("src").agg(F.count("*").alias("degree")).withColumn("slots", base_slots(F.col("degree"), F.lit(1000), F.lit(700)).cast("long"))),
 }
 
+# A chain's ego is its centre and two arms, so a pattern is a label and an unordered pair of arms.
+CHAIN = "l as (select o_orderkey id, o_custkey k, o_orderdate t, cast(substr(o_orderpriority,1,1) as int) l from orders), c as (select id, l, lag(l) over w p1, lag(l,2) over w p2, lead(l) over w n1, lead(l,2) over w n2 from l window w as (partition by k order by t, id)), a1 as (select id, l, coalesce(p1,0) x, coalesce(n1,0) y from c), a2 as (select id, l, coalesce(p1*10+coalesce(p2,0),0) x, coalesce(n1*10+coalesce(n2,0),0) y from c), g1 as (select min(id) id, l, least(x,y) x, greatest(x,y) y, count(*) n from a1 group by l, least(x,y), greatest(x,y)), g2 as (select min(id) id, l, least(x,y) x, greatest(x,y) y, count(*) n from a2 group by l, least(x,y), greatest(x,y))"
+DICT = "select id pattern_id, l center_label, n frequency, cast(x>0 as bigint)+cast(y>0 as bigint) center_degree from "
+PAIRS = f"with {CHAIN}, p as (select 1 radius, id, l*10+x f, x*10+l b from g1 where x>0 union select 1, id, l*10+y, y*10+l from g1 where y>0 union select 2, id, l*100+x, (x%10)*100+(x//10)*10+l from g2 where x%10>0 union select 2, id, l*100+y, (y%10)*100+(y//10)*10+l from g2 where y%10>0) "
+
 ORACLES = {
     "graph_nodes": PRE + "select * from nodes",
     "graph_arcs": PRE + "select src, dst from edges union all select dst, src from edges",
@@ -70,6 +95,10 @@ ORACLES = {
     "center_degree": PRE + "select id center, (select count(*) from arcs where src=id and dst<>id) degree from nodes",
     "outward_paths": PRE + "select distinct x.center, concat(c.label, ',', m.label, ',', o.label) path from ind x join ind y on x.center=y.center and x.dst=y.src and x.sdepth=0 and x.ddepth=1 and y.ddepth=2 join nodes c on c.id=x.center join nodes m on m.id=x.dst join nodes o on o.id=y.dst",
     "compatible_patterns": PRE + ", p as (select distinct a.src center, c.label*10+o.label p, o.label*10+c.label r from arcs a join nodes c on c.id=a.src join nodes o on o.id=a.dst), k as (select center, list_sort(list(p)) ps from p group by 1), ids as (select min(center) id, ps from k group by ps), u as (select id, unnest(ps) p from ids) select distinct x.id a, y.id b from u x join u y on x.p = (y.p % 10)*10 + y.p//10 where x.id<>y.id",
+    "patterns_r1": f"with {CHAIN} {DICT} g1",
+    "patterns_r2": f"with {CHAIN} {DICT} g2",
+    "compatibility_by_radius": PAIRS + "select distinct u.radius, u.id a, v.id b from p u join p v on u.radius=v.radius and u.f=v.b and u.id<>v.id",
+    "compatibility_keys": f"with {CHAIN} select 1 radius, id a from g1 union all select 2, id from g2",
     "resource_allocation": PRE + ", d as (select src m, count(*) deg from arcs group by 1) select x.dst u, y.dst v, round(sum(1.0/deg),6) score from arcs x join arcs y on x.src=y.src and x.dst<y.dst join d on d.m=x.src group by all",
     "label_entropy": PRE + ", c as (select count(*) c from nodes group by label) select round(-sum(c/t*ln(c/t)),9) entropy from c, (select sum(c) t from c)",
     "linear_decay": "select c_custkey, round(least(1.0, greatest(0.0, (1.1 - c_acctbal/5000)/(1.1-1.0))),6) decay from customer",
