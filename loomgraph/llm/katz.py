@@ -10,6 +10,9 @@ from .common import cut, lower_ascii, table, words
 END = "\n"  # no word holds white space
 #: Counts up to this are discounted.
 K = 5
+#: Most pairs that are broadcast, and their longest, in characters.
+HOT = 50_000
+HOT_CHARS = 200
 
 
 def discounts(counts: dict[int, int], k: int = K) -> dict[int, float]:
@@ -34,7 +37,7 @@ def _ratio(c, d: dict[int, float]):
 
 
 def _pairs(docs: DataFrame) -> DataFrame:
-    """docs' rows with `prev`, `word` and `n`, the number of times the text has the pair.
+    """docs' rows with `prev` and `word`, one row per token of the text.
 
     The start of a text is the same history as the end of one.
     """
@@ -48,37 +51,36 @@ def score(docs: DataFrame, held) -> DataFrame:
 
     Learns from the rows where `held` is false; a null text is empty and has the end token only.
     Repeated rows each get a result, null ids included. Without training rows every probability is
-    that of the smoothed count 0. Bigram and unigram tables are hashed over the cluster; tokens
-    meet them by shuffled joins, so no table has to fit one machine.
+    that of the smoothed count 0. Every distinct pair is scored once, in tables hashed over the
+    cluster. Pairs that make up at least 1 / HOT of all tokens, of which there are HOT at most,
+    reach the tokens by broadcast; only the tokens of rarer pairs are shuffled.
     """
     rows = cut(docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out"), F.monotonically_increasing_id().alias("row")))
     pairs = _pairs(rows)
-    grams = cut(pairs.where("not held_out").groupBy("prev", "word").agg(F.count("*").alias("c")))
-    unigrams = cut(grams.groupBy("word").agg(F.sum("c").alias("cw")))
+    grams = cut(pairs.groupBy("prev", "word").agg(F.count_if(~F.col("held_out")).alias("c"), F.count("*").alias("n_all")))
+    unigrams = cut(grams.where("c > 0").groupBy("word").agg(F.sum("c").alias("cw")))
     total, kinds = unigrams.agg(F.coalesce(F.sum("cw"), F.lit(0)), F.count("*")).first()
+    tokens = grams.agg(F.coalesce(F.sum("n_all"), F.lit(0))).first()[0]
     d1 = discounts({r[0]: r[1] for r in unigrams.where(f"cw <= {K + 1}").groupBy("cw").count().collect()})
-    d2 = discounts({r[0]: r[1] for r in grams.where(f"c <= {K + 1}").groupBy("c").count().collect()})
+    d2 = discounts({r[0]: r[1] for r in grams.where(f"c between 1 and {K + 1}").groupBy("c").count().collect()})
     # Unigrams: discounted, the freed mass shared by one place for all unseen words.
     uni = unigrams.select("word", "cw", (_ratio(F.col("cw"), d1) * F.col("cw") / float(max(total, 1))).alias("p1"))
     seen = uni.agg(F.coalesce(F.sum("p1"), F.lit(0.0))).first()[0]
     unseen = max(1 - seen, 1e-12)
     # Bigrams: discounted; alpha makes the words not seen after a history sum to the freed mass.
-    hist = grams.groupBy("prev").agg(F.sum("c").alias("ch"))
-    big = grams.join(uni.select("word", "p1"), "word").join(hist, "prev").withColumn("p2", _ratio(F.col("c"), d2) * F.col("c") / F.col("ch"))
-    big = cut(big.select("prev", "word", "p1", "p2"))
-    alpha = big.groupBy("prev").agg(F.sum("p2").alias("s2"), F.sum("p1").alias("s1"))
+    hist = grams.where("c > 0").groupBy("prev").agg(F.sum("c").alias("ch"))
+    big = grams.join(uni, "word", "left").join(hist, "prev", "left")
+    big = cut(big.withColumn("p2", F.when(F.col("c") > 0, _ratio(F.col("c"), d2) * F.col("c") / F.col("ch"))))
+    alpha = big.where("c > 0").groupBy("prev").agg(F.sum("p2").alias("s2"), F.sum("p1").alias("s1"))
     alpha = alpha.select("prev", (F.greatest(1 - F.col("s2"), F.lit(1e-12)) / F.greatest(1 - F.col("s1"), F.lit(1e-12))).alias("alpha"))
-    table2 = big.select("prev", "word", F.log10("p2").alias("lp2"))
     log_base = F.log10((F.coalesce("cw", F.lit(0)) + 0.5) / (total + 0.5 * (kinds + 1)))
-    tokens = pairs.groupBy("row", "prev", "word").agg(F.count("*").alias("n"))
-    found = tokens.join(table2, ["prev", "word"], "left").join(uni, "word", "left").join(alpha, "prev", "left")
-    logp = F.coalesce("lp2", F.log10(F.coalesce("alpha", F.lit(1.0))) + F.log10(F.coalesce("p1", F.lit(unseen))))
-    sums = found.groupBy("row").agg(
-        F.sum("n").alias("n_tokens"),
-        F.coalesce(F.sum(F.when(F.col("cw") > 0, F.col("n"))), F.lit(0)).alias("n_known"),
-        F.sum(F.col("n") * log_base).alias("base_score"),
-        F.sum(F.col("n") * logp).alias("score"),
-    )
+    logp = F.coalesce(F.log10("p2"), F.log10(F.coalesce("alpha", F.lit(1.0))) + F.log10(F.coalesce("p1", F.lit(unseen))))
+    hot = (F.col("n_all") * HOT >= tokens) & (F.length("prev") + F.length("word") <= HOT_CHARS)
+    scored = cut(big.join(alpha, "prev", "left").select("prev", "word", hot.alias("hot"), F.coalesce(F.col("cw") > 0, F.lit(False)).alias("known"), log_base.alias("lb"), logp.alias("lp")))
+    marked = pairs.select("row", "prev", "word").join(F.broadcast(scored.where("hot").drop("hot")), ["prev", "word"], "left")
+    rare = marked.where("lp is null").select("row", "prev", "word").join(scored.where("not hot").drop("hot"), ["prev", "word"])
+    each = [df.select("row", "known", "lb", "lp") for df in (marked.where("lp is not null"), rare)]
+    sums = each[0].union(each[1]).groupBy("row").agg(F.count("*").alias("n_tokens"), F.count_if("known").alias("n_known"), F.sum("lb").alias("base_score"), F.sum("lp").alias("score"))
     out = rows.select("row", "doc_id", "held_out").join(sums, "row")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
