@@ -99,3 +99,12 @@ def test_pieces_round_trip(spark):
 @pytest.mark.parametrize("name", ["op5_secrets", "op7_token_counts"])
 def test_registered(spark, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_katz_rare_pairs_score_like_frequent_ones(spark, monkeypatch):
+    from loomgraph.llm import katz
+
+    frequent = sorted(map(str, [(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in katz.op9_katz(spark, "/root/testdata/sf0.001").collect()]))
+    monkeypatch.setattr(katz, "HOT", 20)
+    rare = sorted(map(str, [(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in katz.op9_katz(spark, "/root/testdata/sf0.001").collect()]))
+    assert rare == frequent
