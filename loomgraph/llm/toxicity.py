@@ -110,14 +110,15 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.abs(b - expected) >= SIGMAS * np.sqrt(expected + 1)
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression on one feature with a light ridge, by Newton steps."""
+def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Weighted logistic regression on one feature with a light ridge, by Newton steps."""
     scale = x.std() or 1.0
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x / scale + b, -30, 30)))
-        g = np.array([((p - y) * x / scale).sum() + 0.1 * a, (p - y).sum() + 0.001 * b])
-        q = p * (1 - p)
+        d = weight * (p - y)
+        g = np.array([(d * x / scale).sum() + 0.1 * a, d.sum() + 0.001 * b])
+        q = weight * p * (1 - p)
         h = np.array([[(q * x * x).sum() / scale**2 + 0.1, (q * x).sum() / scale], [(q * x).sum() / scale, q.sum() + 0.001]])
         step = np.clip(np.linalg.solve(h, g), -2, 2)
         a, b = a - step[0], b - step[1]
@@ -126,8 +127,12 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a / scale, b
 
 
-def train(rows: list[tuple[str | None, int]]) -> Model:
-    """Fits on all rows; the calibration comes from three folds that each leave their texts out."""
+def train(rows: list[tuple[str | None, int]], stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Fits on all rows; the calibration comes from three folds that each leave their texts out.
+
+    A row of class k counts in the calibration as the stands_for[k] labelled rows it was drawn from,
+    so that the scores keep the labels' class shares when a class is sampled.
+    """
     texts = [t or "" for t, _ in rows]
     y = np.array([t for _, t in rows], float)
     if not len(y) or y.min() == y.max():
@@ -140,7 +145,7 @@ def train(rows: list[tuple[str | None, int]]) -> Model:
         part = _fit([t for t, f in zip(texts, fold) if f != k], y[fold != k])
         x[fold == k] = [part.mean_ratio(t) for t, f in zip(texts, fold) if f == k]
     model = _fit(texts, y)
-    model.slope, model.shift = _calibrate(x, y)
+    model.slope, model.shift = _calibrate(x, y, np.where(y == 1, stands_for[1], stands_for[0]))
     return model
 
 
@@ -155,12 +160,18 @@ def held_out():
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """The model of the labelled rows that are not held out, at most `rows` of each class."""
+    """The model of the labelled rows that are not held out, at most `rows` of each class.
+
+    The calibration is to the class shares of all of them.
+    """
     known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").dropDuplicates(["doc_id"])
     known = known.where(~F.coalesce(held_out(), F.lit(True)))
+    count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    stands_for = tuple(max(1.0, count.get(k, 0) / rows) for k in (0, 1))
     take = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
     some = docs.select("doc_id", "text").join(F.broadcast(take[0].union(take[1])), "doc_id")
-    return train([(r.text, r.toxic) for r in some.dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic").collect()])
+    drawn = some.dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic").collect()
+    return train([(r.text, r.toxic) for r in drawn], stands_for)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
