@@ -7,6 +7,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -25,6 +26,12 @@ URL_RUN = re.compile(r"(?:[A-Za-z0-9_.~+/=:&?-]|%[0-9A-Fa-f]{2})*%[0-9A-Fa-f]{2}
 ESCAPE_RUN = re.compile(r"(?:[!-\[\]-~]|\\u[0-9A-Fa-f]{4})*\\u[0-9A-Fa-f]{4}(?:[!-\[\]-~]|\\u[0-9A-Fa-f]{4})*")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
+#: A base64 run and the whole or last lines that carry it on.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
+PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: What of the text beside a run a pattern can take up, read away from the run on either side.
+VALUE, QUOTE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), frozenset("\"'")
+BESIDE = (VALUE, False), (QUOTE, True), (frozenset(" "), False), (frozenset(":="), True), (frozenset(" "), False), (QUOTE, True), (VALUE, False)
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -47,7 +54,7 @@ def _inflate(data: bytes) -> bytes | None:
 
 
 def _base64(run: str) -> str | None:
-    run = run.rstrip("=").replace("-", "+").replace("_", "/")
+    run = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
     if len(run) % 4 == 1:
         return None
     try:
@@ -59,14 +66,41 @@ def _base64(run: str) -> str | None:
     try:
         return data.decode()
     except UnicodeDecodeError:
-        return None
+        return data.decode("latin-1")
+
+
+def _unescape(run: str) -> str:
+    return ESCAPE.sub(lambda m: chr(int(m.group(1), 16)), run)
+
+
+def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, decoded) of base64 wrapped over single line breaks.
+
+    Wrapped lines are equally long, but for the first, which may begin within a line, and the last.
+    Each stretch of equal lines is decoded with and without the line before and the one after.
+    """
+    for m in WRAPPED.finditer(text):
+        lines = [(m.start() + p.start(), m.start() + p.end()) for p in PIECE.finditer(m.group())]
+        width = [b - a for a, b in lines]
+        i = 0
+        while i < len(lines):
+            j = i
+            while j + 1 < len(lines) and width[j + 1] == width[i]:
+                j += 1
+            for first in {max(0, i - 1), i}:
+                for last in {j, min(len(lines) - 1, j + 1)}:
+                    if first < last:
+                        a, b = lines[first][0], m.end() if last == len(lines) - 1 else lines[last][1]
+                        if inner := _base64(text[a:b]):
+                            yield a, b, inner
+            i = j + 1
 
 
 def _layers(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, decoded) of every run of the text that decodes to something else."""
     decoders = (
         (URL_RUN, unquote, "%" in text),
-        (ESCAPE_RUN, lambda s: ESCAPE.sub(lambda m: chr(int(m.group(1), 16)), s), "\\u" in text),
+        (ESCAPE_RUN, _unescape, "\\u" in text),
         (BASE64_RUN, _base64, True),
     )
     for pattern, decode, worth in decoders:
@@ -75,25 +109,99 @@ def _layers(text: str) -> Iterator[tuple[int, int, str]]:
                 yield m.start(), m.end(), inner
 
 
+class Layer:
+    """A text with, per segment, its start and the (start, end, literal) of the source it stands for."""
+
+    def __init__(self, text: str, segments: list[tuple[int, tuple[int, int, bool]]]):
+        self.text, self.segments = text, segments
+        self.at = [a for a, _ in segments]
+
+    def span(self, a: int, b: int) -> tuple[int, int, bool]:
+        """The source span of a..b, and whether it touches a decoded segment. Those count whole."""
+        i, j = bisect_right(self.at, a) - 1, bisect_right(self.at, b - 1) - 1
+        first, last = self.segments[i][1], self.segments[j][1]
+        start = first[0] + a - self.at[i] if first[2] else first[0]
+        end = last[0] + b - self.at[j] if last[2] else last[1]
+        return start, end, any(not s[2] for _, s in self.segments[i : j + 1])
+
+    def replaced(self, runs: list[tuple[int, int, str]], lo: int, hi: int) -> Layer:
+        """lo..hi of the layer with each run's decoded text in its place."""
+        out, segments, size, at = [], [], 0, lo
+        for a, b, inner in [*runs, (hi, hi, "")]:
+            i = bisect_right(self.at, at) - 1
+            while at < a:
+                stop = min(a, self.at[i + 1] if i + 1 < len(self.at) else a)
+                s = self.segments[i][1]
+                segments.append((size, (s[0] + at - self.at[i], s[0] + stop - self.at[i], True) if s[2] else s))
+                out.append(self.text[at:stop])
+                size, at, i = size + stop - at, stop, i + 1
+            if inner:
+                segments.append((size, (*self.span(a, b)[:2], False)))
+                out.append(inner)
+                size += len(inner)
+            at = b
+        return Layer("".join(out), segments)
+
+
+def _beside(text: str, at: int, step: int) -> int:
+    """The position up to which a pattern that crosses `at` can reach, going by step."""
+    k = at if step > 0 else at - 1
+    for chars, once in BESIDE:
+        while 0 <= k < len(text) and text[k] in chars:
+            k += step
+            if once:
+                break
+    return k if step > 0 else k + 1
+
+
+def _children(layer: Layer, whole: bool) -> Iterator[tuple[Layer, bool]]:
+    """(layer, whole) one decoding further in: each run by itself and in its place in the text.
+
+    Percent and \\u runs are also put back all at once, as key and value may lie in different runs.
+    Of a layer that is no whole text, only runs that touch what was decoded are taken.
+    """
+    text = layer.text
+    runs = [*_layers(text), *_wrapped(text)]
+    if not whole:
+        runs = [r for r in runs if layer.span(r[0], r[1])[2]]
+    for a, b, inner in runs:
+        start, end, _ = layer.span(a, b)
+        yield Layer(inner, [(0, (start, end, False))]), False
+        lo, hi = _beside(text, a, -1), _beside(text, b, 1)
+        if lo < a or hi > b:
+            yield layer.replaced([(a, b, inner)], lo, hi), False
+    for pattern, mark in ((URL_RUN, "%"), (ESCAPE_RUN, "\\u")):
+        if mark in text:
+            decode = unquote if pattern is URL_RUN else _unescape
+            some = [(m.start(), m.end(), decode(m.group())) for m in pattern.finditer(text)]
+            some = [r for r in some if r[2] != text[r[0] : r[1]]]
+            if some:
+                yield layer.replaced(some, 0, len(text)), whole
+
+
 def scan(text: str | None) -> tuple[list, list]:
-    """(base spans, all spans). A secret of an inner layer takes the outermost run it came from.
+    """(base spans, all spans). What a secret takes of an encoded run counts as the outermost whole
+    run; what it takes of the text beside the run counts as it stands.
 
-    The worklist ends when no layer yields a new one: a layer already seen for the same run is
-    not taken again, which also ends cycles. Null is the empty text and has no spans.
+    The worklist ends when no layer yields a new one: a layer already seen for the same source
+    is not taken again, which also ends cycles. Null is the empty text and has no spans.
     """
     text = text or ""
     base = base_spans(text)
     spans = set(base)
-    work = list(_layers(text))
-    seen: set[tuple[int, int, bytes]] = set()
+    work = list(_children(Layer(text, [(0, (0, len(text), True))]), True)) if text else []
+    seen: set[tuple] = set()
     while work:
-        start, end, layer = work.pop()
-        mark = start, end, hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        layer, whole = work.pop()
+        mark = tuple(s for _, s in layer.segments) if not whole else (), hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if mark in seen:
             continue
         seen.add(mark)
-        spans.update((start, kind, end) for _, kind, _ in base_spans(layer))
-        work.extend((start, end, inner) for _, _, inner in _layers(layer))
+        for a, kind, b in base_spans(layer.text):
+            start, end, decoded = layer.span(a, b)
+            if decoded:
+                spans.add((start, kind, end))
+        work.extend(_children(layer, whole))
     return base, sorted(spans, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
