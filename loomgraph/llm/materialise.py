@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import struct
+import tempfile
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +17,11 @@ from .common import cut, map_columns, table
 ROUNDS = 6
 STRIDE = 1024
 SHARD_ROWS = 4096
+#: Before the payload of a record: slot, bytes used, chunk, whether there is a doc_id, doc_id.
+HEADER = ">qiq?q"
+HEADER_BYTES = struct.calcsize(HEADER)
+#: Bytes of a record; the text writer ends each with a line break.
+RECORD = HEADER_BYTES + STRIDE + 1
 
 
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -68,17 +78,43 @@ def sequences(docs: DataFrame, stride: int = STRIDE) -> DataFrame:
     return map_columns(docs, ["doc_id", "text"], batch, f"doc_id {kind}, chunk long, ids binary")
 
 
-def write_shards(slotted: DataFrame, path: str, stride: int = STRIDE, shard_rows: int = SHARD_ROWS) -> None:
-    """Parquet rows (slot, payload) by range of slot, every payload of `stride` bytes, zero-padded.
+def write_shards(slotted: DataFrame, path: str) -> None:
+    """One uncompressed file per SHARD_ROWS slots, in the folder shard=<slot / SHARD_ROWS>: records of
+    RECORD bytes by slot, so that a slot's record starts at (slot % SHARD_ROWS) * RECORD."""
 
-    A reader resumes at any slot by the files' slot ranges.
-    """
-    parts = max(1, -(-slotted.count() // shard_rows))
-    payload = F.rpad(F.col("ids"), F.lit(stride), F.lit(b"\0"))
-    slotted.select("slot", payload.alias("payload")).repartitionByRange(parts, "slot").sortWithinPartitions("slot").write.mode("overwrite").parquet(path)
+    def batch(docs, chunks, ids, slots):
+        out = [struct.pack(HEADER, n, len(b), c, d is not None, d or 0) + b.ljust(STRIDE, b"\0") for d, c, b, n in zip(docs, chunks, ids, slots)]
+        return [n // SHARD_ROWS for n in slots], slots, out
+
+    dealt = slotted.withColumn("shard", F.floor(F.col("slot") / SHARD_ROWS)).repartition("shard").sortWithinPartitions("shard", "slot")
+    records = map_columns(dealt, ["doc_id", "chunk", "ids", "slot"], batch, "shard long, slot long, record binary")
+    records = records.sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("value"))
+    records.write.partitionBy("shard").option("lineSep", "\n").text(path)
+
+
+def read_shards(spark: SparkSession, path: str, n: int, first: int = 0) -> DataFrame:
+    """(doc_id, chunk, ids, slot) of the slots first..n-1; files before that of `first` are not read."""
+    schema = "doc_id long, chunk long, ids binary, slot long"
+    if first >= n:
+        return spark.createDataFrame([], schema)
+    folders = [f"{path}/shard={k}" for k in range(first // SHARD_ROWS, -(-n // SHARD_ROWS))] if first else [f"{path}/shard=*"]
+
+    def unpack(record):
+        slot, used, chunk, known, doc = struct.unpack_from(HEADER, record)
+        return doc if known else None, chunk, bytearray(record[HEADER_BYTES : HEADER_BYTES + used]), slot
+
+    rows = spark.sparkContext.binaryRecords(",".join(folders), RECORD).map(unpack).filter(lambda r: r[3] >= first)
+    return spark.createDataFrame(rows, schema)
 
 
 def op8_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seqs = sequences(table(spark, sf_dir, "documents")).select("doc_id", "chunk", F.octet_length("ids").alias("n_bytes"))
-    out = assign(seqs, ["doc_id", "chunk"])
-    return out.withColumn("shard", F.floor(F.col("slot") / SHARD_ROWS)).withColumn("offset", (F.col("slot") % SHARD_ROWS) * STRIDE)
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="shards-")
+    path = os.path.join(root, f"shards-{uuid.uuid4().hex}")
+    slotted = assign(sequences(table(spark, sf_dir, "documents")), ["doc_id", "chunk"])
+    write_shards(slotted, path)
+    out = read_shards(spark, path, slotted.count()).select("doc_id", "chunk", F.octet_length("ids").alias("n_bytes"), "slot", F.sha2("ids", 256).alias("payload_sha256"))
+    return out.select("doc_id", "chunk", "n_bytes", "slot", F.floor(F.col("slot") / SHARD_ROWS).alias("shard"), ((F.col("slot") % SHARD_ROWS) * RECORD).alias("offset"), "payload_sha256")
