@@ -2,88 +2,349 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, table, words
+from .arrays import Lookup, mix, pack, unpack, word_codes
+from .common import sliced, stored, table
 
-END = "\n"  # no word holds white space
 #: Counts up to this are discounted.
 K = 5
-#: Most pairs that are broadcast, and their longest, in characters.
-HOT = 50_000
-HOT_CHARS = 200
+#: Most words whose counts every task holds; rarer words' counts are joined to their tokens.
+FREQUENT = 500_000
+#: Tokens whose pairs one task counts.
+PART_TOKENS = 3_000_000
+#: Bytes of texts that are cut into words at a time.
+BLOCK = 1 << 24
+#: The place of the end of a text among the frequent words; it is also the history of a first word.
+END = 0
+#: Codes of rare words have this bit, so that they differ from the places of frequent ones.
+RARE = np.uint64(1 << 63)
 
 
-def discounts(counts: dict[int, int], k: int = K) -> dict[int, float]:
-    """Good-Turing ratios d_r for r = 1..k from counts of counts; 0.9 where the formula leaves (0, 1)."""
-    out = {}
+def discounts(counts: dict[int, int], k: int = K) -> list[float]:
+    """Good-Turing ratios d_0..d_k (d_0 unused) from counts of counts, renormalised as Katz does so
+    that counts above k stay whole. Where the counts of counts give no ratio inside (0, 1), they are
+    smoothed by a line through their logarithms (of slope -2 if there are too few of them)."""
+    known = [(r, counts[r]) for r in range(1, k + 2) if counts.get(r)]
+    slope = -2.0
+    if len(known) > 1:
+        slope = min(-1.1, float(np.polyfit(np.log([r for r, _ in known]), np.log([n for _, n in known]), 1)[0]))
     n1 = counts.get(1, 0)
-    a = (k + 1) * counts.get(k + 1, 0) / n1 if n1 else 0.0
+    whole = (k + 1) * counts.get(k + 1, 0) / n1 if n1 else 0.0
+    out = [1.0]
     for r in range(1, k + 1):
-        d = None
-        if counts.get(r) and counts.get(r + 1) and a < 1:
-            d = ((r + 1) * counts[r + 1] / (r * counts[r]) - a) / (1 - a)
-        out[r] = d if d is not None and 0 < d < 1 else 0.9
+        smooth = ((r + 1) / r) ** (slope + 1)
+        turing = (r + 1) * counts.get(r + 1, 0) / (r * counts[r]) if counts.get(r) else 0.0
+        ratio = turing if 0 < turing < 1 else smooth
+        d = (ratio - whole) / (1 - whole) if whole < 1 else ratio
+        out.append(d if 0 < d < 1 else ratio)
     return out
 
 
-def _ratio(c, d: dict[int, float]):
-    # Above K the counts are reliable but for half a count, so that every history frees some mass.
-    col = 1 - 0.5 / c
-    for r, v in d.items():
-        col = F.when(c == r, F.lit(v)).otherwise(col)
-    return col
+class Unigrams:
+    """Katz's lowest order: discounted counts; what they free belongs to the one unseen word.
+
+    If nothing is freed (no count up to K), the total counts one more, which frees that one.
+    """
+
+    def __init__(self, total: int, of_counts: dict[int, int]):
+        self.ratio = np.array(discounts(of_counts))
+        freed = sum((1 - self.ratio[r]) * r * of_counts.get(r, 0) for r in range(1, K + 1))
+        self.total = total + (freed <= 0)
+        self.unseen = (freed if freed > 0 else 1.0) / self.total
+
+    def p(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, self.ratio[np.where(c <= K, c, 0)] * c / self.total, self.unseen)
+
+
+def unigram_counts(docs: DataFrame) -> DataFrame:
+    """(code, c) of the words of docs(text)."""
+
+    def part(batches):
+        held = (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+        def rows(pair):
+            return pa.RecordBatch.from_arrays([pa.array(pair[0].view(np.int64)), pa.array(pair[1])], names=["code", "c"])
+
+        for batch in batches:
+            for some in sliced(batch, BLOCK):
+                codes, n = np.unique(word_codes(some.column(0))[0], return_counts=True)
+                both, at = np.unique(np.r_[held[0], codes], return_inverse=True)
+                held = both, np.bincount(at, np.r_[held[1], n], len(both)).astype(np.int64)
+                if len(both) > 2_000_000:
+                    yield rows(held)
+                    held = held[0][:0], held[1][:0]
+        yield rows(held)
+
+    return docs.select("text").mapInArrow(part, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+
+
+def _bucket(c):
+    return F.when(c < 4096, c).otherwise(4096 + F.floor(F.log2(c) * 64))
+
+
+class Frequent:
+    """The frequent words' places (the end's is END), training counts and, for histories that are too
+    large for one task, over how many tasks their pairs are dealt."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, ends: int, total: int, parts: int):
+        self.lookup, self.parts = Lookup(codes), parts
+        self.counts = np.r_[ends, counts]
+        self.spread = np.minimum(parts, 1 + 2 * parts * self.counts // max(1, total)).astype(np.uint64)
+
+    def place(self, codes: np.ndarray) -> np.ndarray:
+        """Places of frequent words, marked codes of the others."""
+        at = self.lookup.find(codes)
+        return np.where(at >= 0, (at + 1).astype(np.uint64), codes | RARE)
+
+    def spread_of(self, prev: np.ndarray) -> np.ndarray:
+        rare = prev >= RARE
+        return np.where(rare, np.uint64(1), self.spread[np.where(rare, np.uint64(0), prev).astype(np.int64)])
+
+    def task(self, prev: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return ((mix(prev) % np.uint64(self.parts) + mix(word + np.uint64(7)) % self.spread_of(prev)) % np.uint64(self.parts)).astype(np.int32)
+
+
+def _dealt(base: int, prev, word, cw, doc, n, frequent: Frequent):
+    """One block per task of the tokens' (prev, word, its count, doc, times)."""
+    task = frequent.task(prev, word)
+    order = np.lexsort((doc, word, prev, task)) if len(task) else np.empty(0, np.int64)
+    cuts = np.flatnonzero(np.diff(task[order], prepend=-1, append=-1)).tolist() if len(order) else []
+    tasks, blocks = [], []
+    for a, b in zip(cuts, cuts[1:]):
+        at = order[a:b]
+        head = np.flatnonzero(np.diff(prev[at], prepend=~prev[at[:1]]))
+        w = word[at]
+        rare = w >= RARE
+        short = np.where(rare, np.uint64(0xFFFFFFFF), w).astype(np.uint32)
+        tasks.append(int(task[at[0]]))
+        blocks.append(pack(np.array([base], np.int64), prev[at][head], np.diff(np.r_[head, len(at)]).astype(np.uint32), short, w[rare], cw[at][rare].astype(np.uint32), doc[at].astype(np.uint32), n[at].astype(np.uint32)))
+    return pa.RecordBatch.from_arrays([pa.array(tasks, pa.int32()), pa.array(blocks, pa.binary())], names=["task", "block"])
+
+
+def _opened(block: bytes, counts: np.ndarray):
+    base, prev, times, word, rare, rare_c, doc, n = unpack(block)
+    word = word.astype(np.uint64)
+    at = word == 0xFFFFFFFF
+    cw = counts[np.where(at, 0, word).astype(np.int64)]
+    word[at], cw[at] = rare, rare_c
+    return np.repeat(prev, times), word, cw, base[0] + (doc >> np.uint32(1)), doc & np.uint32(1), n
 
 
-def _pairs(docs: DataFrame) -> DataFrame:
-    """docs' rows with `prev` and `word`, one row per token of the text.
+def _tokens(some, base: int, frequent: Frequent):
+    """Distinct (prev, word, doc) of a slice, doc as its number and whether it is learnt from."""
+    codes, bounds = word_codes(some.column("text"))
+    train = ~np.asarray(some.column("held").to_numpy(zero_copy_only=False), bool)
+    size = np.diff(bounds)
+    place = frequent.place(codes)
+    ends = np.arange(len(size)) + bounds[1:]
+    word = np.insert(place, bounds[1:], np.uint64(END))
+    prev = np.r_[np.uint64(END), word[:-1]]
+    prev[ends - size] = END
+    doc = np.repeat((np.arange(len(size)) << 1) | train, size + 1).astype(np.uint32)
+    known, own = np.unique(np.r_[word, np.uint64(END)], return_inverse=True)
+    width = max(1, int(len(known)).bit_length())
+    if 2 * width + max(1, int(len(size)).bit_length()) + 1 <= 64:
+        p = np.r_[own[-1], own[:-2]]
+        p[ends - size] = own[-1]
+        shift = np.uint64(int(len(size)).bit_length() + 1)
+        key = (((p.astype(np.uint64) << np.uint64(width)) | own[:-1].astype(np.uint64)) << shift) | doc
+        key, n = np.unique(key, return_counts=True)
+        doc = key & np.uint64((1 << int(shift)) - 1)
+        key >>= shift
+        return known[key >> np.uint64(width)], known[key & np.uint64((1 << width) - 1)], doc.astype(np.uint32), n
+    order = np.lexsort((doc, word, prev))
+    prev, word, doc = prev[order], word[order], doc[order]
+    head = np.flatnonzero(np.r_[True, (prev[1:] != prev[:-1]) | (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])])
+    return prev[head], word[head], doc[head], np.diff(np.r_[head, len(prev)])
 
-    The start of a text is the same history as the end of one.
+
+def _pairs(docs: DataFrame, shared, rare: bool) -> DataFrame:
+    """The pairs whose word is frequent as dealt blocks, or those of rare words as rows."""
+
+    def part(batches):
+        for batch in batches:
+            for some in sliced(batch, BLOCK):
+                at = some.column("row")[0].as_py()
+                prev, word, doc, n = _tokens(some, at, shared.value)
+                is_rare = word >= RARE
+                if rare:
+                    cols = [word[is_rare].view(np.int64), prev[is_rare].view(np.int64), doc[is_rare].astype(np.int64) + 2 * at, n[is_rare].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["word", "prev", "doc", "n"])
+                else:
+                    keep = ~is_rare
+                    yield _dealt(at, prev[keep], word[keep], n[keep], doc[keep], n[keep], shared.value)
+
+    return docs.select("row", "text", "held").mapInArrow(part, "word long, prev long, doc long, n int" if rare else "task int, block binary")
+
+
+def _dealt_rare(rows: DataFrame, shared) -> DataFrame:
+    def part(batches):
+        for batch in batches:
+            word, prev, doc, n, c = (batch.column(k).to_numpy() for k in ("word", "prev", "doc", "n", "c"))
+            base = int(doc.min() >> 1) if len(doc) else 0
+            order = np.argsort(doc, kind="stable")
+            # Numbers of documents are held in 31 bits from the least of their block.
+            far = (doc[order] >> 1) - base >> 30
+            for a, b in zip(cuts := [0, *(np.flatnonzero(np.diff(far)) + 1).tolist(), len(doc)], cuts[1:]):
+                at = order[a:b]
+                if len(at):
+                    low = int(doc[at[0]] >> 1)
+                    yield _dealt(low, prev[at].view(np.uint64), word[at].view(np.uint64), c[at], doc[at] - 2 * low, n[at], shared.value)
+
+    return rows.mapInArrow(part, "task int, block binary")
+
+
+def _counted(blocks: DataFrame, shared, uni: Unigrams) -> DataFrame:
+    """The pair table, one row per task: counts of counts, what its share of each spread history
+    frees by count and covers of the unigrams, and the tokens under their pairs."""
+
+    def part(batches):
+        f = shared.value
+        found = [_opened(b, f.counts) for batch in batches for b in batch.column(1).to_pylist()]
+        if not found:
+            return
+        prev, word, cw, doc, train, n = (np.concatenate([x[k] for x in found]) for k in range(6))
+        del found
+        heads, p = np.unique(prev, return_inverse=True)
+        kinds, w = np.unique(word, return_inverse=True)
+        key = p * len(kinds) + w
+        order = np.lexsort((doc, key))
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        times = np.diff(np.r_[first, len(key)])
+        c = np.add.reduceat((n * train)[order].astype(np.int64), first)
+        at = order[first]
+        head, pair_cw = p[at], cw[at]
+        of = [int((c == r).sum()) for r in range(1, K + 2)]
+        spread = f.spread_of(heads) > 1
+        sums = np.array([np.bincount(head, (c == r) & spread[head], len(heads)) for r in range(1, K + 1)] + [np.bincount(head, uni.p(pair_cw) * ((c > 0) & spread[head]), len(heads))])
+        block = pack(heads, np.diff(np.r_[np.searchsorted(head, np.arange(len(heads))), len(head)]).astype(np.uint32), c.astype(np.uint64), pair_cw.astype(np.uint32), (kinds[w[at]] >= RARE).astype(np.uint8), times.astype(np.uint32), doc[order], n[order])
+        split = np.flatnonzero(spread)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([of], pa.list_(pa.int64())), pa.array([heads[split].view(np.int64)], pa.list_(pa.int64())), pa.array([sums[:, split].T.ravel()], pa.list_(pa.float64())), pa.array([block], pa.binary())],
+            names=["of", "heads", "sums", "block"],
+        )
+
+    return blocks.mapInArrow(part, "of array<long>, heads array<long>, sums array<double>, block binary")
+
+
+def pair_logs(heads, per_head, c, cw, ratio, uni: Unigrams, f_counts, split: dict):
+    """(log10 probability, history) of each pair; the pairs stand by history.
+
+    A history whose pairs all count more than K frees nothing; it counts one more, which frees that.
     """
-    seq = docs.withColumn("seq", F.concat(words(lower_ascii("text")), F.array(F.lit(END))))
-    pairs = F.arrays_zip(F.concat(F.array(F.lit(END)), F.slice("seq", F.lit(1), F.size("seq") - 1)).alias("prev"), F.col("seq").alias("word"))
-    return seq.select("doc_id", "row", "held_out", F.explode(pairs).alias("p")).select("doc_id", "row", "held_out", F.col("p.prev").alias("prev"), F.col("p.word").alias("word"))
+    head = np.repeat(np.arange(len(heads)), per_head)
+    low = np.where(c <= K, c, 0)
+    total = np.bincount(head, c, len(heads))
+    freed = np.bincount(head, np.where(c <= K, (1 - ratio[low]) * c, 0.0), len(heads))
+    covered = np.bincount(head, uni.p(cw) * (c > 0), len(heads))
+    for i, h in enumerate(heads.tolist()):
+        if h in split:
+            total[i], freed[i], covered[i] = split[h]
+    none = (freed <= 0) & (total > 0)
+    total, freed = total + none, np.where(none, 1.0, freed)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        seen = np.log10(np.where(c <= K, ratio[low], 1.0) * c / total[head])
+        alpha = np.where(total > 0, np.log10(freed / total) - np.log10(np.maximum(1 - covered, uni.unseen)), 0.0)
+        return np.where(c > 0, seen, alpha[head] + np.log10(uni.p(cw)))
+
+
+def _scored(pairs: DataFrame, shared, uni: Unigrams, ratio: np.ndarray, split, base_of: tuple[int, int]) -> DataFrame:
+    """Per table row and document: its share of the score, and the known tokens and base of rare words."""
+    total, kinds = base_of
+
+    def part(batches):
+        f = shared.value
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                heads, per_head, c, cw, rare, times, doc, n = unpack(block)
+                logs = np.repeat(pair_logs(heads, per_head, c.astype(np.int64), cw.astype(np.int64), ratio, uni, f.counts, split.value), times) * n
+                is_rare = np.repeat(rare, times) * n
+                docs, at = np.unique(doc, return_inverse=True)
+                base = np.log10((np.repeat(cw, times) + 0.5) / (total + 0.5 * (kinds + 1)))
+                cols = [docs, np.bincount(at, logs), np.bincount(at, is_rare * (np.repeat(cw, times) > 0)).astype(np.int64), np.bincount(at, is_rare * base)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["row", "score", "known", "base"])
+
+    return pairs.select("block").mapInArrow(part, "row long, score double, known long, base double")
+
+
+def _documents(docs: DataFrame, shared, base_of: tuple[int, int]) -> DataFrame:
+    """Per document its row number, tokens, and the known tokens and base of its frequent words."""
+    total, kinds = base_of
+    kind = docs.schema["doc_id"].dataType
+
+    def part(batches):
+        f = shared.value
+        for batch in batches:
+            for some in sliced(batch, BLOCK):
+                codes, bounds = word_codes(some.column("text"))
+                place = f.lookup.find(codes) + 1
+                size = np.diff(bounds)
+                doc = np.repeat(np.arange(len(size)), size)[place > 0]
+                c = f.counts[place[place > 0]]
+                log = np.log10((np.r_[c, f.counts[END]] + 0.5) / (total + 0.5 * (kinds + 1)))
+                known = np.bincount(doc, c > 0, len(size)).astype(np.int64) + (f.counts[END] > 0)
+                cols = [some.column("doc_id"), some.column("held"), some.column("row"), pa.array(size + 1), pa.array(known), pa.array(np.bincount(doc, log[:-1], len(size)) + log[-1])]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "row", "n_tokens", "known0", "base0"])
+
+    return docs.select("doc_id", "row", "text", "held").mapInArrow(part, f"doc_id {kind.simpleString()}, held_out boolean, row long, n_tokens long, known0 long, base0 double")
 
 
 def score(docs: DataFrame, held) -> DataFrame:
     """Per row of docs(doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Learns from the rows where `held` is false; a null text is empty and has the end token only.
-    Repeated rows each get a result, null ids included. Without training rows every probability is
-    that of the smoothed count 0. Every distinct pair is scored once, in tables hashed over the
-    cluster. Pairs that make up at least 1 / HOT of all tokens, of which there are HOT at most,
-    reach the tokens by broadcast; only the tokens of rarer pairs are shuffled.
+    Learns from the rows where `held` is false (null is false). A null or empty text has the end
+    token only; repeated rows, null ids included, each get a result; an empty table gives none;
+    other columns are not read. Without training rows every probability is 1.
+
+    Words are told apart by 64-bit codes. Counts of the FREQUENT most frequent words reach every
+    task, those of rarer words are joined to their tokens. Tokens are dealt by history into the
+    tasks of the pair table (a large history over several), packed, and stored under their pairs;
+    scoring reads that table once and sums by document. `docs` must give the same rows in the
+    same partitions each time it is read, as files do.
     """
-    rows = cut(docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out"), F.monotonically_increasing_id().alias("row")))
-    pairs = _pairs(rows)
-    grams = cut(pairs.groupBy("prev", "word").agg(F.count_if(~F.col("held_out")).alias("c"), F.count("*").alias("n_all")))
-    unigrams = cut(grams.where("c > 0").groupBy("word").agg(F.sum("c").alias("cw")))
-    total, kinds = unigrams.agg(F.coalesce(F.sum("cw"), F.lit(0)), F.count("*")).first()
-    tokens = grams.agg(F.coalesce(F.sum("n_all"), F.lit(0))).first()[0]
-    d1 = discounts({r[0]: r[1] for r in unigrams.where(f"cw <= {K + 1}").groupBy("cw").count().collect()})
-    d2 = discounts({r[0]: r[1] for r in grams.where(f"c between 1 and {K + 1}").groupBy("c").count().collect()})
-    # Unigrams: discounted, the freed mass shared by one place for all unseen words.
-    uni = unigrams.select("word", "cw", (_ratio(F.col("cw"), d1) * F.col("cw") / float(max(total, 1))).alias("p1"))
-    seen = uni.agg(F.coalesce(F.sum("p1"), F.lit(0.0))).first()[0]
-    unseen = max(1 - seen, 1e-12)
-    # Bigrams: discounted; alpha makes the words not seen after a history sum to the freed mass.
-    hist = grams.where("c > 0").groupBy("prev").agg(F.sum("c").alias("ch"))
-    big = grams.join(uni, "word", "left").join(hist, "prev", "left")
-    big = cut(big.withColumn("p2", F.when(F.col("c") > 0, _ratio(F.col("c"), d2) * F.col("c") / F.col("ch"))))
-    alpha = big.where("c > 0").groupBy("prev").agg(F.sum("p2").alias("s2"), F.sum("p1").alias("s1"))
-    alpha = alpha.select("prev", (F.greatest(1 - F.col("s2"), F.lit(1e-12)) / F.greatest(1 - F.col("s1"), F.lit(1e-12))).alias("alpha"))
-    log_base = F.log10((F.coalesce("cw", F.lit(0)) + 0.5) / (total + 0.5 * (kinds + 1)))
-    logp = F.coalesce(F.log10("p2"), F.log10(F.coalesce("alpha", F.lit(1.0))) + F.log10(F.coalesce("p1", F.lit(unseen))))
-    hot = (F.col("n_all") * HOT >= tokens) & (F.length("prev") + F.length("word") <= HOT_CHARS)
-    scored = cut(big.join(alpha, "prev", "left").select("prev", "word", hot.alias("hot"), F.coalesce(F.col("cw") > 0, F.lit(False)).alias("known"), log_base.alias("lb"), logp.alias("lp")))
-    marked = pairs.select("row", "prev", "word").join(F.broadcast(scored.where("hot").drop("hot")), ["prev", "word"], "left")
-    rare = marked.where("lp is null").select("row", "prev", "word").join(scored.where("not hot").drop("hot"), ["prev", "word"])
-    each = [df.select("row", "known", "lb", "lp") for df in (marked.where("lp is not null"), rare)]
-    sums = each[0].union(each[1]).groupBy("row").agg(F.count("*").alias("n_tokens"), F.count_if("known").alias("n_known"), F.sum("lb").alias("base_score"), F.sum("lp").alias("score"))
-    out = rows.select("row", "doc_id", "held_out").join(sums, "row")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held"), F.monotonically_increasing_id().alias("row"))
+    words = stored(unigram_counts(docs.where("not held")), "unigrams")
+    ends = docs.where("not held").count()
+    seen = {r["b"]: (r["n"], r["s"]) for r in words.groupBy(_bucket(F.col("c")).alias("b")).agg(F.count("*").alias("n"), F.sum("c").alias("s")).collect()}
+    total, kinds = sum(s for _, s in seen.values()) + ends, sum(n for n, _ in seen.values()) + (ends > 0)
+    of_counts = {r: seen.get(r, (0, 0))[0] + (ends == r) for r in range(1, K + 2)}
+    least, room = None, FREQUENT
+    for b in sorted(seen, reverse=True):
+        room -= seen[b][0]
+        if room < 0:
+            break
+        least = b
+    hot = words.where(_bucket(F.col("c")) >= (least if least is not None else 1 << 40)).orderBy("code").toArrow()
+    parts = max(1, -(-total // PART_TOKENS))
+    frequent = Frequent(hot["code"].to_numpy().view(np.uint64), hot["c"].to_numpy(), ends, total, parts)
+    shared = spark.sparkContext.broadcast(frequent)
+    uni = Unigrams(total, of_counts)
+    # Rare words meet their counts by the code as it is, without the mark.
+    tail = words.where(_bucket(F.col("c")) < (least if least is not None else 1 << 40)).select((F.col("code").bitwiseOR(F.lit(-(1 << 63)))).alias("word"), "c").groupBy("word").agg(F.sum("c").alias("c"))
+    rare = _pairs(docs, shared, True).join(tail, "word", "left").select("word", "prev", "doc", "n", F.coalesce("c", F.lit(0)).alias("c"))
+    blocks = _pairs(docs, shared, False).unionByName(_dealt_rare(rare, shared)).repartitionById(parts, F.col("task"))
+    pairs = stored(_counted(blocks, shared, uni), "pairs")
+    of = np.zeros(K + 1, np.int64)
+    sums: dict[int, np.ndarray] = {}
+    for r in pairs.select("of", "heads", "sums").collect():
+        of += np.array(r["of"])
+        for h, s in zip(r["heads"], np.array(r["sums"]).reshape(-1, K + 1)):
+            sums[h] = sums.get(h, 0) + s
+    ratio = np.array(discounts(dict(enumerate(of.tolist(), 1))))
+    lost = (1 - ratio[1:]) * np.arange(1, K + 1)
+    split = spark.sparkContext.broadcast({h: (float(frequent.counts[h]), float((s[:K] * lost).sum()), float(s[K])) for h, s in sums.items()})
+    parts_of = _scored(pairs, shared, uni, ratio, split, (total, kinds))
+    sums_of = parts_of.groupBy("row").agg(F.sum("score").alias("score"), F.sum("known").alias("known"), F.sum("base").alias("base"))
+    out = _documents(docs, shared, (total, kinds)).join(sums_of, "row")
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known0") + F.col("known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base0") + F.col("base")).alias("base_score"), "score")
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored, learning from those whose crc32(doc_id) mod 5 is not 1."""
     return score(table(spark, sf_dir, "documents"), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1)
