@@ -5,88 +5,125 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, WORD_RE, cut, map_columns, table
+from .arrays import mix, pack, unpack, word_codes
+from .common import cut, discard, sliced, stored, table
 
 BITS = 2048
 #: Logarithmic step of the size bands.
-STEP = 0.325
-#: Rounds in which a tile compares its smallest document with the others; then all that is left.
-LEADER_ROUNDS = 2
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; fewer words than width make one shingle."""
-    found = WORD_RE.findall((text or "").translate(UPPER))
-    if not found:
-        return np.empty(0, np.uint64)
-    hashed: dict[str, int] = {}
-    ids = np.fromiter((hashed.get(w) or hashed.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in found), np.uint64, len(found))
-    size = min(width, len(ids))
-    with np.errstate(over="ignore"):
-        acc = np.full(len(ids) - size + 1, np.uint64(size))
-        for k in range(size):
-            acc = _mixed((acc ^ ids[k : len(ids) - size + 1 + k]) * MIX + np.uint64(k))
-    return np.unique(acc)
-
-
-def levels(n: int, threshold: float) -> list[tuple[int, int]]:
-    """(level, parts) of the size bands that n takes part in.
-
-    A level covers the sizes from exp(level * STEP) to exp((level + 1) * STEP) / threshold. Two linked
-    sets share the level of the smaller one. Within a level linked sets differ by at most
-    (1 - t) / (1 + t) * 2 * largest size elements, so with one part more than that, hashed parts
-    of the element space agree in at least one.
-    """
-    low, high = math.log(n * threshold), math.log(n)
-    out = []
-    for level in range(math.floor(low / STEP) - 1, math.floor(high / STEP) + 1):
-        top = math.exp((level + 1) * STEP) / threshold
-        if math.exp(level * STEP) <= n * (1 + 1e-9) and n <= top * (1 + 1e-9):
-            out.append((level, math.floor((1 - threshold) / (1 + threshold) * 2 * top + 1e-6) + 1))
+STEP = 0.5
+#: Parts of a set beyond those that two linked sets can differ in.
+SPARE = 1.05
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of texts that are cut into shingles at a time, and keys that one task sorts.
+BLOCK = 1 << 23
+TASK_KEYS = 2_000_000
+#: Rows up to which the documents to fetch are broadcast (24 bytes each); beyond, texts are shuffled.
+BROADCAST_ROWS = 2_000_000
+#: Members of a tile's leader that are compared in one group.
+GROUP = 1_000
+
+
+def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
+    """Per text its sorted distinct 64-bit shingle codes; fewer words than width make one shingle."""
+    codes, bounds = word_codes(column)
+
+    def rolled(at: np.ndarray | None, size: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            n = len(codes) - size + 1 if at is None else len(at)
+            acc = np.full(max(0, n), np.uint64(size))
+            for k in range(size):
+                acc = mix((acc ^ (codes[k : k + n] if at is None else codes[at + k])) * MULTIPLIER + np.uint64(k))
+        return acc
+
+    size = np.diff(bounds)
+    whole = rolled(None, width)
+    out = [np.empty(0, np.uint64)] * len(size)
+    for m in range(1, width):
+        few = np.flatnonzero(size == m)
+        for i, x in zip(few.tolist(), rolled(bounds[few], m)):
+            out[i] = np.array([x])
+    for i in np.flatnonzero(size >= width).tolist():
+        s = np.sort(whole[bounds[i] : bounds[i + 1] - width + 1])
+        out[i] = s[np.flatnonzero(np.r_[True, s[1:] != s[:-1]])]
     return out
 
 
-def signatures(s: np.ndarray, threshold: float) -> np.ndarray:
-    """One key per level and part: a hash of all elements that fall in the part (none: a key too)."""
-    out = []
-    with np.errstate(over="ignore"):
-        for level, parts in levels(len(s), threshold):
-            part = (_mixed(s + np.uint64(level + 1000) * MIX) % np.uint64(parts)).astype(np.int64)
-            sums = np.zeros(parts, np.uint64)
-            np.add.at(sums, part, _mixed(s))
-            out.append(_mixed(sums ^ (np.arange(parts, dtype=np.uint64) * MIX + np.uint64(level + 1000))))
-    return np.concatenate(out).view(np.int64)
+def class_id(s: np.ndarray) -> int:
+    """A signed 64-bit name of the set; 0 for the empty one."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else 0
+
 
+def signatures(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(key, index of the set): per size band a set takes part in, one key per part of its elements.
 
-def bitmap(s: np.ndarray) -> bytes:
+    A band covers the sizes from exp(l * STEP) to exp((l + 1) * STEP) / t; two linked sets share the
+    band of the smaller one. Linked sets of sizes n and m differ in at most (1 - t) / (1 + t) * (n + m)
+    elements, so with more parts than that for the largest two of a band, the elements are hashed
+    into parts of which at least one is equal. A set with more parts in use than it can differ in
+    from any set of the band agrees in a used one, and so needs no keys for its empty parts.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), n)
+    differ = (1 - threshold) / (1 + threshold)
+    with np.errstate(divide="ignore"):
+        highest = np.where(n > 0, np.floor(np.log(n) / STEP), 0).astype(np.int64)
+    keys, owners = [], []
+    for back in range(1 + math.ceil(-math.log(threshold) / STEP) + 1):
+        level = highest + 1 - back
+        low, top = np.exp(level * STEP), np.exp((level + 1) * STEP) / threshold
+        member = (n > 0) & (low <= n * (1 + 1e-9)) & (n <= top * (1 + 1e-9))
+        if not member.any():
+            continue
+        parts = np.where(member, np.floor(differ * 2 * top * SPARE + 1e-6).astype(np.int64) + 3, 0)
+        base = np.cumsum(parts) - parts
+        on = member[owner]
+        at, x = owner[on], every[on]
+        with np.errstate(over="ignore"):
+            salt = mix((level + 1000).astype(np.uint64) * MULTIPLIER)
+            slot = base[at] + (mix(x ^ salt[at]) % parts[at].astype(np.uint64)).astype(np.int64)
+            total = int(parts.sum())
+            value = mix(x)
+            # Sums of halves stay exact in doubles up to two million elements of one part.
+            sums = np.bincount(slot, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64)
+            sums += np.bincount(slot, (value >> np.uint64(32)).astype(np.float64), total).astype(np.uint64) << np.uint64(32)
+            used = np.bincount(slot, minlength=total) > 0
+            who = np.repeat(np.arange(len(sets)), parts)
+            part = (np.arange(total) - base[who]).astype(np.uint64)
+            key = mix(sums ^ mix(part * MULTIPLIER ^ salt[who]))
+        limit = np.floor(differ * (n + np.minimum(top, n / threshold)) + 1e-6)
+        sparse = np.bincount(who, used, len(sets)) <= limit
+        kept = used | sparse[who]
+        keys.append(key[kept])
+        owners.append(who[kept])
+    return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
     bits = np.zeros(BITS, np.uint8)
     bits[(s % np.uint64(BITS)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+    return np.packbits(bits)
 
 
-def linked(a: tuple[int, bytes, np.ndarray], b: tuple[int, bytes, np.ndarray], percent: int) -> bool:
-    """100 * intersection >= percent * union, tested on bit counts first.
+def linked(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], percent: int) -> bool:
+    """100 * intersection >= percent * union of (bitmap, sorted set) pairs, tested on bit counts first.
 
     Every bit set on one side only stands for at least one element of that side only.
     """
-    (n, x, s), (m, y, t) = a, b
-    x, y = int.from_bytes(x, "big"), int.from_bytes(y, "big")
-    most = min(n - (x & ~y).bit_count(), m - (y & ~x).bit_count())
+    (x, s), (y, t) = a, b
+    n, m = len(s), len(t)
+    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
     if 100 * most < percent * (n + m - most):
         return False
-    both = len(np.intersect1d(s, t, assume_unique=True))
-    return 100 * both >= percent * (n + m - both)
+    both = np.concatenate((s, t))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (n + m - common)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -104,72 +141,249 @@ def components(edges: DataFrame) -> DataFrame:
             return state
 
 
+def _measured(docs: DataFrame, width: int) -> DataFrame:
+    """(row, doc_id, n, cid) of every row of docs(row, doc_id, text)."""
+
+    def part(batches):
+        for batch in batches:
+            for some in sliced(batch, BLOCK):
+                found = shingle_sets(some.column("text"), width)
+                yield pa.RecordBatch.from_arrays([some.column("row"), some.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([class_id(s) for s in found], pa.int64())], names=["row", "doc_id", "n", "cid"])
+
+    return docs.mapInArrow(part, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, cid long")
+
+
+def _keys(docs: DataFrame, width: int, threshold: float, tasks: int) -> DataFrame:
+    """The keys of docs(text) in packed blocks, dealt by key; copies in one block give one set of keys."""
+
+    def part(batches):
+        for batch in batches:
+            for some in sliced(batch, BLOCK):
+                found = shingle_sets(some.column("text"), width)
+                names = np.array([class_id(s) for s in found], np.int64)
+                _, one = np.unique(names, return_index=True)
+                one = one[[len(found[i]) > 0 for i in one]] if len(one) else one
+                key, who = signatures([found[i] for i in one], threshold)
+                size = np.array([len(found[i]) for i in one], np.int64)
+                names = names[one]
+                task = ((key >> np.uint64(33)) % np.uint64(tasks)).astype(np.int32)
+                order = np.lexsort((key, task))
+                cuts = np.searchsorted(task[order], np.arange(tasks + 1))
+                out = []
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    at = order[cuts[k] : cuts[k + 1]]
+                    used, own = np.unique(who[at], return_inverse=True)
+                    out.append((k, pack(key[at], own.astype(np.uint32), names[used], size[used].astype(np.uint32))))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["task", "block"])
+
+    return docs.select("text").mapInArrow(part, "task int, block binary")
+
+
+def _tiles(blocks: DataFrame) -> DataFrame:
+    """One row per task: the tiles of two classes or more, members in order of how many tiles they
+    take part in (a text that others were made from comes first); equal tiles are kept once."""
+
+    def part(batches):
+        found, task = [], None
+        for batch in batches:
+            for k, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                key, own, names, size = unpack(block)
+                found.append((key, names[own], size[own]))
+                task = k
+        if not found:
+            return
+        key, cid, n = (np.concatenate([x[k] for x in found]) for k in range(3))
+        del found
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        same = key[1:] == key[:-1]
+        shared = np.r_[same, False] | np.r_[False, same]
+        key, cid, n = key[shared], cid[order[shared]], n[order[shared]]
+        order = np.lexsort((cid, key))
+        key, cid, n = key[order], cid[order], n[order]
+        once = np.r_[True, (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])] if len(key) else np.empty(0, bool)
+        key, cid, n = key[once], cid[once], n[once]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        size = np.diff(np.r_[first, len(key)])
+        names, own = np.unique(cid, return_inverse=True)
+        degree = np.bincount(own, np.repeat(size > 1, size), len(names))
+        with np.errstate(over="ignore"):
+            mark = np.add.reduceat(mix(cid.view(np.uint64)), first) if len(first) else np.empty(0, np.uint64)
+        _, kinds = np.unique(mark, return_index=True)
+        keep = np.zeros(len(first), bool)
+        keep[kinds] = True
+        keep &= size > 1
+        on = np.repeat(keep, size)
+        tile = np.repeat(np.arange(len(first)), size)[on]
+        cid, n, d = cid[on], n[on], degree[own[on]]
+        order = np.lexsort((cid, -d, tile))
+        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([pack(size[keep].astype(np.uint32), cid[order], n[order].astype(np.uint32))], pa.binary())], names=["task", "block"])
+
+    return blocks.mapInArrow(part, "task int, block binary")
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    names, own = np.unique(np.r_[a, b], return_inverse=True)
+    key = np.unique(own[: len(a)] * len(names) + own[len(a) :])
+    return pa.RecordBatch.from_arrays([pa.array(names[key // max(1, len(names))], pa.int64()), pa.array(names[key % max(1, len(names))], pa.int64())], names=["a", "b"])
+
+
+def _led(tiles: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of every tile its first member with the others that it may link by size."""
+
+    def part(batches):
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                size, cid, n = unpack(block)
+                first = np.cumsum(size, dtype=np.int64) - size
+                a, m = np.repeat(cid[first], size), np.repeat(n[first], size).astype(np.int64)
+                ok = (a != cid) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
+                yield _distinct(a[ok], cid[ok])
+
+    return tiles.select("block").mapInArrow(part, "a long, b long").distinct()
+
+
+def _left(tiles: DataFrame, state: DataFrame, tasks: int, percent: int, turn: int) -> DataFrame:
+    """(a, b) from the tiles whose members are in different components by state(node, comp): of turn 1
+    those of the second member, of turn 2 all pairs after it."""
+
+    def members(batches):
+        for batch in batches:
+            for task, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                size, cid, _ = unpack(block)
+                names = np.unique(cid[np.repeat(size > turn + 1, size)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), task, np.int32)), pa.array(names, pa.int64())], names=["task", "cid"])
+
+    wanted = tiles.mapInArrow(members, "task int, cid long")
+    known = wanted.join(state, F.col("cid") == F.col("node")).select("task", F.lit(None).cast("binary").alias("block"), "cid", "comp")
+    both = tiles.select("task", "block", F.lit(None).cast("long").alias("cid"), F.lit(None).cast("long").alias("comp")).unionByName(known)
+
+    def part(batches):
+        blocks, nodes, comps = [], [], []
+        for batch in batches:
+            blocks += [b for b in batch.column("block").to_pylist() if b is not None]
+            nodes.append(batch.column("cid").drop_null().to_numpy())
+            comps.append(batch.column("comp").drop_null().to_numpy())
+        nodes, comps = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (nodes, comps))
+        order = np.argsort(nodes)
+        nodes, comps = nodes[order], comps[order]
+        for block in blocks:
+            size, cid, n = unpack(block)
+            comp = cid.copy()
+            if len(nodes):
+                at = np.minimum(np.searchsorted(nodes, cid), len(nodes) - 1)
+                comp = np.where(nodes[at] == cid, comps[at], cid)
+            first = np.cumsum(size, dtype=np.int64) - size
+            if not len(first):
+                continue
+            open_ = (np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)) & (size > turn + 1)
+            for f, k in zip(first[open_].tolist(), size[open_].tolist()):
+                c, g, s = cid[f + turn : f + k], comp[f + turn : f + k], n[f + turn : f + k].astype(np.int64)
+                for i in range(1 if turn == 1 else len(c) - 1):
+                    ok = (g[i + 1 :] != g[i]) & (100 * np.minimum(s[i], s[i + 1 :]) >= percent * np.maximum(s[i], s[i + 1 :]))
+                    if ok.any():
+                        b = c[i + 1 :][ok]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), c[i]), pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return both.repartitionById(tasks, F.col("task")).mapInArrow(part, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs(a, b) of classes that are linked, by the texts of wanted(cid, row).
+
+    The text of each member meets that of its leader a; a leader's members are dealt into groups.
+    """
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    dealt = pairs.join(groups, "a").select("a", F.pmod(F.hash("b"), F.col("groups")).alias("g"), F.col("b").alias("x"))
+    fetch = dealt.union(dealt.select("a", "g", F.col("a").alias("x")).distinct())
+    fetch = stored(fetch.join(wanted.withColumnRenamed("cid", "x"), "x").select("row", "a", "g", "x"), "fetch")
+    texts = docs.select("row", "text")
+    rows = fetch.join(texts, "row") if fetch.count() > BROADCAST_ROWS else texts.join(F.broadcast(fetch), "row")
+    rows = rows.select("a", "g", "x", "text").repartition("a", "g").sortWithinPartitions("a", "g", F.col("x") != F.col("a"))
+
+    def part(batches):
+        leader, mine = None, None
+        for batch in batches:
+            for some in sliced(batch, BLOCK):
+                a, g, x = (some.column(k).to_numpy() for k in ("a", "g", "x"))
+                found = shingle_sets(some.column("text"), width)
+                ok = []
+                for i in range(len(a)):
+                    one = bitmap(found[i]), found[i]
+                    if a[i] == x[i]:
+                        leader, mine = (a[i], g[i]), one
+                    elif leader != (a[i], g[i]):
+                        raise ValueError("the texts changed between two reads")
+                    elif linked(mine, one, percent):
+                        ok.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(x[ok])], names=["a", "b"])
+
+    return rows.mapInArrow(part, "a long, b long")
+
+
+def labelled(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """(row, doc_id, n_shingles, component_id) of every row of docs(doc_id, text); see near_duplicates.
+
+    `row` numbers the rows as monotonically_increasing_id does. The table is stored.
+    """
+    docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    rows = stored(_measured(docs.select("row", "doc_id", "text"), width), "sets")
+    full = rows.where("n > 0")
+    total = full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = max(1, -(-total * 2 // 5 // TASK_KEYS))
+    tiles = stored(_tiles(_keys(docs, width, percent / 100, tasks).repartitionById(tasks, F.col("task"))), "tiles")
+    classes = full.groupBy("cid").agg(F.min("row").alias("row"), F.min("doc_id").alias("rep"))
+    wanted = classes.select("cid", "row")
+    links, state = None, None
+    for turn in range(3):
+        if turn and state is None:
+            continue
+        pairs = stored(_led(tiles, percent) if turn == 0 else _left(tiles, state, tasks, percent, turn), "pairs")
+        if turn == 0 and state is None:
+            state = docs.sparkSession.createDataFrame([], "node long, comp long")
+        if pairs.isEmpty():
+            continue
+        new = stored(_verified(pairs, docs, wanted, width, percent), "links")
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            state = components(links)
+    named = state.join(classes, F.col("node") == F.col("cid")).groupBy("comp").agg(F.min("rep").alias("least"))
+    named = state.join(named, "comp").select(F.col("node").alias("cid"), "least")
+    own = classes.select("cid", "rep").join(named, "cid", "left").select("cid", F.coalesce("least", "rep").alias("component_id"))
+    out = full.join(own, "cid", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = stored(out.union(rows.where("n = 0").select("row", "doc_id", "n", "doc_id")), "labelled")
+    discard(tiles, rows)
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs(doc_id, text).
 
-    Null, empty and wordless texts have no shingles and are their own component; a null doc_id has
-    a null component unless its set links it. Equal sets count as one class from the start, so
-    copies cost one row. The tile of a level and part holds the classes whose elements agree in
-    the whole part; it compares its smallest member with the others, and members that have become
-    one component need no comparison any more.
+    Null, empty and wordless texts have no shingles and are their own component; rows without a
+    doc_id name no component, so one whose set nobody else has gets null. Equal sets are one class
+    from the start, however many copies there are, repeated rows and ids included. Texts are read
+    whole; an empty table gives an empty result; other columns are not read. Words and shingles are
+    told apart by 64-bit codes.
+
+    A tile holds the classes that agree in one part of their elements. Its first member is compared
+    with all others, then the second, then all pairs that are still in different components; pairs
+    meet bit counts before the exact intersection. `docs` must give the same rows in the same
+    partitions each time it is read, as files do.
     """
-    threshold = percent / 100
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def sets(ids, texts):
-        found = [shingles(t, width) for t in texts]
-        digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in found]
-        return ids, [len(s) for s in found], digests, [signatures(s, threshold).tolist() if len(s) else [] for s in found]
-
-    rows = cut(map_columns(docs, ["doc_id", "text"], sets, f"doc_id {kind}, n_shingles long, digest binary, keys array<long>"))
-    classes = cut(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")).where("rep is not null"))
-    keys = classes.select("rep", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    tiles = cut(keys.join(shared, "key"))
-    wanted = tiles.select(F.col("rep").alias("doc_id")).distinct()
-
-    def bits(ids, texts):
-        found = [shingles(t, width) for t in texts]
-        return ids, [len(s) for s in found], [bitmap(s) for s in found], [s.tobytes() for s in found]
-
-    found = cut(map_columns(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), ["doc_id", "text"], bits, f"doc_id {kind}, n long, bits binary, items binary").dropDuplicates(["doc_id"]))
-
-    def test(a, b, n, x, s, m, y, t):
-        ok = [linked((n[i], x[i], np.frombuffer(s[i], np.uint64)), (m[i], y[i], np.frombuffer(t[i], np.uint64)), percent) for i in range(len(a))]
-        return [v for v, o in zip(a, ok) if o], [v for v, o in zip(b, ok) if o]
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        one = found.select(F.col("doc_id").alias("a"), "n", F.col("bits").alias("x"), F.col("items").alias("s"))
-        two = found.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"), F.col("items").alias("t"))
-        near = pairs.join(one.select("a", "n"), "a").join(two.select("b", "m"), "b").where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-        return map_columns(near.drop("n", "m").join(one, "a").join(two, "b"), ["a", "b", "n", "x", "s", "m", "y", "t"], test, f"a {kind}, b {kind}")
-
-    state = cut(wanted.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("comp")))
-    for turn in range(LEADER_ROUNDS + 1):
-        members = tiles.join(state, F.col("rep") == F.col("node")).select("key", "rep", "comp")
-        open_keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("a")).where("lo < hi")
-        heads = open_keys.select("key", "a").join(state, F.col("a") == F.col("node")).select("key", "a", F.col("comp").alias("a_comp"))
-        if turn == LEADER_ROUNDS:
-            heads = members.join(open_keys.select("key"), "key").select("key", F.col("rep").alias("a"), F.col("comp").alias("a_comp"))
-        pairs = members.join(heads, "key").where("a < rep and a_comp <> comp").select("a", F.col("rep").alias("b")).distinct()
-        pairs = cut(pairs)
-        if pairs.isEmpty() and turn == LEADER_ROUNDS:
-            break
-        new = cut(verify(pairs))
-        if not new.isEmpty():
-            # Only the components that the new links join have to be labelled anew.
-            ends = new.join(state.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(state.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-            joined = components(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-            joined = joined.select(F.col("node").alias("old"), F.col("comp").alias("now"))
-            state = cut(state.join(joined, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("now", "comp").alias("comp")))
-        if turn < LEADER_ROUNDS:
-            tiles = cut(tiles.join(open_keys.select("key", "a"), "key").where("rep <> a").drop("a"))
-    # Documents join their class by digest; AQE splits the partition of a very large class.
-    named = classes.select("digest", "rep").join(state, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
-    slim = rows.select("doc_id", "n_shingles", "digest")
-    full = slim.where("n_shingles > 0").join(named, "digest", "left").select("doc_id", "n_shingles", "component_id")
-    return full.union(slim.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
+    return labelled(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) less those whose component has a row of smaller doc_id (ties:
+    read earlier). Rows without words or without a doc_id stay; columns stay as they are."""
+    found = labelled(docs, width, percent).where("n_shingles > 0 and doc_id is not null")
+    kept = found.groupBy("component_id").agg(F.min_by("row", F.struct("doc_id", "row")).alias("kept"))
+    dropped = stored(found.join(kept, "component_id").where("row <> kept").select(F.col("row").alias("__row")), "dropped")
+    marked = docs.withColumn("__row", F.monotonically_increasing_id())
+    small = dropped.count() <= BROADCAST_ROWS
+    return marked.join(F.broadcast(dropped) if small else dropped, "__row", "left_anti").drop("__row")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by 4-word shingles at a similarity of 0.85 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
