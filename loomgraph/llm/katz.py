@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ FREQUENT = 500_000
 PART_TOKENS = 3_000_000
 #: Bytes of texts that are cut into words at a time.
 BLOCK = 1 << 24
+#: Distinct words by block that a task holds before it passes on their counts.
+HELD_WORDS = 4_000_000
 #: The place of the end of a text among the frequent words; it is also the history of a first word.
 END = 0
 #: Codes of rare words have this bit, so that they differ from the places of frequent ones.
@@ -64,20 +67,23 @@ def unigram_counts(docs: DataFrame) -> DataFrame:
     """(code, c) of the words of docs(text)."""
 
     def part(batches):
-        held = (np.empty(0, np.uint64), np.empty(0, np.int64))
+        held, rows = [], 0
 
-        def rows(pair):
-            return pa.RecordBatch.from_arrays([pa.array(pair[0].view(np.int64)), pa.array(pair[1])], names=["code", "c"])
+        def merged():
+            codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in held]), len(codes)).astype(np.int64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n)], names=["code", "c"])
 
         for batch in batches:
             for some in sliced(batch, BLOCK):
-                codes, n = np.unique(word_codes(some.column(0))[0], return_counts=True)
-                both, at = np.unique(np.r_[held[0], codes], return_inverse=True)
-                held = both, np.bincount(at, np.r_[held[1], n], len(both)).astype(np.int64)
-                if len(both) > 2_000_000:
-                    yield rows(held)
-                    held = held[0][:0], held[1][:0]
-        yield rows(held)
+                held.append(np.unique(word_codes(some.column(0))[0], return_counts=True))
+                rows += len(held[-1][0])
+                if rows > HELD_WORDS:
+                    yield merged()
+                    rows = 0
+        if held:
+            yield merged()
 
     return docs.select("text").mapInArrow(part, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
@@ -109,12 +115,14 @@ class Frequent:
 
 
 def _dealt(base: int, prev, word, cw, doc, n, frequent: Frequent):
-    """One block per task of the tokens' (prev, word, its count, doc, times)."""
+    """One block per task of the tokens' (prev, word, its count, doc, times), given by prev and word."""
     task = frequent.task(prev, word)
-    order = np.lexsort((doc, word, prev, task)) if len(task) else np.empty(0, np.int64)
-    cuts = np.flatnonzero(np.diff(task[order], prepend=-1, append=-1)).tolist() if len(order) else []
+    order = np.argsort(task.astype(np.uint16) if frequent.parts <= 1 << 16 else task, kind="stable")
+    cuts = np.searchsorted(task[order], np.arange(frequent.parts + 1)) if frequent.parts <= len(task) else np.flatnonzero(np.diff(task[order], prepend=-1, append=-1))
     tasks, blocks = [], []
-    for a, b in zip(cuts, cuts[1:]):
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        if a == b:
+            continue
         at = order[a:b]
         head = np.flatnonzero(np.diff(prev[at], prepend=~prev[at[:1]]))
         w = word[at]
@@ -125,41 +133,31 @@ def _dealt(base: int, prev, word, cw, doc, n, frequent: Frequent):
     return pa.RecordBatch.from_arrays([pa.array(tasks, pa.int32()), pa.array(blocks, pa.binary())], names=["task", "block"])
 
 
-def _opened(block: bytes, counts: np.ndarray):
-    base, prev, times, word, rare, rare_c, doc, n = unpack(block)
-    word = word.astype(np.uint64)
-    at = word == 0xFFFFFFFF
-    cw = counts[np.where(at, 0, word).astype(np.int64)]
-    word[at], cw[at] = rare, rare_c
-    return np.repeat(prev, times), word, cw, base[0] + (doc >> np.uint32(1)), doc & np.uint32(1), n
-
-
-def _tokens(some, base: int, frequent: Frequent):
-    """Distinct (prev, word, doc) of a slice, doc as its number and whether it is learnt from."""
+def _tokens(some, base: int, frequent: Frequent, rare: bool):
+    """Distinct (prev, word, doc, times) of the slice's frequent or rare words, by prev and word; doc is
+    a text's number and whether it is learnt from."""
     codes, bounds = word_codes(some.column("text"))
     train = ~np.asarray(some.column("held").to_numpy(zero_copy_only=False), bool)
     size = np.diff(bounds)
-    place = frequent.place(codes)
-    ends = np.arange(len(size)) + bounds[1:]
-    word = np.insert(place, bounds[1:], np.uint64(END))
-    prev = np.r_[np.uint64(END), word[:-1]]
-    prev[ends - size] = END
-    doc = np.repeat((np.arange(len(size)) << 1) | train, size + 1).astype(np.uint32)
-    known, own = np.unique(np.r_[word, np.uint64(END)], return_inverse=True)
-    width = max(1, int(len(known)).bit_length())
-    if 2 * width + max(1, int(len(size)).bit_length()) + 1 <= 64:
-        p = np.r_[own[-1], own[:-2]]
-        p[ends - size] = own[-1]
-        shift = np.uint64(int(len(size)).bit_length() + 1)
-        key = (((p.astype(np.uint64) << np.uint64(width)) | own[:-1].astype(np.uint64)) << shift) | doc
-        key, n = np.unique(key, return_counts=True)
-        doc = key & np.uint64((1 << int(shift)) - 1)
-        key >>= shift
-        return known[key >> np.uint64(width)], known[key & np.uint64((1 << width) - 1)], doc.astype(np.uint32), n
-    order = np.lexsort((doc, word, prev))
-    prev, word, doc = prev[order], word[order], doc[order]
-    head = np.flatnonzero(np.r_[True, (prev[1:] != prev[:-1]) | (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])])
-    return prev[head], word[head], doc[head], np.diff(np.r_[head, len(prev)])
+    place = frequent.lookup.find(codes).astype(np.int64) + 1
+    other = np.flatnonzero(place == 0)
+    # Rare words count on from the frequent ones, in the order of their codes.
+    found, own = np.unique(codes[other] | RARE, return_inverse=True)
+    place[other] = len(frequent.counts) + own
+    word = np.insert(place, bounds[1:], END)
+    prev = np.r_[END, word[:-1]]
+    prev[np.arange(len(size)) + bounds[1:] - size] = END
+    doc = np.repeat((np.arange(len(size)) << 1) | train, size + 1)
+    some = (word >= len(frequent.counts)) == rare
+    prev, word, doc = prev[some], word[some], doc[some]
+    names = np.r_[np.arange(len(frequent.counts), dtype=np.uint64), found]
+    width, low = int(len(names)).bit_length(), int(len(size)).bit_length() + 1
+    if 2 * width + low <= 64:
+        key, n = np.unique((prev.astype(np.uint64) << np.uint64(width + low)) | (word << low | doc).astype(np.uint64), return_counts=True)
+        prev, word, doc = key >> np.uint64(width + low), (key >> np.uint64(low)) & np.uint64((1 << width) - 1), key & np.uint64((1 << low) - 1)
+    else:
+        (prev, word, doc), n = np.unique(np.stack([prev, word, doc]), axis=1, return_counts=True)
+    return names[prev], names[word], doc.astype(np.uint32), n
 
 
 def _pairs(docs: DataFrame, shared, rare: bool) -> DataFrame:
@@ -169,14 +167,12 @@ def _pairs(docs: DataFrame, shared, rare: bool) -> DataFrame:
         for batch in batches:
             for some in sliced(batch, BLOCK):
                 at = some.column("row")[0].as_py()
-                prev, word, doc, n = _tokens(some, at, shared.value)
-                is_rare = word >= RARE
+                prev, word, doc, n = _tokens(some, at, shared.value, rare)
                 if rare:
-                    cols = [word[is_rare].view(np.int64), prev[is_rare].view(np.int64), doc[is_rare].astype(np.int64) + 2 * at, n[is_rare].astype(np.int32)]
+                    cols = [word.view(np.int64), prev.view(np.int64), doc.astype(np.int64) + 2 * at, n.astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["word", "prev", "doc", "n"])
                 else:
-                    keep = ~is_rare
-                    yield _dealt(at, prev[keep], word[keep], n[keep], doc[keep], n[keep], shared.value)
+                    yield _dealt(at, prev, word, n, doc, n, shared.value)
 
     return docs.select("row", "text", "held").mapInArrow(part, "word long, prev long, doc long, n int" if rare else "task int, block binary")
 
@@ -185,15 +181,13 @@ def _dealt_rare(rows: DataFrame, shared) -> DataFrame:
     def part(batches):
         for batch in batches:
             word, prev, doc, n, c = (batch.column(k).to_numpy() for k in ("word", "prev", "doc", "n", "c"))
-            base = int(doc.min() >> 1) if len(doc) else 0
-            order = np.argsort(doc, kind="stable")
-            # Numbers of documents are held in 31 bits from the least of their block.
-            far = (doc[order] >> 1) - base >> 30
-            for a, b in zip(cuts := [0, *(np.flatnonzero(np.diff(far)) + 1).tolist(), len(doc)], cuts[1:]):
-                at = order[a:b]
-                if len(at):
-                    low = int(doc[at[0]] >> 1)
-                    yield _dealt(low, prev[at].view(np.uint64), word[at].view(np.uint64), c[at], doc[at] - 2 * low, n[at], shared.value)
+            word, prev = word.view(np.uint64), prev.view(np.uint64)
+            # Numbers of documents are held in 31 bits from that of their partition's first.
+            part_of = doc >> 34
+            for p in np.unique(part_of).tolist():
+                at = np.flatnonzero(part_of == p)
+                at = at[np.lexsort((doc[at], word[at], prev[at]))]
+                yield _dealt(p << 33, prev[at], word[at], c[at], doc[at] - (p << 34), n[at], shared.value)
 
     return rows.mapInArrow(part, "task int, block binary")
 
@@ -204,25 +198,35 @@ def _counted(blocks: DataFrame, shared, uni: Unigrams) -> DataFrame:
 
     def part(batches):
         f = shared.value
-        found = [_opened(b, f.counts) for batch in batches for b in batch.column(1).to_pylist()]
+        found = [unpack(b) for batch in batches for b in batch.column(1).to_pylist()]
         if not found:
             return
-        prev, word, cw, doc, train, n = (np.concatenate([x[k] for x in found]) for k in range(6))
+        heads, own = np.unique(np.concatenate([x[1] for x in found]), return_inverse=True)
+        p = np.repeat(own, np.concatenate([x[2] for x in found]))
+        word, rare, rare_c = (np.concatenate([x[k] for x in found]) for k in (3, 4, 5))
+        doc = np.concatenate([x[0][0] + (x[6] >> np.uint32(1)) for x in found])
+        n = np.concatenate([x[7] for x in found])
+        times_learnt = n * np.concatenate([x[6] & np.uint32(1) for x in found])
         del found
-        heads, p = np.unique(prev, return_inverse=True)
-        kinds, w = np.unique(word, return_inverse=True)
-        key = p * len(kinds) + w
-        order = np.lexsort((doc, key))
+        is_rare = word == 0xFFFFFFFF
+        kinds, own = np.unique(rare, return_inverse=True)
+        word = word.astype(np.int64)
+        word[is_rare] = len(f.counts) + own
+        cw = f.counts[np.where(is_rare, 0, word)]
+        cw[is_rare] = rare_c
+        # Each block came in this order, so the sort merges runs.
+        key = p * (len(f.counts) + len(kinds)) + word
+        order = np.argsort(key, kind="stable")
         key = key[order]
         first = np.flatnonzero(np.diff(key, prepend=-1))
         times = np.diff(np.r_[first, len(key)])
-        c = np.add.reduceat((n * train)[order].astype(np.int64), first)
+        c = np.add.reduceat(times_learnt[order].astype(np.int64), first)
         at = order[first]
         head, pair_cw = p[at], cw[at]
         of = [int((c == r).sum()) for r in range(1, K + 2)]
         spread = f.spread_of(heads) > 1
         sums = np.array([np.bincount(head, (c == r) & spread[head], len(heads)) for r in range(1, K + 1)] + [np.bincount(head, uni.p(pair_cw) * ((c > 0) & spread[head]), len(heads))])
-        block = pack(heads, np.diff(np.r_[np.searchsorted(head, np.arange(len(heads))), len(head)]).astype(np.uint32), c.astype(np.uint64), pair_cw.astype(np.uint32), (kinds[w[at]] >= RARE).astype(np.uint8), times.astype(np.uint32), doc[order], n[order])
+        block = pack(heads, np.diff(np.r_[np.searchsorted(head, np.arange(len(heads))), len(head)]).astype(np.uint32), c.astype(np.uint64), pair_cw.astype(np.uint32), is_rare[at].astype(np.uint8), times.astype(np.uint32), doc[order], n[order])
         split = np.flatnonzero(spread)
         yield pa.RecordBatch.from_arrays(
             [pa.array([of], pa.list_(pa.int64())), pa.array([heads[split].view(np.int64)], pa.list_(pa.int64())), pa.array([sums[:, split].T.ravel()], pa.list_(pa.float64())), pa.array([block], pa.binary())],
@@ -264,7 +268,7 @@ def _scored(pairs: DataFrame, shared, uni: Unigrams, ratio: np.ndarray, split, b
                 heads, per_head, c, cw, rare, times, doc, n = unpack(block)
                 logs = np.repeat(pair_logs(heads, per_head, c.astype(np.int64), cw.astype(np.int64), ratio, uni, f.counts, split.value), times) * n
                 is_rare = np.repeat(rare, times) * n
-                docs, at = np.unique(doc, return_inverse=True)
+                at, docs = pd.factorize(doc)
                 base = np.log10((np.repeat(cw, times) + 0.5) / (total + 0.5 * (kinds + 1)))
                 cols = [docs, np.bincount(at, logs), np.bincount(at, is_rare * (np.repeat(cw, times) > 0)).astype(np.int64), np.bincount(at, is_rare * base)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["row", "score", "known", "base"])
