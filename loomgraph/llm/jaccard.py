@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import mix, pack, unpack, word_codes
@@ -16,12 +16,14 @@ from .common import cut, discard, sliced, stored, table
 BITS = 2048
 #: Logarithmic step of the size bands.
 STEP = 0.5
-#: Parts of a set beyond those that two linked sets can differ in.
-SPARE = 1.05
+#: Parts of a set over those that two linked sets can differ in; the more, the more large tiles a set can leave.
+SPARE = 1.3
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of texts that are cut into shingles at a time, and keys that one task sorts.
 BLOCK = 1 << 23
-TASK_KEYS = 2_000_000
+TASK_KEYS = 1_500_000
+#: Tiles of fewer classes are not left.
+LARGE = 8
 #: Rows up to which the documents to fetch are broadcast (24 bytes each); beyond, texts are shuffled.
 BROADCAST_ROWS = 2_000_000
 #: Members of a tile's leader that are compared in one group.
@@ -58,14 +60,14 @@ def class_id(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else 0
 
 
-def signatures(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(key, index of the set): per size band a set takes part in, one key per part of its elements.
+def signatures(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, its owner) and the owners as rows (index of the set, band, spare).
 
-    A band covers the sizes from exp(l * STEP) to exp((l + 1) * STEP) / t; two linked sets share the
-    band of the smaller one. Linked sets of sizes n and m differ in at most (1 - t) / (1 + t) * (n + m)
-    elements, so with more parts than that for the largest two of a band, the elements are hashed
-    into parts of which at least one is equal. A set with more parts in use than it can differ in
-    from any set of the band agrees in a used one, and so needs no keys for its empty parts.
+    Per size band a set takes part in, it has one key per part of its elements. A band covers the
+    sizes from exp(l * STEP) to exp((l + 1) * STEP) / t; two linked sets share the band of the
+    smaller one. Linked sets of sizes n and m differ in at most (1 - t) / (1 + t) * (n + m) elements,
+    each of which changes one part, so that a set agrees with any linked one in at least its used
+    parts less that limit. If there are none to spare, it has keys for its empty parts too.
     """
     n = np.array([len(s) for s in sets], np.int64)
     every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
@@ -73,8 +75,8 @@ def signatures(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np
     differ = (1 - threshold) / (1 + threshold)
     with np.errstate(divide="ignore"):
         highest = np.where(n > 0, np.floor(np.log(n) / STEP), 0).astype(np.int64)
-    keys, owners = [], []
-    for back in range(1 + math.ceil(-math.log(threshold) / STEP) + 1):
+    keys, owners, entries = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty((3, 0), np.int64)]
+    for back in range(math.ceil(-math.log(threshold) / STEP) + 2):
         level = highest + 1 - back
         low, top = np.exp(level * STEP), np.exp((level + 1) * STEP) / threshold
         member = (n > 0) & (low <= n * (1 + 1e-9)) & (n <= top * (1 + 1e-9))
@@ -96,12 +98,13 @@ def signatures(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np
             who = np.repeat(np.arange(len(sets)), parts)
             part = (np.arange(total) - base[who]).astype(np.uint64)
             key = mix(sums ^ mix(part * MULTIPLIER ^ salt[who]))
-        limit = np.floor(differ * (n + np.minimum(top, n / threshold)) + 1e-6)
-        sparse = np.bincount(who, used, len(sets)) <= limit
-        kept = used | sparse[who]
+        limit = np.floor(differ * (n + np.minimum(top, n / threshold)) + 1e-6).astype(np.int64)
+        spare = np.bincount(who, used, len(sets)).astype(np.int64) - limit
+        kept = used | (spare <= 0)[who]
         keys.append(key[kept])
-        owners.append(who[kept])
-    return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        owners.append(who[kept] + sum(e.shape[1] for e in entries))
+        entries.append(np.stack([np.arange(len(sets)), np.maximum(level, 0), np.maximum(spare, 0)]))
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(entries, axis=1)
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -142,15 +145,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _measured(docs: DataFrame, width: int) -> DataFrame:
-    """(row, doc_id, n, cid) of every row of docs(row, doc_id, text)."""
+    """(row, doc_id, n, cid, bits) of every row of docs(row, doc_id, text)."""
 
     def part(batches):
         for batch in batches:
             for some in sliced(batch, BLOCK):
                 found = shingle_sets(some.column("text"), width)
-                yield pa.RecordBatch.from_arrays([some.column("row"), some.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([class_id(s) for s in found], pa.int64())], names=["row", "doc_id", "n", "cid"])
+                yield pa.RecordBatch.from_arrays([some.column("row"), some.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([class_id(s) for s in found], pa.int64()), pa.array([bitmap(s).tobytes() for s in found], pa.binary())], names=["row", "doc_id", "n", "cid", "bits"])
 
-    return docs.mapInArrow(part, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, cid long")
+    return docs.mapInArrow(part, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, cid long, bits binary")
 
 
 def _keys(docs: DataFrame, width: int, threshold: float, tasks: int) -> DataFrame:
@@ -163,9 +166,9 @@ def _keys(docs: DataFrame, width: int, threshold: float, tasks: int) -> DataFram
                 names = np.array([class_id(s) for s in found], np.int64)
                 _, one = np.unique(names, return_index=True)
                 one = one[[len(found[i]) > 0 for i in one]] if len(one) else one
-                key, who = signatures([found[i] for i in one], threshold)
-                size = np.array([len(found[i]) for i in one], np.int64)
-                names = names[one]
+                key, who, (whose, band, spare) = signatures([found[i] for i in one], threshold)
+                size = np.array([len(found[i]) for i in one], np.int64)[whose]
+                names = names[one][whose]
                 task = ((key >> np.uint64(33)) % np.uint64(tasks)).astype(np.int32)
                 order = np.lexsort((key, task))
                 cuts = np.searchsorted(task[order], np.arange(tasks + 1))
@@ -173,55 +176,148 @@ def _keys(docs: DataFrame, width: int, threshold: float, tasks: int) -> DataFram
                 for k in np.flatnonzero(np.diff(cuts)).tolist():
                     at = order[cuts[k] : cuts[k + 1]]
                     used, own = np.unique(who[at], return_inverse=True)
-                    out.append((k, pack(key[at], own.astype(np.uint32), names[used], size[used].astype(np.uint32))))
+                    out.append((k, pack(key[at], own.astype(np.uint32), names[used], size[used].astype(np.uint32), band[used].astype(np.uint8), spare[used].astype(np.uint32))))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["task", "block"])
 
     return docs.select("text").mapInArrow(part, "task int, block binary")
 
 
+def _block(key, cid, n, band, spare, times=None) -> bytes:
+    """The tiles of two classes or more, given by key and class: sizes, bands and how many keys have
+    just these members; then the members, those that take part in most tiles first (a text that
+    others were made from comes before them)."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    size = np.diff(np.r_[first, len(key)])
+    with np.errstate(over="ignore"):
+        mark = np.add.reduceat(mix(cid.view(np.uint64)), first) if len(first) else np.empty(0, np.uint64)
+        mark = mix(mark ^ band[first]) if len(first) else mark
+    _, kinds, same = np.unique(mark, return_index=True, return_inverse=True)
+    times = np.bincount(same, times[first] if times is not None else None, len(kinds))
+    keep = np.zeros(len(first), bool)
+    keep[kinds] = True
+    keep &= size > 1
+    all_times = np.zeros(len(first), np.int64)
+    all_times[kinds] = times
+    on = np.repeat(keep, size)
+    tile = np.repeat(np.arange(len(first)), size)[on]
+    cid, n, spare = cid[on], n[on], spare[on]
+    names, own = np.unique(cid, return_inverse=True)
+    degree = np.bincount(own, all_times[tile], len(names))[own]
+    order = np.lexsort((cid, -degree, tile))
+    return pack(size[keep].astype(np.uint32), band[first][keep].astype(np.uint8), all_times[keep].astype(np.uint32), cid[order], n[order].astype(np.uint32), spare[order].astype(np.uint32))
+
+
 def _tiles(blocks: DataFrame) -> DataFrame:
-    """One row per task: the tiles of two classes or more, members in order of how many tiles they
-    take part in (a text that others were made from comes first); equal tiles are kept once."""
+    """(task, block): one row per task with its tiles."""
 
     def part(batches):
         found, task = [], None
         for batch in batches:
             for k, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key, own, names, size = unpack(block)
-                found.append((key, names[own], size[own]))
+                key, own, *rest = unpack(block)
+                found.append((key, *(x[own] for x in rest)))
                 task = k
         if not found:
             return
-        key, cid, n = (np.concatenate([x[k] for x in found]) for k in range(3))
-        del found
+        key = np.concatenate([x[0] for x in found])
         order = np.argsort(key, kind="stable")
         key = key[order]
         same = key[1:] == key[:-1]
         shared = np.r_[same, False] | np.r_[False, same]
-        key, cid, n = key[shared], cid[order[shared]], n[order[shared]]
+        key, order = key[shared], order[shared]
+        cid, n, band, spare = (np.concatenate([x[k] for x in found])[order] for k in (1, 2, 3, 4))
+        del found
         order = np.lexsort((cid, key))
-        key, cid, n = key[order], cid[order], n[order]
-        once = np.r_[True, (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])] if len(key) else np.empty(0, bool)
-        key, cid, n = key[once], cid[once], n[once]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-        size = np.diff(np.r_[first, len(key)])
-        names, own = np.unique(cid, return_inverse=True)
-        degree = np.bincount(own, np.repeat(size > 1, size), len(names))
-        with np.errstate(over="ignore"):
-            mark = np.add.reduceat(mix(cid.view(np.uint64)), first) if len(first) else np.empty(0, np.uint64)
-        _, kinds = np.unique(mark, return_index=True)
-        keep = np.zeros(len(first), bool)
-        keep[kinds] = True
-        keep &= size > 1
-        on = np.repeat(keep, size)
-        tile = np.repeat(np.arange(len(first)), size)[on]
-        cid, n, d = cid[on], n[on], degree[own[on]]
-        order = np.lexsort((cid, -d, tile))
-        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([pack(size[keep].astype(np.uint32), cid[order], n[order].astype(np.uint32))], pa.binary())], names=["task", "block"])
+        order = order[np.r_[True, (np.diff(key[order]) != 0) | (np.diff(cid[order]) != 0)]] if len(key) else order
+        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([_block(*(x[order] for x in (key, cid, n, band, spare)))], pa.binary())], names=["task", "block"])
 
     return blocks.mapInArrow(part, "task int, block binary")
 
 
+def _told(tiles: DataFrame, asked, values: DataFrame, tasks: int, fn, schema: str) -> DataFrame:
+    """fn(task, block's arrays, rows of cid, band and value, bitmaps of these) of every task's block, with
+    the values(cid, band, value, bits) of those members that asked(arrays) -> (cid, band) picks."""
+
+    def members(batches):
+        for batch in batches:
+            for task, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                cid, band = asked(*unpack(block))
+                both = np.unique(np.stack([cid, band.astype(np.int64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(both.shape[1], task, np.int32)), pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["task", "cid", "band"])
+
+    known = tiles.mapInArrow(members, "task int, cid long, band long").join(values, ["cid", "band"]).select("task", F.lit(None).cast("binary").alias("block"), "cid", "band", "value", "bits")
+    blank = F.lit(None).cast("long")
+    both = tiles.select("task", "block", blank.alias("cid"), blank.alias("band"), blank.alias("value"), F.lit(None).cast("binary").alias("bits")).unionByName(known)
+
+    def part(batches):
+        blocks, rows, bits = [], [np.empty((3, 0), np.int64)], []
+        for batch in batches:
+            blocks += zip(batch.column("task").to_pylist(), batch.column("block").to_pylist())
+            rows.append(np.stack([batch.column(k).drop_null().to_numpy() for k in ("cid", "band", "value")]))
+            bits += batch.column("bits").drop_null().to_pylist()
+        rows = np.concatenate(rows, axis=1)
+        order = np.lexsort((rows[1], rows[0]))
+        rows = rows[:, order]
+        bits = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64)
+        bits = bits[order] if len(bits) else bits
+        for task, block in blocks:
+            if block is not None:
+                yield from fn(task, unpack(block), rows, bits)
+
+    return both.repartitionById(tasks, F.col("task")).mapInArrow(part, schema)
+
+
+def _value(rows: np.ndarray, cid: np.ndarray, band: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The value of each (cid, band) among the sorted rows, `other` where there is none."""
+    if not rows.shape[1]:
+        return other
+    names = np.unique(rows[0])
+    key = np.searchsorted(names, rows[0]) * 512 + rows[1]
+    at = np.minimum(np.searchsorted(names, cid), len(names) - 1)
+    want = at * 512 + band.astype(np.int64)
+    place = np.minimum(np.searchsorted(key, want), len(key) - 1)
+    return np.where((names[at] == cid) & (key[place] == want), rows[2][place], other)
+
+
+def _pruned(tiles: DataFrame, tasks: int) -> DataFrame:
+    """The tiles without the members that need not be there.
+
+    A set agrees with any linked one in at least `spare` keys of a band. If it leaves fewer than
+    that, the largest tiles first, and so do all others, one common key is left to each linked pair,
+    as what the two leave of their common keys are the largest tiles of these.
+    """
+
+    def count(batches):
+        for batch in batches:
+            for block in batch.column(1).to_pylist():
+                size, band, times, cid, _, spare = unpack(block)
+                large = np.repeat(size >= LARGE, size)
+                rows = np.stack([cid[large], np.repeat(band, size)[large].astype(np.int64), spare[large].astype(np.int64), np.repeat(np.floor(np.log2(np.maximum(size, 1))).astype(np.int64), size)[large]])
+                kinds, at = np.unique(rows, axis=1, return_inverse=True)
+                n = np.bincount(at.ravel(), np.repeat(times, size)[large], kinds.shape[1]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in kinds), pa.array(n, pa.int64())], names=["cid", "band", "spare", "log", "n"])
+
+    logs = tiles.mapInArrow(count, "cid long, band long, spare long, log long, n long").groupBy("cid", "band", "spare", "log").agg(F.sum("n").alias("n"))
+    down = Window.partitionBy("cid", "band").orderBy(F.desc("log"))
+    leave = logs.withColumn("so_far", F.sum("n").over(down)).where("so_far < spare").groupBy("cid", "band").agg(F.min("log").alias("value")).withColumn("bits", F.lit(None).cast("binary"))
+
+    def asked(size, band, times, cid, n, spare):
+        large = np.repeat(size >= LARGE, size)
+        return cid[large], np.repeat(band, size)[large]
+
+    def keep(task, arrays, rows, bits):
+        size, band, times, cid, n, spare = arrays
+        bands, sizes = np.repeat(band, size), np.repeat(size, size)
+        log = np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)
+        stay = (sizes < LARGE) | (log < _value(rows, cid, bands, np.full(len(cid), 64)))
+        tile = np.repeat(np.arange(len(size)), size)
+        order = np.flatnonzero(stay)
+        order = order[np.lexsort((cid[order], tile[order]))]
+        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([_block(*(x[order] for x in (tile, cid, n, bands, spare, np.repeat(times, size))))], pa.binary())], names=["task", "block"])
+
+    return _told(tiles, asked, leave, tasks, keep, "task int, block binary")
+
+
 def _distinct(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     names, own = np.unique(np.r_[a, b], return_inverse=True)
     key = np.unique(own[: len(a)] * len(names) + own[len(a) :])
@@ -234,7 +330,7 @@ def _led(tiles: DataFrame, percent: int) -> DataFrame:
     def part(batches):
         for batch in batches:
             for block in batch.column(0).to_pylist():
-                size, cid, n = unpack(block)
+                size, _, _, cid, n, _ = unpack(block)
                 first = np.cumsum(size, dtype=np.int64) - size
                 a, m = np.repeat(cid[first], size), np.repeat(n[first], size).astype(np.int64)
                 ok = (a != cid) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
@@ -243,49 +339,66 @@ def _led(tiles: DataFrame, percent: int) -> DataFrame:
     return tiles.select("block").mapInArrow(part, "a long, b long").distinct()
 
 
-def _left(tiles: DataFrame, state: DataFrame, tasks: int, percent: int, turn: int) -> DataFrame:
-    """(a, b) from the tiles whose members are in different components by state(node, comp): of turn 1
-    those of the second member, of turn 2 all pairs after it."""
+def _open(tiles: DataFrame, state: DataFrame, tasks: int, after: int) -> DataFrame:
+    """The tiles whose members after the first `after` are in different components by state(node, comp);
+    the component takes the place of `spare`."""
 
-    def members(batches):
-        for batch in batches:
-            for task, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                size, cid, _ = unpack(block)
-                names = np.unique(cid[np.repeat(size > turn + 1, size)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), task, np.int32)), pa.array(names, pa.int64())], names=["task", "cid"])
+    def asked(size, band, times, cid, n, spare):
+        some = cid[np.repeat(size > after + 1, size)]
+        return some, np.zeros(len(some))
+
+    def keep(task, arrays, rows, bits):
+        size, band, times, cid, n, _ = arrays
+        comp = _value(rows, cid, np.zeros(len(cid)), cid)
+        first = np.cumsum(size, dtype=np.int64) - size
+        different = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first) if len(first) else np.empty(0, bool)
+        some = different & (size > after + 1)
+        on = np.repeat(some, size)
+        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([pack(size[some], band[some], times[some], cid[on], n[on], comp[on])], pa.binary())], names=["task", "block"])
 
-    wanted = tiles.mapInArrow(members, "task int, cid long")
-    known = wanted.join(state, F.col("cid") == F.col("node")).select("task", F.lit(None).cast("binary").alias("block"), "cid", "comp")
-    both = tiles.select("task", "block", F.lit(None).cast("long").alias("cid"), F.lit(None).cast("long").alias("comp")).unionByName(known)
+    values = state.select(F.col("node").alias("cid"), F.lit(0).cast("long").alias("band"), F.col("comp").alias("value"), F.lit(None).cast("binary").alias("bits"))
+    return _told(tiles, asked, values, tasks, keep, "task int, block binary")
+
+
+def _second(tiles: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of every open tile its second member with the later ones in other components."""
 
     def part(batches):
-        blocks, nodes, comps = [], [], []
         for batch in batches:
-            blocks += [b for b in batch.column("block").to_pylist() if b is not None]
-            nodes.append(batch.column("cid").drop_null().to_numpy())
-            comps.append(batch.column("comp").drop_null().to_numpy())
-        nodes, comps = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (nodes, comps))
-        order = np.argsort(nodes)
-        nodes, comps = nodes[order], comps[order]
-        for block in blocks:
-            size, cid, n = unpack(block)
-            comp = cid.copy()
-            if len(nodes):
-                at = np.minimum(np.searchsorted(nodes, cid), len(nodes) - 1)
-                comp = np.where(nodes[at] == cid, comps[at], cid)
-            first = np.cumsum(size, dtype=np.int64) - size
-            if not len(first):
-                continue
-            open_ = (np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)) & (size > turn + 1)
-            for f, k in zip(first[open_].tolist(), size[open_].tolist()):
-                c, g, s = cid[f + turn : f + k], comp[f + turn : f + k], n[f + turn : f + k].astype(np.int64)
-                for i in range(1 if turn == 1 else len(c) - 1):
-                    ok = (g[i + 1 :] != g[i]) & (100 * np.minimum(s[i], s[i + 1 :]) >= percent * np.maximum(s[i], s[i + 1 :]))
-                    if ok.any():
-                        b = c[i + 1 :][ok]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), c[i]), pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return both.repartitionById(tasks, F.col("task")).mapInArrow(part, "a long, b long").distinct()
+            for block in batch.column(0).to_pylist():
+                size, _, _, cid, n, comp = unpack(block)
+                at = np.cumsum(size, dtype=np.int64) - size + 1
+                a, m, g = np.repeat(cid[at], size), np.repeat(n[at], size).astype(np.int64), np.repeat(comp[at], size)
+                ok = (np.arange(len(cid)) > np.repeat(at, size)) & (g != comp) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
+                yield _distinct(a[ok], cid[ok])
+
+    return tiles.select("block").mapInArrow(part, "a long, b long").distinct()
+
+
+def _rest(tiles: DataFrame, classes: DataFrame, tasks: int, percent: int) -> DataFrame:
+    """(a, b): of every open tile all pairs after the second member that are in different components
+    and whose sizes and bit counts allow the link."""
+
+    def asked(size, band, times, cid, n, comp):
+        return cid, np.zeros(len(cid))
+
+    def pairs(task, arrays, rows, bits):
+        size, _, _, cid, n, comp = arrays
+        place = np.searchsorted(rows[0], cid)
+        for f, k in zip((np.cumsum(size, dtype=np.int64) - size).tolist(), size.tolist()):
+            f, k = f + 2, k - 2
+            c, g, s, x = cid[f : f + k], comp[f : f + k], n[f : f + k].astype(np.int64), bits[place[f : f + k]]
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i in range(k - 1):
+                j = i + 1 + np.flatnonzero((g[i + 1 :] != g[i]) & (100 * np.minimum(s[i], s[i + 1 :]) >= percent * np.maximum(s[i], s[i + 1 :])))
+                most = np.minimum(s[i] - np.bitwise_count(x[i] & ~x[j]).sum(1, dtype=np.int64), s[j] - np.bitwise_count(x[j] & ~x[i]).sum(1, dtype=np.int64))
+                j = j[100 * most >= percent * (s[i] + s[j] - most)]
+                a.append(np.minimum(c[i], c[j]))
+                b.append(np.maximum(c[i], c[j]))
+            yield _distinct(np.concatenate(a), np.concatenate(b))
+
+    values = classes.select("cid", F.lit(0).cast("long").alias("band"), F.lit(0).cast("long").alias("value"), "bits")
+    return _told(tiles, asked, values, tasks, pairs, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
@@ -331,19 +444,21 @@ def labelled(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     full = rows.where("n > 0")
     total = full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tasks = max(1, -(-total * 2 // 5 // TASK_KEYS))
-    tiles = stored(_tiles(_keys(docs, width, percent / 100, tasks).repartitionById(tasks, F.col("task"))), "tiles")
-    classes = full.groupBy("cid").agg(F.min("row").alias("row"), F.min("doc_id").alias("rep"))
-    wanted = classes.select("cid", "row")
-    links, state = None, None
+    every = stored(_tiles(_keys(docs, width, percent / 100, tasks).repartitionById(tasks, F.col("task"))), "tiles")
+    tiles = stored(_pruned(every, tasks), "pruned")
+    discard(every)
+    classes = full.groupBy("cid").agg(F.min("row").alias("row"), F.min("doc_id").alias("rep"), F.any_value("bits").alias("bits"))
+    links, state = None, docs.sparkSession.createDataFrame([], "node long, comp long")
     for turn in range(3):
-        if turn and state is None:
-            continue
-        pairs = stored(_led(tiles, percent) if turn == 0 else _left(tiles, state, tasks, percent, turn), "pairs")
-        if turn == 0 and state is None:
-            state = docs.sparkSession.createDataFrame([], "node long, comp long")
+        if turn:
+            # Tiles of two, and what the first members' links have joined, need no more.
+            tiles, before = stored(_open(tiles, state, tasks, turn), "open"), tiles
+            discard(before)
+        found = _rest(tiles, classes, tasks, percent) if turn == 2 else (_led, _second)[turn](tiles, percent)
+        pairs = stored(found, "pairs")
         if pairs.isEmpty():
             continue
-        new = stored(_verified(pairs, docs, wanted, width, percent), "links")
+        new = stored(_verified(pairs, docs, classes.select("cid", "row"), width, percent), "links")
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             state = components(links)
@@ -366,8 +481,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     told apart by 64-bit codes.
 
     A tile holds the classes that agree in one part of their elements. Its first member is compared
-    with all others, then the second, then all pairs that are still in different components; pairs
-    meet bit counts before the exact intersection. `docs` must give the same rows in the same
+    with all others, then the second, then all pairs that are still in different components and
+    whose bit counts allow a link, before the exact intersection. `docs` must give the same rows in the same
     partitions each time it is read, as files do.
     """
     return labelled(docs, width, percent).select("doc_id", "n_shingles", "component_id")
