@@ -2,92 +2,264 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import heapq
+import re
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .arrays import pack, unpack
+from .common import sliced, table
 
-#: Longer words are cut into runs of so many characters, which bounds a lattice.
-LONGEST = 256
 SPACE = "▁"
+#: A run of blanks with what follows it, or a line break: no piece joins two of them.
+WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+#: Words of more characters are merged by a queue instead of bit masks of 64-bit integers.
+MASKED = 62
+#: Bytes of texts whose distinct words are asked for together.
+BLOCK = 1 << 25
 
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(piece, id, score) of a model's ordinary pieces; its size is that of the vocabulary file."""
+def _processor(path: str):
     from sentencepiece import SentencePieceProcessor
 
-    p = SentencePieceProcessor(model_file=path)
+    return SentencePieceProcessor(model_file=path)
+
+
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(piece, id, score) of a model's ordinary pieces; its size is that of the vocabulary file."""
+    p = _processor(path)
     rows = [(p.id_to_piece(i), i, p.get_score(i)) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))]
+    if any(SPACE in r[0].lstrip(SPACE) or ("\n" in r[0] and len(r[0]) > 1) for r in rows):
+        raise ValueError("the model has pieces that go over the end of a word")
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
 def first_byte_id(path: str) -> int:
-    from sentencepiece import SentencePieceProcessor
+    return _processor(path).piece_to_id("<0x00>")
 
-    return SentencePieceProcessor(model_file=path).piece_to_id("<0x00>")
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text with a leading blank, blanks as U+2581; joined they are the text."""
+    return WORD.findall((" " + text).replace(" ", SPACE)) if text else []
 
-def split_words(text):
-    """The text with a leading space, spaces as U+2581, cut before every space."""
-    t = F.when(F.length(text) > 0, F.translate(F.concat(F.lit(" "), text), " ", SPACE)).otherwise(F.lit(""))
-    return F.regexp_extract_all(t, F.lit(f"(?s){SPACE}[^{SPACE}]{{1,{LONGEST}}}|[^{SPACE}]{{1,{LONGEST}}}|{SPACE}"), F.lit(0))
 
+def _bytes_of(char: Column, byte0: int) -> Column:
+    hexes = F.hex(F.encode(char, "UTF-8"))
+    return F.transform(F.sequence(F.lit(1), F.length(hexes), F.lit(2)), lambda i: (F.conv(F.substring(hexes, i, F.lit(2)), 16, 10) + byte0).cast("int"))
 
-def encode_words(vocabulary: DataFrame, pieces: DataFrame, byte0: int) -> DataFrame:
-    """(word, ids) of distinct words: the path of greatest summed score, the shortest last piece on ties.
 
-    A character without a piece is spelled in bytes, at a cost below any piece's.
+def edges_of(vocabulary: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(word, start, len, score, id) of all pieces in the words, and of each character without one (id null)."""
+    width = pieces.agg(F.coalesce(F.max(F.length("piece")), F.lit(1))).first()[0]
+    at = vocabulary.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    cut = at.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.length("word") - F.col("start"), F.lit(width)))).alias("len"))
+    cut = cut.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("len")))
+    return cut.join(F.broadcast(pieces), "piece", "left").where("id is not null or len = 1").select("word", "start", "len", "score", "id")
+
+
+def _ids(word: Column, chosen: Column, byte0: int) -> Column:
+    """The ids of the chosen edges, characters without a piece in bytes."""
+    return F.flatten(F.transform(chosen, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(_bytes_of(F.substring(word, e["start"] + 1, F.lit(1)), byte0))))
+
+
+def merged_words(vocabulary: DataFrame, pieces: DataFrame, byte0: int) -> DataFrame:
+    """(word, ids) of distinct words as a merging model has them.
+
+    The fold's state is the set of the symbols' bounds as bits. Each step takes the lattice's edge
+    of highest score (ties: leftmost) that spans just two symbols and drops the bound between them.
     """
+    short = edges_of(vocabulary.where(F.length("word") <= MASKED), pieces)
+    bit = F.expr("shiftleft(1L, start)")
+    inner = F.expr("shiftleft(shiftleft(1L, len - 1) - 1L, start + 1)")
+    edge = F.struct((-F.col("score")).alias("cost"), "start", "id", (bit + F.expr("shiftleft(1L, start + len)")).alias("ends"), inner.alias("inner"))
+    grouped = short.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("es"))
+    joints = F.filter("es", lambda e: e["inner"] != 0)
+
+    def step(bounds, _):
+        free = F.filter("joints", lambda e: (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1))
+        return F.when(F.size(free) > 0, bounds.bitwiseAND(F.bitwise_not(free[0]["inner"]))).otherwise(bounds)
+
+    every = F.expr("shiftleft(1L, length(word) + 1) - 1L")
+    turns = F.least(F.size("joints"), F.length("word") - 1)
+    bounds = F.when(turns > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), turns)), every, step)).otherwise(every)
+    folded = grouped.withColumn("joints", joints).withColumn("bounds", bounds)
+    left = F.filter("es", lambda e: (F.col("bounds").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("bounds").bitwiseAND(e["inner"]) == 0))
+    chosen = F.array_sort(F.transform(left, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
+    folded = folded.select("word", _ids(F.col("word"), chosen, byte0).alias("ids"))
+    return folded.union(_queued(vocabulary.where(F.length("word") > MASKED), pieces, byte0))
+
+
+def _queued(long: DataFrame, pieces: DataFrame, byte0: int) -> DataFrame:
+    """The same for words of any length, by a queue of the neighbouring symbols that form a piece."""
+    shared = long.sparkSession.sparkContext.broadcast({r.piece: (-r.score, r.id) for r in pieces.collect()})
+
+    def ids(word: str) -> list[int]:
+        known, n = shared.value, len(word)
+        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        queue = []
+
+        def offer(i):
+            j = after[i]
+            if j < n and (found := known.get(word[i : end[j]])):
+                heapq.heappush(queue, (found[0], i, j, end[j]))
+
+        for i in range(n - 1):
+            offer(i)
+        while queue:
+            _, i, j, stop = heapq.heappop(queue)
+            if end[i] != j or end[j] != stop:
+                continue
+            end[i], end[j], after[i] = stop, -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        out, i = [], 0
+        while i < n:
+            found = known.get(word[i : end[i]])
+            out += [found[1]] if found else [byte0 + b for b in word[i : end[i]].encode()]
+            i = end[i]
+        return out
+
+    def part(batches):
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([ids(w) for w in words], pa.list_(pa.int32()))], names=["word", "ids"])
+
+    return long.mapInArrow(part, "word string, ids array<int>")
+
+
+def best_words(vocabulary: DataFrame, pieces: DataFrame, byte0: int) -> DataFrame:
+    """(word, ids) of distinct words as a model of piece probabilities has them: Viterbi's path of the
+    greatest summed score, the shortest last piece on ties; a spelled character costs more than any piece."""
     width = pieces.agg(F.coalesce(F.max(F.length("piece")), F.lit(1))).first()[0]
-    at = vocabulary.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("end"))
-    sub = at.select("word", "end", F.explode(F.sequence(F.lit(1), F.least(F.col("end"), F.lit(width)))).alias("len"))
-    sub = sub.withColumn("piece", F.expr("substring(word, end - len + 1, len)"))
-    edges = sub.join(F.broadcast(pieces), "piece").select("word", "end", F.struct("len", "score", F.array("id").alias("ids")).alias("e"))
-    hexes = F.hex(F.encode(F.expr("substring(word, end, 1)"), "UTF-8"))
-    spelled = F.transform(F.sequence(F.lit(1), F.length(hexes), F.lit(2)), lambda i: (F.conv(F.substring(hexes, i, F.lit(2)), 16, 10) + byte0).cast("int"))
-    spell = at.select("word", "end", F.struct(F.lit(1).alias("len"), F.lit(-1e12).alias("score"), spelled.alias("ids")).alias("e"))
-    grouped = edges.union(spell).groupBy("word", "end").agg(F.array_sort(F.collect_list("e")).alias("es")).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("end", "es"))).alias("ends"))
-    start = F.array(F.struct(F.lit(0.0).alias("s"), F.array().cast("array<int>").alias("ids")))
+    edge = F.struct((F.col("start") + F.col("len")).alias("end"), F.struct("len", F.coalesce("score", F.lit(-1e12)).alias("score"), "start", "id").alias("e"))
+    ends = edges_of(vocabulary, pieces).select("word", edge.alias("x")).groupBy("word", F.col("x.end").alias("end")).agg(F.array_sort(F.collect_list("x.e")).alias("es"))
+    grouped = ends.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("end", "es"))).alias("ends"))
+    path = "array<struct<start:int,id:int>>"
+    start = F.array(F.struct(F.lit(0.0).alias("s"), F.array().cast(path).alias("path")))
 
     def step(state, end):
-        reach = F.transform(end["es"], lambda e: F.struct((F.element_at(state, -e["len"])["s"] + e["score"]).alias("s"), (-e["len"]).alias("short"), e["ids"].alias("ids")))
+        reach = F.transform(end["es"], lambda e: F.struct((F.element_at(state, -e["len"])["s"] + e["score"]).alias("s"), (-e["len"]).alias("short"), F.struct(e["start"].alias("start"), e["id"].alias("id")).alias("e")))
         best = F.array_max(reach)
-        path = F.concat(F.element_at(state, best["short"])["ids"], best["ids"])
-        return F.slice(F.concat(state, F.array(F.struct(best["s"].alias("s"), path.alias("ids")))), F.greatest(F.lit(1), F.size(state) + 2 - width), width)
+        longer = F.concat(F.element_at(state, best["short"])["path"], F.array(best["e"]))
+        return F.slice(F.concat(state, F.array(F.struct(best["s"].alias("s"), longer.alias("path")))), F.greatest(F.lit(1), F.size(state) + 2 - width), width)
+
+    chosen = F.aggregate("ends", start, step, lambda s: F.element_at(s, -1)["path"])
+    return grouped.select("word", _ids(F.col("word"), chosen, byte0).alias("ids"))
+
+
+def _vocabulary(column: pa.Array, first: int) -> tuple[list[list[str]], list[str], int]:
+    """Words of each text, the distinct ones in order, and a mark of these and of the first row."""
+    found = [words_of(t) for t in column.to_pylist()]
+    kinds = sorted({w for ws in found for w in ws})
+    mark = xxhash.xxh3_64_intdigest("\0".join(kinds).encode("utf-8", "surrogatepass"), seed=first & (1 << 63) - 1)
+    return found, kinds, int(np.uint64(mark).astype(np.int64))
 
-    return grouped.select("word", F.aggregate("ends", start, step, lambda s: F.element_at(s, -1)["ids"]).alias("ids"))
 
+def encode(docs: DataFrame, path: str, words=merged_words) -> DataFrame:
+    """doc_id, n_pieces, ids of every row of docs(doc_id, text), as the library encodes a merging model.
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_pieces, ids of every row of docs(doc_id, text); null and empty texts have none.
+    Null and empty texts have no ids; texts and words of any length are taken whole; repeated rows
+    keep one result each, null ids included; an empty table gives an empty result; other columns
+    are not read. `words` folds the lattice: merged_words, or best_words for a model of piece
+    probabilities.
 
-    Each distinct word is encoded once; repeated rows keep one result each.
+    Each block of texts asks for its distinct words by number. Every word is folded once, and its ids
+    return to the blocks that asked; only the numbers of the words travel with the texts. `docs`
+    must give the same rows in the same partitions each time it is read, as files do; if it does
+    not, this fails.
     """
     spark = docs.sparkSession
-    rows = cut(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
-    tokens = rows.select("row", F.posexplode(split_words(F.col("text"))).alias("pos", "word"))
-    known = cut(encode_words(tokens.select("word").distinct(), piece_table(spark, path), first_byte_id(path)))
-    ids = tokens.join(known, "word").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("w"))
-    out = rows.select("row", "doc_id").join(ids, "row", "left")
-    flat = F.flatten(F.coalesce(F.transform("w", lambda x: x["ids"]), F.array().cast("array<array<int>>")))
-    return out.select("doc_id", flat.alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    kind = docs.schema["doc_id"].dataType
+    docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+
+    def ask(batches):
+        for batch in batches:
+            for some in sliced(batch, BLOCK):
+                _, kinds, mark = _vocabulary(some.column("text"), some.column("row")[0].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(np.full(len(kinds), mark)), pa.array(np.arange(len(kinds), dtype=np.int32))], names=["word", "block", "number"])
+
+    asked = docs.select("text", "row").mapInArrow(ask, "word string, block long, number int").repartition("word")
+    folded = words(asked.select("word").distinct(), piece_table(spark, path), first_byte_id(path))
+
+    def answer(batches):
+        found = pa.Table.from_batches(list(batches), schema=pa.schema([("block", pa.int64()), ("number", pa.int32()), ("ids", pa.list_(pa.int32()))])).combine_chunks()
+        blocks = found["block"].to_numpy()
+        for block in np.unique(blocks).tolist():
+            mine = found.filter(pa.array(blocks == block))
+            ids = mine["ids"].combine_chunks()
+            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+            size = ids.value_lengths().to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pack(mine["number"].to_numpy().astype(np.uint32), size.astype(np.uint32), ids.flatten().to_numpy().astype(np.uint32))], pa.binary()), pa.array([None], pa.binary())], names=["block", "pieces", "texts"])
+
+    answers = asked.join(folded, "word").select("block", "number", "ids").mapInArrow(answer, "block long, pieces binary, texts binary")
+
+    def number(batches):
+        for batch in batches:
+            for some in sliced(batch, BLOCK):
+                found, kinds, mark = _vocabulary(some.column("text"), some.column("row")[0].as_py())
+                place = dict(zip(kinds, range(len(kinds))))
+                stream = np.fromiter((place[w] for ws in found for w in ws), np.uint32)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, pa.schema([("doc_id", some.column("doc_id").type)]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(pa.RecordBatch.from_arrays([some.column("doc_id")], names=["doc_id"]))
+                names = np.frombuffer(sink.getvalue(), np.uint8)
+                texts = pack(names, np.array([len(kinds)], np.uint32), np.array([len(ws) for ws in found], np.uint32), stream)
+                yield pa.RecordBatch.from_arrays([pa.array([mark], pa.int64()), pa.array([None], pa.binary()), pa.array([texts], pa.binary())], names=["block", "pieces", "texts"])
+
+    numbered = docs.mapInArrow(number, "block long, pieces binary, texts binary")
+
+    def assemble(batches):
+        pieces: dict[int, list[bytes]] = {}
+        texts: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for block, p, t in zip(*(c.to_pylist() for c in batch.columns)):
+                (pieces if p is not None else texts).setdefault(block, []).append(p if p is not None else t)
+        for block, some in texts.items():
+            got = [unpack(p) for p in pieces.pop(block, [])]
+            order, size, ids = (np.concatenate([g[k] for g in got]) if got else np.empty(0, np.uint32) for k in range(3))
+            start = np.cumsum(size, dtype=np.int64) - size
+            place = np.argsort(order)
+            start, size = start[place], size[place].astype(np.int64)
+            for one in some:
+                names, kinds, lengths, stream = unpack(one)
+                if len(order) != kinds[0]:
+                    raise ValueError("the texts changed between two reads")
+                doc_ids = pa.ipc.open_stream(pa.py_buffer(names)).read_all()["doc_id"].combine_chunks()
+                doc_ids = doc_ids.chunk(0) if isinstance(doc_ids, pa.ChunkedArray) else doc_ids
+                bounds = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
+                for lo in range(0, len(lengths), 1000):
+                    hi = min(lo + 1000, len(lengths))
+                    w = stream[bounds[lo] : bounds[hi]]
+                    n = size[w]
+                    flat = ids[np.repeat(start[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int32)
+                    upto = np.r_[0, np.cumsum(n)][bounds[lo : hi + 1] - bounds[lo]]
+                    column = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), pa.array(np.diff(upto)), column], names=["doc_id", "n_pieces", "ids"])
+
+    both = answers.unionByName(numbered).repartition("block")
+    return both.mapInArrow(assemble, f"doc_id {kind.simpleString()}, n_pieces long, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """rows with `text`, the text their ids stand for."""
-    from pyspark.sql.functions import pandas_udf
+    """rows with `text` (replaced if there is one), the text their ids stand for; null for null, empty for none."""
 
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def text(column):
-        from sentencepiece import SentencePieceProcessor
-
-        p = SentencePieceProcessor(model_file=path)
+        p = _processor(path)
         return column.map(lambda x: p.decode([int(i) for i in x]), na_action="ignore")
 
     return rows.withColumn("text", text(ids))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by the supplied model: how many pieces, and a digest of their ids."""
     import public_tokenizers
 
     out = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
