@@ -98,14 +98,14 @@ class Lookup:
         return out
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """The arrays as one compressed block, bytes of equal weight side by side."""
     head, body = [struct.pack("<i", len(arrays))], []
     for a in arrays:
         a = np.ascontiguousarray(a)
         head.append(struct.pack("<4sq", a.dtype.str.encode(), len(a)))
         body.append(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
-    return b"".join(head) + zstandard.ZstdCompressor(1).compress(b"".join(body))
+    return b"".join(head) + zstandard.ZstdCompressor(level).compress(b"".join(body))
 
 
 def unpack(block: bytes) -> list[np.ndarray]:

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-import os
-import struct
-import tempfile
-import uuid
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_columns, table
+from .arrays import buffer, pack, unpack
+from .common import shared_folder, sliced, table
 
 ROUNDS = 6
+#: Token ids (UTF-8 bytes) of a sequence, and sequences of a shard.
 STRIDE = 1024
-SHARD_ROWS = 4096
-#: Before the payload of a record: slot, bytes used, chunk, whether there is a doc_id, doc_id.
-HEADER = ">qiq?q"
-HEADER_BYTES = struct.calcsize(HEADER)
-#: Bytes of a record; the text writer ends each with a line break.
-RECORD = HEADER_BYTES + STRIDE + 1
+SHARD_ROWS = 16_384
+#: Bytes of texts that are cut into sequences at a time.
+BLOCK = 1 << 24
+
+
+def record_type(stride: int) -> np.dtype:
+    """A record of a shard; the text writer ends each with a line break."""
+    return np.dtype([("ids", "u1", stride), ("used", ">u4"), ("chunk", ">u4"), ("known", "u1"), ("doc_id", ">i8"), ("end", "u1")])
+
+
+RECORD = record_type(STRIDE).itemsize
 
 
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -44,77 +46,114 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def assign(sequences: DataFrame, order: list[str], key: int = 1) -> DataFrame:
-    """sequences with `slot`: the permuted dense rank by `order`; ties are ranked in any order.
-
-    Ranks are positions inside range partitions plus the counts of those before, so only one
-    number per partition meets the driver. An empty table stays empty.
-    """
-    spark = sequences.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sorted_rows = cut(sequences.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
-    part = F.shiftright("place", 33)
-    counts = sorted_rows.groupBy(part.alias("p")).count().orderBy("p").collect()
-    starts, n = {}, 0
-    for r in counts:
-        starts[r["p"]], n = n, n + r["count"]
-
-    @F.pandas_udf("long")
-    def slot(place: pd.Series) -> pd.Series:
-        p = (place // (1 << 33)).map(starts)
-        return pd.Series(permute((p + place % (1 << 33)).to_numpy(), n, key))
-
-    return sorted_rows.withColumn("slot", slot("place")).drop("place")
-
+def write_shards(docs: DataFrame, path: str, key: int = 1, stride: int = STRIDE, shard_rows: int = SHARD_ROWS) -> int:
+    """Cuts the texts of docs(doc_id long, text) into sequences of `stride` byte ids, gives each a slot,
+    writes them by slot and returns how many there are.
 
-def sequences(docs: DataFrame, stride: int = STRIDE) -> DataFrame:
-    """(doc_id, chunk, ids): UTF-8 byte ids of each text in runs of stride; an empty text has none."""
-    kind = dict(docs.dtypes)["doc_id"]
+    The folder path/shard=k holds one file of the slots from k * shard_rows on, as records of fixed
+    size: slot s starts at byte (s % shard_rows) * record size. A record holds the ids (zeros after
+    the last), how many are used, the sequence's number in its text, whether the row has a doc_id,
+    and the doc_id. Null and empty texts have no sequence; repeated rows each have theirs; an empty
+    table writes nothing; other columns are not read.
 
-    def batch(ids, texts):
-        out = [(d, k // stride, b[k : k + stride]) for d, t in zip(ids, texts) for b in [(t or "").encode()] for k in range(0, len(b), stride)]
-        return tuple(map(list, zip(*out))) if out else ([], [], [])
-
-    return map_columns(docs, ["doc_id", "text"], batch, f"doc_id {kind}, chunk long, ids binary")
-
-
-def write_shards(slotted: DataFrame, path: str) -> None:
-    """One uncompressed file per SHARD_ROWS slots, in the folder shard=<slot / SHARD_ROWS>: records of
-    RECORD bytes by slot, so that a slot's record starts at (slot % SHARD_ROWS) * RECORD."""
-
-    def batch(docs, chunks, ids, slots):
-        out = [struct.pack(HEADER, n, len(b), c, d is not None, d or 0) + b.ljust(STRIDE, b"\0") for d, c, b, n in zip(docs, chunks, ids, slots)]
-        return [n // SHARD_ROWS for n in slots], slots, out
-
-    dealt = slotted.withColumn("shard", F.floor(F.col("slot") / SHARD_ROWS)).repartition("shard").sortWithinPartitions("shard", "slot")
-    records = map_columns(dealt, ["doc_id", "chunk", "ids", "slot"], batch, "shard long, slot long, record binary")
-    records = records.sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("value"))
-    records.write.partitionBy("shard").option("lineSep", "\n").text(path)
-
-
-def read_shards(spark: SparkSession, path: str, n: int, first: int = 0) -> DataFrame:
-    """(doc_id, chunk, ids, slot) of the slots first..n-1; files before that of `first` are not read."""
-    schema = "doc_id long, chunk long, ids binary, slot long"
-    if first >= n:
-        return spark.createDataFrame([], schema)
-    folders = [f"{path}/shard={k}" for k in range(first // SHARD_ROWS, -(-n // SHARD_ROWS))] if first else [f"{path}/shard=*"]
-
-    def unpack(record):
-        slot, used, chunk, known, doc = struct.unpack_from(HEADER, record)
-        return doc if known else None, chunk, bytearray(record[HEADER_BYTES : HEADER_BYTES + used]), slot
-
-    rows = spark.sparkContext.binaryRecords(",".join(folders), RECORD).map(unpack).filter(lambda r: r[3] >= first)
-    return spark.createDataFrame(rows, schema)
+    A sequence's place is its number in the order of docs' partitions, so that only one count per
+    partition meets the driver; the slot is the permuted place. Partitions of files are the same at
+    each read. Each task gathers and writes whole shards, so the ids are shuffled once, compressed.
+    """
+    docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    runs = F.ceil(F.octet_length("text") / stride)
+    per_part = docs.groupBy(F.shiftright("row", 33).alias("p")).agg(F.coalesce(F.sum(runs), F.lit(0)).alias("n")).orderBy("p").collect()
+    starts, total = {}, 0
+    for r in per_part:
+        starts[r["p"]], total = total, total + r["n"]
+    if not total:
+        return 0
+    shards = -(-total // shard_rows)
+
+    def deal(batches):
+        at = None
+        for batch in batches:
+            for some in sliced(batch, BLOCK):
+                if at is None:
+                    at = starts[some.column("row")[0].as_py() >> 33]
+                raw, bounds = buffer(some.column("text"))
+                size = np.diff(bounds)
+                runs = -(-size // stride)
+                doc = np.repeat(np.arange(len(size)), runs)
+                chunk = np.arange(len(doc)) - np.repeat(np.cumsum(runs) - runs, runs)
+                begin = bounds[doc] + chunk * stride
+                used = np.minimum(stride, bounds[doc + 1] - begin)
+                slot = permute(at + np.arange(len(doc)), total, key)
+                at += len(doc)
+                known = some.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+                ids = some.column("doc_id").fill_null(0).to_numpy()
+                order = np.argsort(slot)
+                cuts = np.flatnonzero(np.diff(slot[order] // shard_rows, prepend=-1, append=-1)).tolist()
+                out = []
+                for a, b in zip(cuts, cuts[1:]):
+                    o = order[a:b]
+                    n = used[o]
+                    flat = raw[np.repeat(begin[o] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    out.append((int(slot[o[0]] // shard_rows), pack(slot[o], n.astype(np.uint32), chunk[o].astype(np.uint32), known[doc[o]].astype(np.uint8), ids[doc[o]].astype(np.int64), flat, level=3)))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["shard", "block"])
+
+    def gather(batches):
+        blocks: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for k, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                blocks.setdefault(k, []).append(block)
+        for k, some in sorted(blocks.items()):
+            rows = np.zeros(min(shard_rows, total - k * shard_rows), record_type(stride))
+            rows["end"] = 10
+            filled = 0
+            for block in some:
+                slot, used, chunk, known, ids, flat = unpack(block)
+                at = slot - k * shard_rows
+                cell = np.arange(stride) < used[:, None]
+                body = np.zeros((len(at), stride), np.uint8)
+                body[cell] = flat
+                rows["ids"][at] = body
+                for name, values in (("used", used), ("chunk", chunk), ("known", known), ("doc_id", ids)):
+                    rows[name][at] = values
+                filled += len(at)
+            if filled != len(rows):
+                raise ValueError("the texts changed between two reads")
+            raw, step = rows.tobytes(), 1024 * rows.itemsize
+            parts = [raw[a : a + step][:-1] for a in range(0, len(raw), step)]
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["shard", "part", "value"])
+
+    dealt = docs.mapInArrow(deal, "shard int, block binary").repartitionById(shards, F.col("shard"))
+    records = dealt.mapInArrow(gather, "shard int, part int, value binary").sortWithinPartitions("shard", "part")
+    records.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+    return total
+
+
+def read_shards(spark: SparkSession, path: str, first: int = 0, stride: int = STRIDE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(slot, doc_id, chunk, ids) of the slots from `first` on that write_shards wrote; shards before that
+    of `first` are not read."""
+    files = spark.read.format("binaryFile").load(path).where(F.col("shard") >= first // shard_rows)
+
+    def part(batches):
+        for batch in batches:
+            for k, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = np.frombuffer(content.as_buffer(), record_type(stride))
+                for lo in range(max(0, first - k * shard_rows), len(rows), 4096):
+                    some = rows[lo : lo + 4096]
+                    used = some["used"].astype(np.int64)
+                    body = np.ascontiguousarray(some["ids"])[np.arange(stride) < used[:, None]]
+                    offsets = pa.py_buffer(np.r_[0, np.cumsum(used)].astype(np.int32))
+                    ids = pa.Array.from_buffers(pa.binary(), len(some), [None, offsets, pa.py_buffer(body)])
+                    doc_id = pa.array(some["doc_id"].astype(np.int64), mask=some["known"] == 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(k * shard_rows + lo + np.arange(len(some))), doc_id, pa.array(some["chunk"].astype(np.int64)), ids], names=["slot", "doc_id", "chunk", "ids"])
+
+    return files.select(F.col("shard").cast("int"), "content").mapInArrow(part, "slot long, doc_id long, chunk long, ids binary")
 
 
 def op8_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="shards-")
-    path = os.path.join(root, f"shards-{uuid.uuid4().hex}")
-    slotted = assign(sequences(table(spark, sf_dir, "documents")), ["doc_id", "chunk"])
-    write_shards(slotted, path)
-    out = read_shards(spark, path, slotted.count()).select("doc_id", "chunk", F.octet_length("ids").alias("n_bytes"), "slot", F.sha2("ids", 256).alias("payload_sha256"))
-    return out.select("doc_id", "chunk", "n_bytes", "slot", F.floor(F.col("slot") / SHARD_ROWS).alias("shard"), ((F.col("slot") % SHARD_ROWS) * RECORD).alias("offset"), "payload_sha256")
+    """All documents written to shards in training order and read back: where each sequence stands, and
+    the digest of what stands there."""
+    path = shared_folder(spark, "shards")
+    if not write_shards(table(spark, sf_dir, "documents"), path):
+        return spark.createDataFrame([], "doc_id long, chunk long, n_bytes int, slot long, shard long, offset long, payload_sha256 string")
+    out = read_shards(spark, path)
+    return out.select("doc_id", "chunk", F.octet_length("ids").alias("n_bytes"), "slot", F.floor(F.col("slot") / SHARD_ROWS).alias("shard"), ((F.col("slot") % SHARD_ROWS) * RECORD).alias("offset"), F.sha2("ids", 256).alias("payload_sha256"))
