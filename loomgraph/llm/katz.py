@@ -16,11 +16,11 @@ K = 5
 #: Most words whose counts every task holds; rarer words' counts are joined to their tokens.
 FREQUENT = 500_000
 #: Tokens whose pairs one task counts.
-PART_TOKENS = 3_000_000
+PART_TOKENS = 2_000_000
 #: Bytes of texts that are cut into words at a time.
-BLOCK = 1 << 24
+BLOCK = 1 << 23
 #: Distinct words by block that a task holds before it passes on their counts.
-HELD_WORDS = 4_000_000
+HELD_WORDS = 1_500_000
 #: The place of the end of a text among the frequent words; it is also the history of a first word.
 END = 0
 #: Codes of rare words have this bit, so that they differ from the places of frequent ones.
