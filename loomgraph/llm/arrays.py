@@ -39,6 +39,19 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def string_codes(chars: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The codes of the strings of bytes that start at `head`, each up to the next start."""
+    size = np.diff(np.r_[head, len(chars)])
+    place = np.arange(len(chars), dtype=np.int32 if len(chars) < 1 << 31 else np.int64)
+    place -= np.repeat(head.astype(place.dtype), size)
+    with np.errstate(over="ignore"):
+        value = CODES[(place % PLACES) * 256 + chars]
+        if size.max() > PLACES:
+            late = place >= PLACES
+            value[late] *= mix((place[late] // PLACES).astype(np.uint64)) | np.uint64(1)
+        return np.add.reduceat(value, head)
+
+
 def word_codes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(code of every word, n + 1 bounds of each text's words).
 
@@ -58,16 +71,7 @@ def word_codes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     bounds = np.searchsorted(start, at)
     if not len(start):
         return np.empty(0, np.uint64), bounds
-    chars = (LOWER[raw] if lower else raw)[ink]
-    head = np.flatnonzero(first[ink])
-    size = np.diff(np.r_[head, len(chars)])
-    place = np.arange(len(chars)) - np.repeat(head, size)
-    with np.errstate(over="ignore"):
-        value = CODES[(place % PLACES) * 256 + chars]
-        if size.max() > PLACES:
-            late = place >= PLACES
-            value[late] *= mix((place[late] // PLACES).astype(np.uint64)) | np.uint64(1)
-        return np.add.reduceat(value, head), bounds
+    return string_codes((LOWER[raw] if lower else raw)[ink], np.flatnonzero(first[ink])), bounds
 
 
 class Lookup:

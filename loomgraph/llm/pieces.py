@@ -3,24 +3,22 @@
 from __future__ import annotations
 
 import heapq
-import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import pack, unpack
+from .arrays import buffer, pack, string_codes, unpack
 from .common import sliced, table
 
 SPACE = "▁"
-#: A run of blanks with what follows it, or a line break: no piece joins two of them.
-WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 #: Words of more characters are merged by a queue instead of bit masks of 64-bit integers.
 MASKED = 62
 #: Bytes of texts whose distinct words are asked for together.
-BLOCK = 1 << 25
+BLOCK = 1 << 24
 
 
 def _processor(path: str):
@@ -30,11 +28,9 @@ def _processor(path: str):
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(piece, id, score) of a model's ordinary pieces; its size is that of the vocabulary file."""
+    """(piece, id, score) of a model's ordinary pieces, U+2581 as a blank; as many as the vocabulary file has."""
     p = _processor(path)
-    rows = [(p.id_to_piece(i), i, p.get_score(i)) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))]
-    if any(SPACE in r[0].lstrip(SPACE) or ("\n" in r[0] and len(r[0]) > 1) for r in rows):
-        raise ValueError("the model has pieces that go over the end of a word")
+    rows = [(p.id_to_piece(i).replace(SPACE, " "), i, p.get_score(i)) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))]
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
@@ -42,9 +38,46 @@ def first_byte_id(path: str) -> int:
     return _processor(path).piece_to_id("<0x00>")
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text with a leading blank, blanks as U+2581; joined they are the text."""
-    return WORD.findall((" " + text).replace(" ", SPACE)) if text else []
+def joints(pieces: list[str]) -> np.ndarray:
+    """Whether a piece holds two bytes side by side, at 256 * first + second; bytes of one character always do.
+
+    Where two neighbouring bytes of a text have no such piece, no path of the lattice goes over the
+    place between them, so it falls into words there: at blanks and breaks, beside most signs.
+    """
+    out = np.zeros(1 << 16, bool)
+    out.reshape(256, 256)[:, 0x80:0xC0] = True
+    for piece in pieces:
+        raw = np.frombuffer(piece.encode(), np.uint8).astype(np.int64)
+        out[raw[:-1] * 256 + raw[1:]] = True
+    return out
+
+
+def words_of(column: pa.Array, joined: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words in order, number of each word among them, n + 1 bounds of each text's words).
+
+    Texts get a leading blank and read U+2581 as one; a text's words joined are the text. An empty or
+    null one has none. Words are told apart by 64-bit codes.
+    """
+    column = pc.fill_null(column, "")
+    if pc.any(pc.match_substring(column, SPACE)).as_py():
+        column = pc.replace_substring(column, SPACE, " ")
+    raw, at = buffer(column)
+    full = np.flatnonzero(np.diff(at))
+    raw = np.insert(raw, at[full], 32)
+    at = at + np.searchsorted(full, np.arange(len(at)))
+    if not len(raw):
+        return pa.array([], pa.string()), np.empty(0, np.int64), np.zeros(len(at), np.int64)
+    first = np.empty(len(raw), bool)
+    first[1:] = ~joined[(raw[:-1].astype(np.uint16) << 8) | raw[1:]]
+    first[at[:-1][at[:-1] < len(raw)]] = True
+    start = np.flatnonzero(first)
+    _, one, number = np.unique(string_codes(raw, start), return_index=True, return_inverse=True)
+    every = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.r_[start, len(raw)]), pa.py_buffer(raw))
+    kinds = every.take(pa.array(one)).cast(pa.string())
+    order = pc.sort_indices(kinds).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return kinds.take(pa.array(order)), place[number], np.searchsorted(start, at)
 
 
 def _bytes_of(char: Column, byte0: int) -> Column:
@@ -66,45 +99,76 @@ def _ids(word: Column, chosen: Column, byte0: int) -> Column:
     return F.flatten(F.transform(chosen, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(_bytes_of(F.substring(word, e["start"] + 1, F.lit(1)), byte0))))
 
 
+def _derived(pieces: list) -> tuple[list, bool]:
+    """The pieces that merging their own characters gives, and whether each comes after its parts.
+
+    Bounds are never put back, so what lies between two bounds merges as if it stood alone: other
+    pieces never come up, and if each comes after its parts, one turn through all edges in order of
+    score does all merges.
+    """
+    cost = {r.piece: -r.score for r in pieces}
+    some, rising = [], True
+    for r in pieces:
+        symbols, done = list(r.piece), []
+        while len(symbols) > 1 and (free := [(cost[x + y], k) for k, (x, y) in enumerate(zip(symbols, symbols[1:])) if x + y in cost]):
+            c, k = min(free)
+            done.append(c)
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+        if len(symbols) == 1:
+            some.append(r)
+            rising &= all(c <= cost[r.piece] for c in done)
+    return some, rising
+
+
 def merged_words(vocabulary: DataFrame, pieces: DataFrame, byte0: int) -> DataFrame:
-    """(word, ids) of distinct words as a merging model has them.
+    """(word, ids) of distinct words of up to MASKED characters, as a merging model has them.
 
-    The fold's state is the set of the symbols' bounds as bits. Each step takes the lattice's edge
-    of highest score (ties: leftmost) that spans just two symbols and drops the bound between them.
+    The fold's state is the set of the symbols' bounds as bits. Lattice edges come in order of score
+    (ties: leftmost); one that spans just two symbols drops the bound between them. Models in which
+    a piece comes before its parts take the best such edge at each step instead.
     """
-    short = edges_of(vocabulary.where(F.length("word") <= MASKED), pieces)
-    bit = F.expr("shiftleft(1L, start)")
+    some, rising = _derived(pieces.collect())
+    pieces = pieces.sparkSession.createDataFrame(some, pieces.schema)
+    edges = edges_of(vocabulary.where(F.length("word") <= MASKED), pieces)
     inner = F.expr("shiftleft(shiftleft(1L, len - 1) - 1L, start + 1)")
-    edge = F.struct((-F.col("score")).alias("cost"), "start", "id", (bit + F.expr("shiftleft(1L, start + len)")).alias("ends"), inner.alias("inner"))
-    grouped = short.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("es"))
-    joints = F.filter("es", lambda e: e["inner"] != 0)
+    ends = F.expr("shiftleft(1L, start) | shiftleft(1L, start + len)")
+    edge = F.struct((-F.col("score")).alias("cost"), "start", "id", ends.alias("ends"), inner.alias("inner"))
+    grouped = edges.groupBy("word").agg(F.collect_list(edge).alias("es"))
+    long = F.array_sort(F.filter("es", lambda e: e["inner"] != 0))
+    every = F.expr("shiftleft(1L, length(word) + 1) - 1L")
 
-    def step(bounds, _):
-        free = F.filter("joints", lambda e: (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1))
-        return F.when(F.size(free) > 0, bounds.bitwiseAND(F.bitwise_not(free[0]["inner"]))).otherwise(bounds)
+    def free(bounds, e):
+        return (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1)
 
-    every = F.expr("shiftleft(1L, length(word) + 1) - 1L")
-    turns = F.least(F.size("joints"), F.length("word") - 1)
-    bounds = F.when(turns > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), turns)), every, step)).otherwise(every)
-    folded = grouped.withColumn("joints", joints).withColumn("bounds", bounds)
+    def best(bounds, _):
+        found = F.filter("joints", lambda e: free(bounds, e))
+        return F.when(F.size(found) > 0, bounds.bitwiseAND(F.bitwise_not(found[0]["inner"]))).otherwise(bounds)
+
+    if rising:
+        bounds = F.aggregate(long, every, lambda b, e: F.when(free(b, e), b.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(b))
+    else:
+        grouped = grouped.withColumn("joints", long)
+        bounds = F.aggregate(F.sequence(F.lit(1), F.length("word")), every, best)
+    folded = grouped.withColumn("bounds", bounds)
     left = F.filter("es", lambda e: (F.col("bounds").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("bounds").bitwiseAND(e["inner"]) == 0))
     chosen = F.array_sort(F.transform(left, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
-    folded = folded.select("word", _ids(F.col("word"), chosen, byte0).alias("ids"))
-    return folded.union(_queued(vocabulary.where(F.length("word") > MASKED), pieces, byte0))
+    return folded.select("word", _ids(F.col("word"), chosen, byte0).alias("ids"))
+
 
+class Queue:
+    """The same for a word of any length, by a queue of the neighbouring symbols that form a piece."""
 
-def _queued(long: DataFrame, pieces: DataFrame, byte0: int) -> DataFrame:
-    """The same for words of any length, by a queue of the neighbouring symbols that form a piece."""
-    shared = long.sparkSession.sparkContext.broadcast({r.piece: (-r.score, r.id) for r in pieces.collect()})
+    def __init__(self, pieces: list, byte0: int):
+        self.known, self.byte0 = {r.piece: (-r.score, r.id) for r in pieces}, byte0
 
-    def ids(word: str) -> list[int]:
-        known, n = shared.value, len(word)
+    def ids(self, word: str) -> list[int]:
+        n = len(word)
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         queue = []
 
         def offer(i):
             j = after[i]
-            if j < n and (found := known.get(word[i : end[j]])):
+            if j < n and (found := self.known.get(word[i : end[j]])):
                 heapq.heappush(queue, (found[0], i, j, end[j]))
 
         for i in range(n - 1):
@@ -121,18 +185,11 @@ def _queued(long: DataFrame, pieces: DataFrame, byte0: int) -> DataFrame:
                 offer(before[i])
         out, i = [], 0
         while i < n:
-            found = known.get(word[i : end[i]])
-            out += [found[1]] if found else [byte0 + b for b in word[i : end[i]].encode()]
+            found = self.known.get(word[i : end[i]])
+            out += [found[1]] if found else [self.byte0 + b for b in word[i : end[i]].encode()]
             i = end[i]
         return out
 
-    def part(batches):
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([ids(w) for w in words], pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return long.mapInArrow(part, "word string, ids array<int>")
-
 
 def best_words(vocabulary: DataFrame, pieces: DataFrame, byte0: int) -> DataFrame:
     """(word, ids) of distinct words as a model of piece probabilities has them: Viterbi's path of the
@@ -154,76 +211,94 @@ def best_words(vocabulary: DataFrame, pieces: DataFrame, byte0: int) -> DataFram
     return grouped.select("word", _ids(F.col("word"), chosen, byte0).alias("ids"))
 
 
-def _vocabulary(column: pa.Array, first: int) -> tuple[list[list[str]], list[str], int]:
-    """Words of each text, the distinct ones in order, and a mark of these and of the first row."""
-    found = [words_of(t) for t in column.to_pylist()]
-    kinds = sorted({w for ws in found for w in ws})
-    mark = xxhash.xxh3_64_intdigest("\0".join(kinds).encode("utf-8", "surrogatepass"), seed=first & (1 << 63) - 1)
-    return found, kinds, int(np.uint64(mark).astype(np.int64))
-
-
 def encode(docs: DataFrame, path: str, words=merged_words) -> DataFrame:
     """doc_id, n_pieces, ids of every row of docs(doc_id, text), as the library encodes a merging model.
 
     Null and empty texts have no ids; texts and words of any length are taken whole; repeated rows
     keep one result each, null ids included; an empty table gives an empty result; other columns
-    are not read. `words` folds the lattice: merged_words, or best_words for a model of piece
-    probabilities.
+    are not read.
 
     Each block of texts asks for its distinct words by number. Every word is folded once, and its ids
-    return to the blocks that asked; only the numbers of the words travel with the texts. `docs`
-    must give the same rows in the same partitions each time it is read, as files do; if it does
-    not, this fails.
+    return to the blocks that asked; only the numbers of the words travel with the texts. `words`
+    folds the lattice: merged_words, or best_words for a model of piece probabilities; words too long
+    for its masks are merged by a queue. `docs` must give the same rows in the same partitions each
+    time it is read, as files do; if it does not, this fails.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
     docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    pieces, byte0 = piece_table(spark, path), first_byte_id(path)
+    rows = pieces.collect()
+    joined, queue = joints([r.piece for r in rows]), spark.sparkContext.broadcast(Queue(rows, byte0))
+
+    def marked(some) -> tuple[pa.Array, np.ndarray, np.ndarray, int]:
+        """The words of a block, and a mark of these and of its first row."""
+        kinds, numbers, bounds = words_of(some.column("text"), joined)
+        raw, at = buffer(kinds)
+        mark = xxhash.xxh3_64_intdigest(raw.tobytes() + at.tobytes(), seed=some.column("row")[0].as_py())
+        return kinds, numbers, bounds, int(np.uint64(mark).astype(np.int64))
 
     def ask(batches):
         for batch in batches:
             for some in sliced(batch, BLOCK):
-                _, kinds, mark = _vocabulary(some.column("text"), some.column("row")[0].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(np.full(len(kinds), mark)), pa.array(np.arange(len(kinds), dtype=np.int32))], names=["word", "block", "number"])
+                kinds, _, _, mark = marked(some)
+                yield pa.RecordBatch.from_arrays([kinds, pa.array(np.full(len(kinds), mark)), pa.array(np.arange(len(kinds), dtype=np.int32))], names=["word", "block", "number"])
 
     asked = docs.select("text", "row").mapInArrow(ask, "word string, block long, number int").repartition("word")
-    folded = words(asked.select("word").distinct(), piece_table(spark, path), first_byte_id(path))
+    folded = words(asked.select("word").distinct(), pieces, byte0)
 
     def answer(batches):
-        found = pa.Table.from_batches(list(batches), schema=pa.schema([("block", pa.int64()), ("number", pa.int32()), ("ids", pa.list_(pa.int32()))])).combine_chunks()
-        blocks = found["block"].to_numpy()
-        for block in np.unique(blocks).tolist():
-            mine = found.filter(pa.array(blocks == block))
-            ids = mine["ids"].combine_chunks()
-            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            size = ids.value_lengths().to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pack(mine["number"].to_numpy().astype(np.uint32), size.astype(np.uint32), ids.flatten().to_numpy().astype(np.uint32))], pa.binary()), pa.array([None], pa.binary())], names=["block", "pieces", "texts"])
-
-    answers = asked.join(folded, "word").select("block", "number", "ids").mapInArrow(answer, "block long, pieces binary, texts binary")
+        found = []
+        for batch in batches:
+            ids, word = batch.column("ids"), batch.column("word")
+            late = np.flatnonzero(~ids.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            size = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = ids.flatten().to_numpy().astype(np.int32)
+            for i in late:
+                more = np.array(queue.value.ids(word[i].as_py()), np.int32)
+                at = int(size[:i].sum())
+                flat, size[i] = np.r_[flat[:at], more, flat[at:]], len(more)
+            found.append((batch.column("block").to_numpy(), batch.column("number").to_numpy(), size, flat))
+        if not found:
+            return
+        block, number, size, flat = (np.concatenate([f[k] for f in found]) for k in range(4))
+        if not len(block):
+            return
+        start = np.cumsum(size) - size
+        order = np.lexsort((number, block))
+        cuts = [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)]
+        for a, b in zip(cuts, cuts[1:]):
+            at = order[a:b]
+            n = size[at]
+            ids = flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            packed = pack(np.diff(number[at], prepend=0).astype(np.uint32), n.astype(np.uint32), ids.astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([block[at[0]]], pa.int64()), pa.array([packed], pa.binary()), pa.array([None], pa.binary())], names=["block", "pieces", "texts"])
+
+    answers = asked.join(folded, "word", "left").select("word", "block", "number", "ids").mapInArrow(answer, "block long, pieces binary, texts binary")
 
     def number(batches):
         for batch in batches:
             for some in sliced(batch, BLOCK):
-                found, kinds, mark = _vocabulary(some.column("text"), some.column("row")[0].as_py())
-                place = dict(zip(kinds, range(len(kinds))))
-                stream = np.fromiter((place[w] for ws in found for w in ws), np.uint32)
+                kinds, numbers, bounds, mark = marked(some)
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, pa.schema([("doc_id", some.column("doc_id").type)]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_batch(pa.RecordBatch.from_arrays([some.column("doc_id")], names=["doc_id"]))
                 names = np.frombuffer(sink.getvalue(), np.uint8)
-                texts = pack(names, np.array([len(kinds)], np.uint32), np.array([len(ws) for ws in found], np.uint32), stream)
+                texts = pack(names, np.array([len(kinds)], np.uint32), np.diff(bounds).astype(np.uint32), numbers.astype(np.uint32))
                 yield pa.RecordBatch.from_arrays([pa.array([mark], pa.int64()), pa.array([None], pa.binary()), pa.array([texts], pa.binary())], names=["block", "pieces", "texts"])
 
     numbered = docs.mapInArrow(number, "block long, pieces binary, texts binary")
 
     def assemble(batches):
-        pieces: dict[int, list[bytes]] = {}
+        answered: dict[int, list[bytes]] = {}
         texts: dict[int, list[bytes]] = {}
         for batch in batches:
             for block, p, t in zip(*(c.to_pylist() for c in batch.columns)):
-                (pieces if p is not None else texts).setdefault(block, []).append(p if p is not None else t)
+                (answered if p is not None else texts).setdefault(block, []).append(p if p is not None else t)
         for block, some in texts.items():
-            got = [unpack(p) for p in pieces.pop(block, [])]
-            order, size, ids = (np.concatenate([g[k] for g in got]) if got else np.empty(0, np.uint32) for k in range(3))
+            got = [unpack(p) for p in answered.pop(block, [])]
+            order = np.concatenate([np.cumsum(g[0]) for g in got]) if got else np.empty(0, np.int64)
+            size, ids = (np.concatenate([g[k] for g in got]) if got else np.empty(0, np.uint32) for k in (1, 2))
             start = np.cumsum(size, dtype=np.int64) - size
             place = np.argsort(order)
             start, size = start[place], size[place].astype(np.int64)
@@ -234,8 +309,8 @@ def encode(docs: DataFrame, path: str, words=merged_words) -> DataFrame:
                 doc_ids = pa.ipc.open_stream(pa.py_buffer(names)).read_all()["doc_id"].combine_chunks()
                 doc_ids = doc_ids.chunk(0) if isinstance(doc_ids, pa.ChunkedArray) else doc_ids
                 bounds = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
-                for lo in range(0, len(lengths), 1000):
-                    hi = min(lo + 1000, len(lengths))
+                cuts = [0, *(np.flatnonzero(np.diff(bounds[:-1] // 500_000)) + 1).tolist(), len(lengths)]
+                for lo, hi in zip(cuts, cuts[1:]):
                     w = stream[bounds[lo] : bounds[hi]]
                     n = size[w]
                     flat = ids[np.repeat(start[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int32)
