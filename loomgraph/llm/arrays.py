@@ -15,6 +15,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Characters of a word that have random codes of their own; later ones are those of a multiple.
 PLACES = 64
+#: Bytes that are coded at a time.
+STEP = 1 << 18
 CODES = np.random.default_rng(20_240_229).integers(0, 1 << 64, PLACES * 256, np.uint64, endpoint=False)
 
 
@@ -41,15 +43,24 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def string_codes(chars: np.ndarray, head: np.ndarray) -> np.ndarray:
     """The codes of the strings of bytes that start at `head`, each up to the next start."""
-    size = np.diff(np.r_[head, len(chars)])
-    place = np.arange(len(chars), dtype=np.int32 if len(chars) < 1 << 31 else np.int64)
-    place -= np.repeat(head.astype(place.dtype), size)
-    with np.errstate(over="ignore"):
-        value = CODES[(place % PLACES) * 256 + chars]
-        if size.max() > PLACES:
-            late = place >= PLACES
-            value[late] *= mix((place[late] // PLACES).astype(np.uint64)) | np.uint64(1)
-        return np.add.reduceat(value, head)
+    bounds = np.r_[head, len(chars)]
+    out = np.empty(len(head), np.uint64)
+    # Some strings at a time, so that what is held per byte stays small.
+    cuts = [0, *np.unique(np.searchsorted(bounds, np.arange(STEP, len(chars), STEP))).tolist(), len(head)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a == b:
+            continue
+        size = np.diff(bounds[a : b + 1])
+        some = chars[bounds[a] : bounds[b]]
+        start = bounds[a:b] - bounds[a]
+        place = np.arange(len(some)) - np.repeat(start, size)
+        with np.errstate(over="ignore"):
+            value = CODES[((place & (PLACES - 1)) << 8) | some]
+            if size.max() > PLACES:
+                late = place >= PLACES
+                value[late] *= mix((place[late] // PLACES).astype(np.uint64)) | np.uint64(1)
+            np.add.reduceat(value, start, out=out[a:b])
+    return out
 
 
 def word_codes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -21,6 +21,8 @@ PART_TOKENS = 2_000_000
 BLOCK = 1 << 23
 #: Distinct words by block that a task holds before it passes on their counts.
 HELD_WORDS = 1_500_000
+#: Tokens of rare words that are dealt together.
+RARE_ROWS = 1_000_000
 #: The place of the end of a text among the frequent words; it is also the history of a first word.
 END = 0
 #: Codes of rare words have this bit, so that they differ from the places of frequent ones.
@@ -129,7 +131,7 @@ def _dealt(base: int, prev, word, cw, doc, n, frequent: Frequent):
         rare = w >= RARE
         short = np.where(rare, np.uint64(0xFFFFFFFF), w).astype(np.uint32)
         tasks.append(int(task[at[0]]))
-        blocks.append(pack(np.array([base], np.int64), prev[at][head], np.diff(np.r_[head, len(at)]).astype(np.uint32), short, w[rare], cw[at][rare].astype(np.uint32), doc[at].astype(np.uint32), n[at].astype(np.uint32)))
+        blocks.append(pack(np.array([base], np.int64), prev[at][head], np.diff(np.r_[head, len(at)]).astype(np.uint32), short, w[rare], cw[at][rare].astype(np.uint32), doc[at], n[at].astype(np.uint32)))
     return pa.RecordBatch.from_arrays([pa.array(tasks, pa.int32()), pa.array(blocks, pa.binary())], names=["task", "block"])
 
 
@@ -179,15 +181,23 @@ def _pairs(docs: DataFrame, shared, rare: bool) -> DataFrame:
 
 def _dealt_rare(rows: DataFrame, shared) -> DataFrame:
     def part(batches):
-        for batch in batches:
-            word, prev, doc, n, c = (batch.column(k).to_numpy() for k in ("word", "prev", "doc", "n", "c"))
+        held, size = [], 0
+
+        def deal():
+            word, prev, doc, n, c = (np.concatenate([h.column(k).to_numpy() for h in held]) for k in ("word", "prev", "doc", "n", "c"))
             word, prev = word.view(np.uint64), prev.view(np.uint64)
-            # Numbers of documents are held in 31 bits from that of their partition's first.
-            part_of = doc >> 34
-            for p in np.unique(part_of).tolist():
-                at = np.flatnonzero(part_of == p)
-                at = at[np.lexsort((doc[at], word[at], prev[at]))]
-                yield _dealt(p << 33, prev[at], word[at], c[at], doc[at] - (p << 34), n[at], shared.value)
+            order = np.lexsort((doc, word, prev))
+            held.clear()
+            return _dealt(0, prev[order], word[order], c[order], doc[order], n[order], shared.value)
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= RARE_ROWS:
+                yield deal()
+                size = 0
+        if size:
+            yield deal()
 
     return rows.mapInArrow(part, "task int, block binary")
 
@@ -204,9 +214,9 @@ def _counted(blocks: DataFrame, shared, uni: Unigrams) -> DataFrame:
         heads, own = np.unique(np.concatenate([x[1] for x in found]), return_inverse=True)
         p = np.repeat(own, np.concatenate([x[2] for x in found]))
         word, rare, rare_c = (np.concatenate([x[k] for x in found]) for k in (3, 4, 5))
-        doc = np.concatenate([x[0][0] + (x[6] >> np.uint32(1)) for x in found])
+        doc = np.concatenate([x[0][0] + (x[6] >> 1).astype(np.int64) for x in found])
         n = np.concatenate([x[7] for x in found])
-        times_learnt = n * np.concatenate([x[6] & np.uint32(1) for x in found])
+        times_learnt = n * np.concatenate([x[6] & 1 for x in found])
         del found
         is_rare = word == 0xFFFFFFFF
         kinds, own = np.unique(rare, return_inverse=True)

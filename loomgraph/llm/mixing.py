@@ -12,6 +12,8 @@ from .common import cut, table, words
 #: More sources than this are joined by a salted shuffle instead of a broadcast.
 BROADCAST_SOURCES = 50_000
 SALTS = 16
+#: Shares of a copy are summed as whole numbers of this unit, which are the same in any order.
+ONE = 1 << 30
 #: Documents of one rounding bucket, on average.
 BUCKET_ROWS = 5_000
 
@@ -47,7 +49,7 @@ def solve(hist: DataFrame, targets: DataFrame, max_repeat: int, steps: int = 60,
     aggregation of the (source, size) histogram, so its cost is that of the distinct sizes.
     """
     kept = ["source_size", "source_docs", "target", "mean", "tilt", "lo", "hi"]
-    state = targets.withColumns({"mean": F.col("source_size") / F.col("source_docs"), "tilt": F.lit(0.0), "lo": F.lit(-1e6), "hi": F.lit(1e6)})
+    state = targets.withColumns({"mean": F.when(F.col("source_size") > 0, F.col("source_size") / F.col("source_docs")).otherwise(1.0), "tilt": F.lit(0.0), "lo": F.lit(-1e6), "hi": F.lit(1e6)})
     state = cut(state.withColumnRenamed("source", "s"))
     top = F.lit(float(max_repeat))
     x = F.col("size") / F.col("mean")
@@ -70,6 +72,10 @@ def solve(hist: DataFrame, targets: DataFrame, max_repeat: int, steps: int = 60,
         state = cut(new.drop("m", "dm").withColumnRenamed("source", "s"))
         if (state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
             break
+    else:
+        raise ValueError(f"the rates did not reach the targets in {steps} steps")
+    # Sums of doubles differ in their last digits from run to run; the rounded tilt does not.
+    state = state.withColumn("tilt", F.round("tilt", 9))
     state = state.withColumnRenamed("s", "source")
     return state.select("source", "source_size", "source_docs", "target", "mean", "tilt")
 
@@ -77,15 +83,16 @@ def solve(hist: DataFrame, targets: DataFrame, max_repeat: int, steps: int = 60,
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeat: int = 3, seed: int = 17) -> DataFrame:
     """Each row's copies in the mix; the rows of `docs` with size, source_size, target, rate, copies, taken.
 
-    Null and empty texts have size 0 and no copies; a null source is a source of its own; an
+    Null and empty texts, and sources of nothing else, have size 0 and no copies; a null source is a source of its own; an
     empty table gives an empty result; repeated rows count as often as they occur. Columns named
     like the computed ones are replaced. Rates become whole copies by systematic rounding along
     each source's documents in order of size: running sums inside buckets of about BUCKET_ROWS
     rows plus the buckets' offsets, so no source is ever held by one task, and the total is
-    off by no more than about one of its largest documents.
+    off by no more than about one of its largest documents. Which rows of a bucket get the extra
+    copies follows from doc_id and the row's place in `docs`, so that reruns agree.
     """
     docs = docs.drop("size", "source_size", "target", "rate", "copies", "taken")
-    sized = docs.withColumn("size", F.size(words("text")).cast("long"))
+    sized = docs.withColumns({"size": F.size(words("text")).cast("long"), "__row": F.monotonically_increasing_id()})
     hist = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     solved = solve(hist, source_targets(hist, weights, max_repeat), max_repeat)
     solved = cut(solved.withColumn("buckets", F.ceil(F.col("source_docs") / BUCKET_ROWS)).withColumnRenamed("source", "s"))
@@ -93,24 +100,25 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeat: int =
         rows = sized.join(F.broadcast(solved), F.col("source").eqNullSafe(F.col("s")))
     else:
         salted = solved.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = sized.withColumn("salt0", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        rows = sized.withColumn("salt0", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int"))
         rows = rows.join(salted, F.col("source").eqNullSafe(F.col("s")) & (F.col("salt0") == F.col("salt"))).drop("salt", "salt0")
     u = F.col("tilt") * F.col("size") / F.col("mean")
     rate = F.when(F.col("size") == 0, 0.0).when(u >= F.log(F.lit(float(max_repeat))), float(max_repeat)).otherwise(F.exp(u))
-    rows = rows.withColumn("rate", rate).withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn("part", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
-    rows = rows.withColumn("bin", F.floor(F.log2(F.col("size") + 1) * 8)).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("buckets")))
+    rows = rows.withColumn("rate", rate).withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn("part", F.floor(F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")) * ONE))
+    rows = rows.withColumn("bin", F.floor(F.log2(F.col("size") + 1) * 8)).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "__row", F.lit(seed)), F.col("buckets")))
     sums = rows.groupBy("s", "bin", "bucket").agg(F.sum("part").alias("bucket_sum"))
     order = Window.partitionBy("s").orderBy("bin", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("offset", F.coalesce(F.sum("bucket_sum").over(order), F.lit(0.0)))
+    sums = sums.withColumn("offset", F.coalesce(F.sum("bucket_sum").over(order), F.lit(0)))
     sums = sums.select(F.col("s").alias("s2"), F.col("bin").alias("bin2"), F.col("bucket").alias("bucket2"), "offset")
-    inside = Window.partitionBy("s", "bin", "bucket").orderBy("size", "doc_id")
+    inside = Window.partitionBy("s", "bin", "bucket").orderBy("size", "doc_id", "__row")
     rows = rows.withColumn("run", F.sum("part").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.join(sums, F.col("s").eqNullSafe(F.col("s2")) & (F.col("bin") == F.col("bin2")) & (F.col("bucket") == F.col("bucket2")))
     end = F.col("offset") + F.col("run")
-    extra = F.floor(end + 0.5) - F.floor(end - F.col("part") + 0.5)
+    extra = F.floor((end + ONE // 2) / ONE) - F.floor((end - F.col("part") + ONE // 2) / ONE)
     rows = rows.withColumn("copies", F.least(F.lit(max_repeat), F.col("whole") + extra).cast("int"))
     return rows.withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).select(*docs.columns, "size", "source_size", "target", "rate", "copies", "taken")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the weights 5, 2, 1, repeating, by source."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")

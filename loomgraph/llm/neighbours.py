@@ -163,15 +163,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, visits: int | No
 
     The leaves that a query visits follow from a recall measured on this table, unless given.
     Equal vectors are indexed once, by their group, so that copies don't fill the leaves; a group
-    gives a query its k + 1 smallest ids, more cannot be among the k nearest. Rows of one length
-    (the most common one) are searched; an empty table gives an empty result.
+    gives a query its k + 1 smallest ids, more cannot be among the k nearest. Only vectors of one
+    length have a distance, so each length is an index of its own. Null, empty and zero vectors,
+    those with null or non-finite components and rows without an id take no part; of rows with one
+    id one is taken; an empty table gives an empty result; other columns are not read.
     """
     good = cut(usable(vectors).withColumn("embedding", F.col("embedding").cast("array<double>")))
-    width = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if width is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    good = good.where(F.size("embedding") == width[0])
+    asked = queries.select("vec_id").distinct()
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in good.join(asked, "vec_id", "left_semi").select(F.size("embedding").alias("d")).distinct().orderBy("d").collect():
+        out = out.union(_search(good.where(F.size("embedding") == r["d"]), asked, k, visits))
+    return out
+
+
+def _search(good: DataFrame, queries: DataFrame, k: int, visits: int | None) -> DataFrame:
+    """search among usable vectors of one length."""
+    vectors, schema = good, "query_id long, rank int, vec_id long, score double"
     groups = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("gid")))
     fit = np.array([r.embedding for r in groups.orderBy(F.xxhash64("gid")).limit(FIT_ROWS).collect()])
     depth = max(0, int(np.ceil(np.log2(max(1, groups.count() / LEAF_ROWS)))))
@@ -209,5 +216,6 @@ def Window_by(key: str, *order: str):
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every hundredth embedding among all others."""
     v = table(spark, sf_dir, "embeddings")
     return search(v, v.where("vec_id % 100 = 0").select("vec_id").distinct())

@@ -86,17 +86,14 @@ def _bytes_of(char: Column, byte0: int) -> Column:
 
 
 def edges_of(vocabulary: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(word, start, len, score, id) of all pieces in the words, and of each character without one (id null)."""
+    """(word, start, len and the piece's other columns) of all pieces in the words, and of each character
+    without one (nulls)."""
     width = pieces.agg(F.coalesce(F.max(F.length("piece")), F.lit(1))).first()[0]
     at = vocabulary.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
     cut = at.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.length("word") - F.col("start"), F.lit(width)))).alias("len"))
     cut = cut.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("len")))
-    return cut.join(F.broadcast(pieces), "piece", "left").where("id is not null or len = 1").select("word", "start", "len", "score", "id")
-
-
-def _ids(word: Column, chosen: Column, byte0: int) -> Column:
-    """The ids of the chosen edges, characters without a piece in bytes."""
-    return F.flatten(F.transform(chosen, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(_bytes_of(F.substring(word, e["start"] + 1, F.lit(1)), byte0))))
+    rest = [c for c in pieces.columns if c != "piece"]
+    return cut.join(F.broadcast(pieces), "piece", "left").where(F.col(rest[0]).isNotNull() | (F.col("len") == 1)).select("word", "start", "len", *rest)
 
 
 def _derived(pieces: list) -> tuple[list, bool]:
@@ -128,31 +125,60 @@ def merged_words(vocabulary: DataFrame, pieces: DataFrame, byte0: int) -> DataFr
     a piece comes before its parts take the best such edge at each step instead.
     """
     some, rising = _derived(pieces.collect())
-    pieces = pieces.sparkSession.createDataFrame(some, pieces.schema)
-    edges = edges_of(vocabulary.where(F.length("word") <= MASKED), pieces)
-    inner = F.expr("shiftleft(shiftleft(1L, len - 1) - 1L, start + 1)")
-    ends = F.expr("shiftleft(1L, start) | shiftleft(1L, start + len)")
-    edge = F.struct((-F.col("score")).alias("cost"), "start", "id", ends.alias("ends"), inner.alias("inner"))
-    grouped = edges.groupBy("word").agg(F.collect_list(edge).alias("es"))
-    long = F.array_sort(F.filter("es", lambda e: e["inner"] != 0))
+    if any(len(r.piece) > 31 for r in some):
+        raise ValueError("pieces of more than 31 characters do not fit the masks")
+    some.sort(key=lambda r: -r.score)
+    # An edge is one integer: place in the order of score, start and length.
+    order, place = {}, -1
+    for k, r in enumerate(some):
+        place = k if k == 0 or r.score != some[k - 1].score else place
+        order[r.piece] = place
+    table = pieces.sparkSession.createDataFrame([(r.piece, order[r.piece] << 11, k) for k, r in enumerate(some)], "piece string, first long, k int")
+    bounds_of = [(s, n) for s in range(64) for n in range(32)]
+    ends = _constants([(1 << s | 1 << (s + n)) & (1 << 63) - 1 for s, n in bounds_of], "bigint")
+    inner = _constants([((1 << n) - 2 << s) & (1 << 63) - 1 if n > 1 else 0 for s, n in bounds_of], "bigint")
+    ids = _constants([r.id for r in some], "int")
+    none = len(some)
+    spot = F.col("start") * 32 + F.col("len")
+    edges = edges_of(vocabulary.where(F.length("word") <= MASKED), table)
+    edges = edges.select("word", F.coalesce(F.col("first") + spot, spot).alias("e"), F.struct(spot.cast("int").alias("spot"), F.coalesce("k", F.lit(none)).alias("k")).alias("x"))
+    edges = edges.select("word", (F.col("e") * (1 << 20) + F.col("x.k")).alias("e"))
+    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("es"))
     every = F.expr("shiftleft(1L, length(word) + 1) - 1L")
 
+    def spot_of(e):
+        return F.shiftright(e, 20).bitwiseAND(2047).cast("int")
+
     def free(bounds, e):
-        return (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1)
+        return (bounds.bitwiseAND(ends[spot_of(e)]) == ends[spot_of(e)]) & (F.bit_count(bounds.bitwiseAND(inner[spot_of(e)])) == 1)
+
+    def drop(bounds, e):
+        return bounds.bitwiseAND(F.bitwise_not(inner[spot_of(e)]))
 
     def best(bounds, _):
-        found = F.filter("joints", lambda e: free(bounds, e))
-        return F.when(F.size(found) > 0, bounds.bitwiseAND(F.bitwise_not(found[0]["inner"]))).otherwise(bounds)
+        found = F.filter("es", lambda e: free(bounds, e))
+        return F.when(F.size(found) > 0, drop(bounds, found[0])).otherwise(bounds)
 
     if rising:
-        bounds = F.aggregate(long, every, lambda b, e: F.when(free(b, e), b.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(b))
+        bounds = F.aggregate("es", every, lambda b, e: F.when(free(b, e), drop(b, e)).otherwise(b))
     else:
-        grouped = grouped.withColumn("joints", long)
         bounds = F.aggregate(F.sequence(F.lit(1), F.length("word")), every, best)
     folded = grouped.withColumn("bounds", bounds)
-    left = F.filter("es", lambda e: (F.col("bounds").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("bounds").bitwiseAND(e["inner"]) == 0))
-    chosen = F.array_sort(F.transform(left, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
-    return folded.select("word", _ids(F.col("word"), chosen, byte0).alias("ids"))
+    b = F.col("bounds")
+    left = F.filter("es", lambda e: (b.bitwiseAND(inner[spot_of(e)]) == 0) & (b.bitwiseAND(ends[spot_of(e)]) == ends[spot_of(e)]))
+    path = F.sort_array(F.transform(left, lambda e: F.shiftright(e, 25).bitwiseAND(63) * (1 << 20) + e.bitwiseAND((1 << 20) - 1)))
+
+    def piece(x):
+        return x.bitwiseAND((1 << 20) - 1).cast("int")
+
+    spelled = F.flatten(F.transform(path, lambda x: F.when(piece(x) < none, F.array(ids[piece(x)])).otherwise(_bytes_of(F.substring(F.col("word"), F.shiftright(x, 20).cast("int") + 1, F.lit(1)), byte0))))
+    plain = F.transform(path, lambda x: ids[piece(x)])
+    return folded.select("word", F.when(F.exists(path, lambda x: piece(x) == none), spelled).otherwise(plain).alias("ids"))
+
+
+def _constants(values: list[int], kind: str) -> Column:
+    """The values as one constant array."""
+    return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), f"array<{kind}>")
 
 
 class Queue:

@@ -22,14 +22,16 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 #: Runs that may hide a further layer.
-URL_RUN = re.compile(r"(?:[A-Za-z0-9_.~+/=:&?-]|%[0-9A-Fa-f]{2})*%[0-9A-Fa-f]{2}(?:[A-Za-z0-9_.~+/=:&?-]|%[0-9A-Fa-f]{2})*")
-ESCAPE_RUN = re.compile(r"(?:[!-\[\]-~]|\\u[0-9A-Fa-f]{4})*\\u[0-9A-Fa-f]{4}(?:[!-\[\]-~]|\\u[0-9A-Fa-f]{4})*")
+URL_RUN = re.compile(r"(?:[A-Za-z0-9_.~+/=:&?-]|%[0-9A-Fa-f]{2})++")
+ESCAPE_RUN = re.compile(r"(?:[!-\[\]-~]|\\u[0-9A-Fa-f]{4})++")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
 #: A base64 run and the whole or last lines that carry it on.
-WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
 PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
 #: What of the text beside a run a pattern can take up, read away from the run on either side.
+#: Bytes of expanded data that are scanned together, and those that two such windows share.
+WINDOW, OVERLAP = 1 << 24, 1 << 16
 VALUE, QUOTE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), frozenset("\"'")
 BESIDE = (VALUE, False), (QUOTE, True), (frozenset(" "), False), (frozenset(":="), True), (frozenset(" "), False), (QUOTE, True), (VALUE, False)
 
@@ -42,31 +44,55 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
 
 
-def _inflate(data: bytes) -> bytes | None:
-    for bits in (31, 15):
-        with_header = data[:2] == b"\x1f\x8b" if bits == 31 else len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0
-        if with_header:
-            try:
-                return zlib.decompress(data, bits)
-            except zlib.error:
-                return None
-    return None
+def _compressed(data: bytes) -> int:
+    """The window bits of a gzip or zlib head, 0 without one."""
+    if data[:2] == b"\x1f\x8b":
+        return 31
+    return 15 if len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0 else 0
 
 
-def _base64(run: str) -> str | None:
+def _unwrapped(data: bytes) -> Iterator[bytes]:
+    """The data itself, or what it was compressed from, nested and in several members too.
+
+    What is larger than WINDOW comes in windows that overlap, so that no memory follows the expansion.
+    What a broken stream gave before it broke is kept.
+    """
+    if not _compressed(data):
+        yield data
+        return
+    held, first = b"", True
+    while data and (bits := _compressed(data)):
+        stream = zlib.decompressobj(bits)
+        try:
+            while not stream.eof and (data or held):
+                more = stream.decompress(data, WINDOW)
+                data = stream.unconsumed_tail
+                held += more
+                if len(held) > WINDOW:
+                    yield held
+                    held, first = held[-OVERLAP:], False
+                if not more and not data:
+                    break
+        except zlib.error:
+            break
+        data = stream.unused_data
+    if held:
+        yield from _unwrapped(held) if first else (held,)
+
+
+def _base64(run: str) -> Iterator[str]:
     run = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
     if len(run) % 4 == 1:
-        return None
+        return
     try:
         data = base64.b64decode(run + "=" * (-len(run) % 4))
     except (binascii.Error, ValueError):
-        return None
-    while (inner := _inflate(data)) is not None:
-        data = inner
-    try:
-        return data.decode()
-    except UnicodeDecodeError:
-        return data.decode("latin-1")
+        return
+    for some in _unwrapped(data):
+        try:
+            yield some.decode()
+        except UnicodeDecodeError:
+            yield some.decode("latin-1")
 
 
 def _unescape(run: str) -> str:
@@ -91,24 +117,31 @@ def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
                 for last in {j, min(len(lines) - 1, j + 1)}:
                     if first < last:
                         a, b = lines[first][0], m.end() if last == len(lines) - 1 else lines[last][1]
-                        if inner := _base64(text[a:b]):
+                        for inner in _base64(text[a:b]):
                             yield a, b, inner
             i = j + 1
 
 
 def _layers(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, decoded) of every run of the text that decodes to something else."""
-    decoders = (
-        (URL_RUN, unquote, "%" in text),
-        (ESCAPE_RUN, _unescape, "\\u" in text),
-        (BASE64_RUN, _base64, True),
-    )
-    for pattern, decode, worth in decoders:
-        for m in pattern.finditer(text) if worth else ():
-            if (inner := decode(m.group())) and inner != m.group():
+    for a, b, inner in _marked(text, URL_RUN, "%", unquote):
+        yield a, b, inner
+    for a, b, inner in _marked(text, ESCAPE_RUN, "\\u", _unescape):
+        yield a, b, inner
+    for m in BASE64_RUN.finditer(text):
+        for inner in _base64(m.group()):
+            if inner and inner != m.group():
                 yield m.start(), m.end(), inner
 
 
+def _marked(text: str, run: re.Pattern, mark: str, decode) -> list[tuple[int, int, str]]:
+    """(start, end, decoded) of the runs that hold the mark; each character is looked at once."""
+    if mark not in text:
+        return []
+    found = [(m.start(), m.end(), decode(m.group())) for m in run.finditer(text) if mark in m.group()]
+    return [r for r in found if r[2] != text[r[0] : r[1]]]
+
+
 class Layer:
     """A text with, per segment, its start and the (start, end, literal) of the source it stands for."""
 
@@ -170,13 +203,9 @@ def _children(layer: Layer, whole: bool) -> Iterator[tuple[Layer, bool]]:
         lo, hi = _beside(text, a, -1), _beside(text, b, 1)
         if lo < a or hi > b:
             yield layer.replaced([(a, b, inner)], lo, hi), False
-    for pattern, mark in ((URL_RUN, "%"), (ESCAPE_RUN, "\\u")):
-        if mark in text:
-            decode = unquote if pattern is URL_RUN else _unescape
-            some = [(m.start(), m.end(), decode(m.group())) for m in pattern.finditer(text)]
-            some = [r for r in some if r[2] != text[r[0] : r[1]]]
-            if some:
-                yield layer.replaced(some, 0, len(text)), whole
+    for pattern, mark, decode in ((URL_RUN, "%", unquote), (ESCAPE_RUN, "\\u", _unescape)):
+        if some := _marked(text, pattern, mark, decode):
+            yield layer.replaced(some, 0, len(text)), whole
 
 
 def scan(text: str | None) -> tuple[list, list]:
@@ -222,7 +251,12 @@ def _joined(spans: list) -> str:
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """One row per row of docs(doc_id, text): counts by kind, digest of the base spans, all spans."""
+    """One row per row of docs(doc_id, text): counts by kind, digest of the base spans, all spans.
+
+    A null text is empty and has no spans (the digest is that of nothing); texts are scanned whole;
+    repeated rows and null ids each have their row; an empty table gives none; other columns are
+    not read.
+    """
 
     def batch(ids, texts):
         found = [scan(text) for text in texts]
@@ -235,7 +269,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """docs with the secrets of `text` replaced; all other columns as they are."""
+    """docs with the secrets of `text` replaced; all other columns as they are, null texts stay null."""
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
@@ -245,4 +279,5 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scanned for secrets."""
     return scan_documents(table(spark, sf_dir, "documents"))
