@@ -271,7 +271,9 @@ def encode(docs: DataFrame, path: str, words=merged_words) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([kinds, pa.array(np.full(len(kinds), mark)), pa.array(np.arange(len(kinds), dtype=np.int32))], names=["word", "block", "number"])
 
     asked = docs.select("text", "row").mapInArrow(ask, "word string, block long, number int").repartition("word")
-    folded = words(asked.select("word").distinct(), pieces, byte0)
+    # All columns are used, so that the distinct words come from the same exchange as the requests.
+    kinds = asked.groupBy("word").agg(F.min("number").alias("n"), F.min("block").alias("b")).where("n >= 0 and b is not null")
+    folded = words(kinds.select("word"), pieces, byte0)
 
     def answer(batches):
         found = []
