@@ -23,6 +23,8 @@ BLOCK = 1 << 23
 HELD_WORDS = 1_500_000
 #: Tokens of rare words that are dealt together.
 RARE_ROWS = 1_000_000
+#: Documents whose sums meet in one block.
+RANGE = 1 << 12
 #: The place of the end of a text among the frequent words; it is also the history of a first word.
 END = 0
 #: Codes of rare words have this bit, so that they differ from the places of frequent ones.
@@ -268,7 +270,10 @@ def pair_logs(heads, per_head, c, cw, ratio, uni: Unigrams, f_counts, split: dic
 
 
 def _scored(pairs: DataFrame, shared, uni: Unigrams, ratio: np.ndarray, split, base_of: tuple[int, int]) -> DataFrame:
-    """Per table row and document: its share of the score, and the known tokens and base of rare words."""
+    """Per document its score, and the known tokens and base of its rare words.
+
+    Each row of the pair table gives a block of sums per range of documents; a range's blocks meet.
+    """
     total, kinds = base_of
 
     def part(batches):
@@ -278,12 +283,24 @@ def _scored(pairs: DataFrame, shared, uni: Unigrams, ratio: np.ndarray, split, b
                 heads, per_head, c, cw, rare, times, doc, n = unpack(block)
                 logs = np.repeat(pair_logs(heads, per_head, c.astype(np.int64), cw.astype(np.int64), ratio, uni, f.counts, split.value), times) * n
                 is_rare = np.repeat(rare, times) * n
-                at, docs = pd.factorize(doc)
-                base = np.log10((np.repeat(cw, times) + 0.5) / (total + 0.5 * (kinds + 1)))
-                cols = [docs, np.bincount(at, logs), np.bincount(at, is_rare * (np.repeat(cw, times) > 0)).astype(np.int64), np.bincount(at, is_rare * base)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["row", "score", "known", "base"])
+                at, docs = pd.factorize(doc, sort=True)
+                cw = np.repeat(cw, times)
+                base = np.bincount(at, is_rare * np.log10((cw + 0.5) / (total + 0.5 * (kinds + 1))))
+                sums = docs, np.bincount(at, logs), np.bincount(at, is_rare * (cw > 0)).astype(np.uint32), base
+                ranges = docs // RANGE
+                cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(docs)]
+                blocks = [pack(np.diff(sums[0][a:b], prepend=0), *(x[a:b] for x in sums[1:])) for a, b in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(ranges[cuts[:-1]], pa.int64()), pa.array(blocks, pa.binary())], names=["range", "block"])
+
+    def meet(batches):
+        found = [unpack(b) for batch in batches for b in batch.column(1).to_pylist()]
+        if found:
+            at, docs = pd.factorize(np.concatenate([np.cumsum(x[0]) for x in found]))
+            score, known, base = (np.bincount(at, np.concatenate([x[k] for x in found])) for k in (1, 2, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(score), pa.array(known.astype(np.int64)), pa.array(base)], names=["row", "score", "known", "base"])
 
-    return pairs.select("block").mapInArrow(part, "row long, score double, known long, base double")
+    blocks = pairs.select("block").mapInArrow(part, "range long, block binary").repartition("range")
+    return blocks.mapInArrow(meet, "row long, score double, known long, base double")
 
 
 def _documents(docs: DataFrame, shared, base_of: tuple[int, int]) -> DataFrame:
@@ -345,17 +362,16 @@ def score(docs: DataFrame, held) -> DataFrame:
     blocks = _pairs(docs, shared, False).unionByName(_dealt_rare(rare, shared)).repartitionById(parts, F.col("task"))
     pairs = stored(_counted(blocks, shared, uni), "pairs")
     of = np.zeros(K + 1, np.int64)
-    sums: dict[int, np.ndarray] = {}
+    spread: dict[int, np.ndarray] = {}
     for r in pairs.select("of", "heads", "sums").collect():
         of += np.array(r["of"])
         for h, s in zip(r["heads"], np.array(r["sums"]).reshape(-1, K + 1)):
-            sums[h] = sums.get(h, 0) + s
+            spread[h] = spread.get(h, 0) + s
     ratio = np.array(discounts(dict(enumerate(of.tolist(), 1))))
     lost = (1 - ratio[1:]) * np.arange(1, K + 1)
-    split = spark.sparkContext.broadcast({h: (float(frequent.counts[h]), float((s[:K] * lost).sum()), float(s[K])) for h, s in sums.items()})
-    parts_of = _scored(pairs, shared, uni, ratio, split, (total, kinds))
-    sums_of = parts_of.groupBy("row").agg(F.sum("score").alias("score"), F.sum("known").alias("known"), F.sum("base").alias("base"))
-    out = _documents(docs, shared, (total, kinds)).join(sums_of, "row")
+    split = spark.sparkContext.broadcast({h: (float(frequent.counts[h]), float((s[:K] * lost).sum()), float(s[K])) for h, s in spread.items()})
+    sums = _scored(pairs, shared, uni, ratio, split, (total, kinds))
+    out = _documents(docs, shared, (total, kinds)).join(sums, "row")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known0") + F.col("known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base0") + F.col("base")).alias("base_score"), "score")
 
 
