@@ -87,11 +87,12 @@ def _bytes_of(char: Column, byte0: int) -> Column:
 
 def edges_of(vocabulary: DataFrame, pieces: DataFrame) -> DataFrame:
     """(word, start, len and the piece's other columns) of all pieces in the words, and of each character
-    without one (nulls)."""
+    without one (nulls). A column `w`, equal to `word`, is read in its place if there is one."""
     width = pieces.agg(F.coalesce(F.max(F.length("piece")), F.lit(1))).first()[0]
-    at = vocabulary.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    cut = at.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.length("word") - F.col("start"), F.lit(width)))).alias("len"))
-    cut = cut.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("len")))
+    text = "w" if "w" in vocabulary.columns else "word"
+    at = vocabulary.select("word", F.col(text).alias("w"), F.explode(F.sequence(F.lit(0), F.length(text) - 1)).alias("start"))
+    cut = at.select("word", "w", "start", F.explode(F.sequence(F.lit(1), F.least(F.length("w") - F.col("start"), F.lit(width)))).alias("len"))
+    cut = cut.withColumn("piece", F.substring("w", F.col("start") + 1, F.col("len")))
     rest = [c for c in pieces.columns if c != "piece"]
     return cut.join(F.broadcast(pieces), "piece", "left").where(F.col(rest[0]).isNotNull() | (F.col("len") == 1)).select("word", "start", "len", *rest)
 
@@ -140,7 +141,8 @@ def merged_words(vocabulary: DataFrame, pieces: DataFrame, byte0: int) -> DataFr
     ids = _constants([r.id for r in some], "int")
     none = len(some)
     spot = F.col("start") * 32 + F.col("len")
-    edges = edges_of(vocabulary.where(F.length("word") <= MASKED), table)
+    text = "w" if "w" in vocabulary.columns else "word"
+    edges = edges_of(vocabulary.where(F.length(text) <= MASKED), table)
     edges = edges.select("word", F.coalesce(F.col("first") + spot, spot).alias("e"), F.struct(spot.cast("int").alias("spot"), F.coalesce("k", F.lit(none)).alias("k")).alias("x"))
     edges = edges.select("word", (F.col("e") * (1 << 20) + F.col("x.k")).alias("e"))
     grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("es"))
@@ -270,10 +272,11 @@ def encode(docs: DataFrame, path: str, words=merged_words) -> DataFrame:
                 kinds, _, _, mark = marked(some)
                 yield pa.RecordBatch.from_arrays([kinds, pa.array(np.full(len(kinds), mark)), pa.array(np.arange(len(kinds), dtype=np.int32))], names=["word", "block", "number"])
 
-    asked = docs.select("text", "row").mapInArrow(ask, "word string, block long, number int").repartition("word")
-    # All columns are used, so that the distinct words come from the same exchange as the requests.
-    kinds = asked.groupBy("word").agg(F.min("number").alias("n"), F.min("block").alias("b")).where("n >= 0 and b is not null")
-    folded = words(kinds.select("word"), pieces, byte0)
+    asked = docs.select("text", "row").mapInArrow(ask, "word string not null, block long, number int").repartition("word")
+    # The distinct words come from the exchange of the requests: all its columns are used here, and no
+    # filter on `w` can be pushed to below it.
+    kinds = asked.groupBy("word").agg(F.min("number").alias("n"), F.min("block").alias("b"))
+    folded = words(kinds.select("word", F.when((F.col("n") >= 0) & F.col("b").isNotNull(), F.col("word")).alias("w")), pieces, byte0)
 
     def answer(batches):
         found = []
