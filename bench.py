@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from loomgraph.plans.queries import QUERIES
 
-HEADLINE = ("expansion_cap", "ego_networks", "induced_arcs", "outward_paths", "compatible_patterns", "resource_allocation")
+HEADLINE = ("expansion_cap", "ego_networks", "induced_arcs", "outward_paths", "compatible_patterns", "resource_allocation", "patterns_r1", "prune_domains", "weighted_pick", "expand_alloc", "validate_paths", "export_edges")
 
 
 def main() -> None:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import folders
 from . import graph as G
 from . import patterns as P
 
@@ -169,9 +170,9 @@ class Run:
             self.connect()
             self.propagate(list(self.settled), cap)
         self.clean_up(target, cap)
-        while self.collapse() is not None:
+        while (cell := self.collapse()) is not None:
             self.connect()
-            self.propagate(list(self.settled), 0)
+            self.propagate([cell], 0)
         self.connect()
         return self
 
@@ -193,7 +194,7 @@ class Run:
             elif (cell := self.collapse()) is not None:
                 self.connect()
                 self.expand([cell], allowance)
-                self.propagate(list(self.settled), allowance)
+                self.propagate([cell], allowance)
             else:
                 return
 
@@ -234,3 +235,21 @@ def generate(spark: SparkSession, learnt: Learnt, seeds: list[int]) -> DataFrame
 def generated_edges(graphs: DataFrame) -> DataFrame:
     """(seed, src, dst), src < dst, of what generate gives."""
     return graphs.select("seed", F.col("id").alias("src"), F.explode("larger").alias("dst"))
+
+
+def generate_folder(spark: SparkSession, training: str, output: str, resume: str, seed: int = 42, radius: int = 2) -> list[int]:
+    """One generated graph per training graph of the folder, from the resume index to the last; returns
+    their numbers. The edges go by (src, dst), the labels by id, as lines. The resume file holds the
+    next number after each graph and goes at the end; an error leaves it."""
+    start = folders.resume_index(spark, resume)
+    done = []
+    for index in range(start, folders.last_index(spark, training, start) + 1):
+        nodes, edges = folders.graph_of(spark, training, index)
+        graph = generate(spark, learn(nodes, P.ordered_arcs(edges), radius), [seed])
+        rows = graph.orderBy("id").collect()
+        folders.write_lines(spark, f"{output}/graphedges{index}", [f"{r.id} {v}" for r in rows for v in r.larger])
+        folders.write_lines(spark, f"{output}/graphlabels{index}", [f"{r.id} {r.label}" for r in rows])
+        folders.save_index(spark, resume, index + 1)
+        done.append(index)
+    folders.forget_index(spark, resume)
+    return done

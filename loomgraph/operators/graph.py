@@ -49,9 +49,19 @@ def compatible(paths: DataFrame) -> DataFrame:
     return paths.withColumnRenamed("id", "a").join(other, "path").where("a <> b").select("a", "b").distinct()
 
 
+def layers(egos: DataFrame, radius: int) -> DataFrame:
+    """(center, depth, nodes) for every depth from 1 to radius, empty ones too; nodes sorted."""
+    every = egos.where("depth = 0").select("center", F.explode(F.sequence(F.lit(1), F.lit(radius))).alias("depth"))
+    found = egos.where("depth > 0").groupBy("center", "depth").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    return every.join(found, ["center", "depth"], "left").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<bigint>")))
+
+
 def expansion_cap(nodes: DataFrame, arcs: DataFrame, p: float = 0.9, slack: float = 1.1) -> DataFrame:
+    """(p_degree, cap): the degree at share p, times slack, rounded up. An empty graph fails when it is run."""
+    if not 0 <= p <= 1 or slack < 0:
+        raise ValueError("the share must lie in 0..1 and the slack must not be negative")
     degrees = nodes.join(arcs.groupBy("src").agg(F.count("*").alias("d")), F.col("id") == F.col("src"), "left").select(F.coalesce("d", F.lit(0)).alias("d"))
-    return degrees.agg(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY d)").cast("long").alias("p_degree")).withColumn("cap", F.ceil(F.col("p_degree") * slack).cast("long"))
+    return degrees.agg(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY d)").cast("long").alias("p_degree")).withColumn("p_degree", F.coalesce("p_degree", F.raise_error(F.lit("the graph is empty")).cast("long"))).withColumn("cap", F.ceil(F.col("p_degree") * slack).cast("long"))
 
 
 def resource_allocation(arcs: DataFrame) -> DataFrame:

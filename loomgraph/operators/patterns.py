@@ -38,12 +38,11 @@ def _pair_hash(a: Column, b: Column) -> Column:
     return wrap32(wrap32(F.lit(31) * (F.lit(31) + a)) + b)
 
 
-def canonical_forms(nodes: DataFrame, egos: DataFrame, arcs: DataFrame, rounds: int = 2) -> DataFrame:
-    """(center, canonical) of egos(center, node, depth, rank).
+def coloured(nodes: DataFrame, egos: DataFrame, arcs: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(center, node, depth, rank, label, colour) of egos(center, node, depth, rank), and the arcs inside them.
 
     Colours start from depth and label and are refined by the sorted colours of the neighbours
-    inside the ego. The text lists the nodes by (colour, depth, label), ties in order of
-    discovery, so equal texts mean isomorphic egos, but not the other way round.
+    inside the ego.
     """
     labelled = egos.join(nodes.select(F.col("id").alias("node"), "label"), "node")
     state = labelled.withColumn("colour", _pair_hash(F.col("depth").cast("long"), F.col("label").cast("long")))
@@ -57,6 +56,16 @@ def canonical_forms(nodes: DataFrame, egos: DataFrame, arcs: DataFrame, rounds:
         fold = F.aggregate(F.coalesce("near", F.array().cast("array<bigint>")), F.lit(1).cast("long"), lambda h, x: wrap32(F.lit(31) * h + x))
         state = state.join(near, ["center", "node"], "left").withColumn("colour", _pair_hash(F.col("colour"), fold)).drop("near")
         state = settled(state)
+    return state, inside
+
+
+def canonical_forms(nodes: DataFrame, egos: DataFrame, arcs: DataFrame, rounds: int = 2) -> DataFrame:
+    """(center, canonical) of egos(center, node, depth, rank).
+
+    The text lists the nodes by (colour, depth, label), ties in order of discovery, so equal texts
+    mean isomorphic egos, but not the other way round.
+    """
+    state, inside = coloured(nodes, egos, arcs, rounds)
     order = Window.partitionBy("center").orderBy("colour", "depth", "label", "rank")
     state = settled(state.withColumn("i", F.row_number().over(order) - 1))
     near = inside.join(state.select("center", F.col("node").alias("dst"), F.col("i").alias("j")), ["center", "dst"])
