@@ -14,10 +14,9 @@ from .common import UPPER, WORD_RE, map_columns, table
 #: Labelled rows per class that the classifier is fitted on, the least by hash of doc_id and text.
 FIT_ROWS = 3_000
 DISCOUNT = 0.75
-#: Deviations that make a count tell the classes apart.
-SIGMAS = 3.0
-#: The ratio is divided by this power of the number of words.
-LENGTH = 1.0
+#: Deviations by which a count must lie off what the classes share before a class has its own; the
+#: one of least loss on folds that the model was not fitted on is taken.
+SIGMAS = (3.0, 4.0, 5.0)
 STRIP = ".,;:!?\"'()[]"
 
 
@@ -27,13 +26,14 @@ def tokens(text: str | None) -> list[str]:
 
 @dataclass
 class Model:
-    """Ids of the words that two or more fitted texts hold (0: all others, and the start), the
-    log-likelihood ratio of each word by backoff and of each telling bigram, and the calibration."""
+    """Ids of the words that two or more fitted texts hold (0: all others, and the start), both classes'
+    word probabilities, their bigrams' own parts by key, the backoff weights, and the calibration."""
 
     ids: dict[str, int]
     unigram: np.ndarray
     keys: np.ndarray
-    ratio: np.ndarray
+    own: np.ndarray
+    backoff: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
 
@@ -41,73 +41,89 @@ class Model:
         found = tokens(text)
         return np.fromiter((self.ids.get(w, 0) for w in found), np.int64, len(found))
 
+    def probabilities(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """P(w | v) under the ordinary and the toxic model."""
+        key = v * (len(self.ids) + 1) + w
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.own[:, at], 0.0) + self.backoff[:, v] * self.unigram[:, w]
+
     def mean_ratio(self, text: str | None) -> float:
-        """Length-normalised ln P(text | toxic) - ln P(text | ordinary); 0 without words."""
+        """Mean per word of ln P(text | toxic) - ln P(text | ordinary); 0 without words."""
         w = self.encode(text)
         if not len(w):
             return 0.0
-        key = np.r_[0, w[:-1]] * (len(self.ids) + 1) + w
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return float(np.where(self.keys[at] == key, self.ratio[at], self.unigram[w]).sum() / len(w) ** LENGTH)
+        p = np.log(self.probabilities(np.r_[0, w[:-1]], w))
+        return float((p[1] - p[0]).mean())
 
     def score(self, text: str | None) -> float:
         z = self.slope * self.mean_ratio(text) + self.shift
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def _fit(texts: list[str], labels: np.ndarray) -> Model:
-    found = [tokens(t) for t in texts]
+def _kept(counts: np.ndarray, group: np.ndarray, groups: int, lower: np.ndarray, sigmas: float) -> np.ndarray:
+    """The discounted relative frequencies of both classes' counts within their groups.
+
+    `lower` is what the next lower order gives either class for each entry. Where the toxic count lies
+    within `sigmas` deviations of the part of the pooled one that this lets expect, the pooled count is
+    dealt to the classes as expected; where it lies off, each class has its own. Every count gives
+    up DISCOUNT, pooled or own.
+    """
+    pooled = counts.sum(0)
+    totals = np.stack([np.bincount(group, n, groups) for n in counts])
+    weight = totals[:, group] * lower
+    both = weight.sum(0)
+    both = np.where(both > 0, both, 1.0)
+    expected = pooled * weight[1] / both
+    off = np.abs(counts[1] - expected) >= sigmas * np.sqrt(expected + 1)
+    out = np.empty(counts.shape)
+    for c in (0, 1):
+        total = np.maximum(1.0, totals[c])
+        dealt = np.where(off, 0.0, lower[c] / both)
+        rest = np.bincount(group, pooled * dealt, groups)
+        left = 1 - np.bincount(group, np.where(off, counts[c], 0.0), groups) / total
+        scale = np.divide(left, rest, out=np.zeros(groups), where=rest > 0)[group]
+        out[c] = np.where(off, np.maximum(counts[c] - DISCOUNT, 0) / total[group], np.maximum(pooled - DISCOUNT, 0) * dealt * scale)
+    return out
+
+
+def _fit(texts: list[str], labels: np.ndarray, sigmas: float = SIGMAS[0]) -> Model:
+    """Both classes' Kneser-Ney models over one vocabulary.
+
+    The lowest order is shared: a word's part of all distinct left neighbours, in either class. Each
+    higher order discounts its counts, and what they give up goes to the next lower one, so that
+    every history's probabilities sum to 1. Expressions too rare to tell the classes apart have
+    the pooled counts in both.
+    """
+    # A text that occurs several times in a class tells no more than one.
+    once = dict.fromkeys(zip(texts, map(int, labels)))
+    found, labels = [tokens(t) for t, _ in once], [y for _, y in once]
     df = Counter(w for ws in found for w in set(ws))
     ids = {w: i for i, w in enumerate(sorted(w for w, c in df.items() if c >= 2), 1)}
     size = len(ids) + 1
-    pairs = []
-    for label in (0, 1):
-        all_keys = []
-        for ws, y in zip(found, labels):
-            if y == label and ws:
-                w = np.fromiter((ids.get(x, 0) for x in ws), np.int64, len(ws))
-                all_keys.append(np.r_[0, w[:-1]] * size + w)
-        pairs.append(np.unique(np.concatenate(all_keys) if all_keys else np.empty(0, np.int64), return_counts=True))
-    # Words by how often they occur in both classes, one added, are what the classes back off to.
-    total = np.ones(size)
-    for k, c in pairs:
-        np.add.at(total, k % size, c)
-    shared = total / total.sum()
-    keys = np.union1d(pairs[0][0], pairs[1][0]) if size else np.empty(0, np.int64)
-    keys = keys if len(keys) else np.array([-1])
-    unigram, seen, back = np.zeros((2, size)), np.zeros((2, len(keys))), np.zeros((2, size))
-    for label, (k, c) in enumerate(pairs):
-        new = np.zeros(size)
-        np.add.at(new, k % size, 1.0)  # distinct left neighbours
-        kept = np.maximum(new - DISCOUNT, 0)
-        unigram[label] = (kept + (new.sum() - kept.sum()) * shared) / new.sum() if new.sum() else shared
-        after, kinds = np.zeros(size), np.zeros(size)
-        np.add.at(after, k // size, c)
-        np.add.at(kinds, k // size, 1.0)
-        back[label] = np.where(after > 0, np.log(np.maximum(DISCOUNT * kinds, 1e-12) / np.maximum(after, 1)), 0.0)
-        if len(k):
-            seen[label][np.searchsorted(keys, k)] = np.maximum(c - DISCOUNT, 0) / after[k // size]
-    # Where the classes' counts agree with the shared ones up to chance, both back off to these.
-    own = [np.bincount((k % size).astype(np.int64), minlength=size).astype(float) for k, _ in pairs]
-    word_ratio = np.where(_apart(own[0], own[1]), np.log(unigram[1] / unigram[0]), 0.0)
-    counts = np.zeros((2, len(keys)))
-    for label, (k, c) in enumerate(pairs):
-        if len(k):
-            counts[label][np.searchsorted(keys, k)] = c
-    told = _apart(counts[0], counts[1])
-    keys, v, w = keys[told], keys[told] // size, keys[told] % size
-    p = np.exp(back[:, v]) * unigram[:, w] + seen[:, told]
-    ratio = np.log(p[1] / p[0])
-    if not len(keys):
-        keys, ratio = np.array([-1]), np.zeros(1)
-    return Model(ids, word_ratio, keys, ratio)
-
-
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the counts differ from the classes' overall shares by SIGMAS standard deviations."""
-    share = b.sum() / max(a.sum() + b.sum(), 1)
-    expected = (a + b) * share
-    return np.abs(b - expected) >= SIGMAS * np.sqrt(expected + 1)
+    each = [[], []]
+    for ws, y in zip(found, labels):
+        if ws:
+            w = np.fromiter((ids.get(x, 0) for x in ws), np.int64, len(ws))
+            each[int(y)].append(np.r_[0, w[:-1]] * size + w)
+    each = [np.unique(np.concatenate(e) if e else np.empty(0, np.int64), return_counts=True) for e in each]
+    keys = np.union1d(each[0][0], each[1][0])
+    pairs = np.zeros((2, len(keys)))
+    for c, (k, n) in enumerate(each):
+        pairs[c, np.searchsorted(keys, k)] = n
+    v, w = keys // size, keys % size
+    shared = np.bincount(w, minlength=size) + 1.0
+    shared /= shared.sum()
+    words = np.stack([np.bincount(w, n, size) for n in pairs])
+    # The start and the words outside may not occur; any weight serves for a count of 0.
+    words[:, words.sum(0) == 0] = 1e-9
+    own = _kept(words, np.zeros(size, np.int64), 1, np.stack([shared, shared]), sigmas)
+    unigram = own + (1 - own.sum(1, keepdims=True)) * shared
+    part = _kept(pairs, v, size, unigram[:, w], sigmas)
+    backoff = 1 - np.stack([np.bincount(v, x, size) for x in part])
+    some = part.any(0)
+    if not some.any():
+        return Model(ids, unigram, np.array([-1]), np.zeros((2, 1)), backoff)
+    return Model(ids, unigram, keys[some], part[:, some], backoff)
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -128,7 +144,8 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def train(rows: list[tuple[str | None, int]], stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """Fits on all rows; the calibration comes from three folds that each leave their texts out.
+    """Fits on all rows; the choice among SIGMAS and the calibration come from three folds that each leave
+    their texts out.
 
     A row of class k counts in the calibration as the stands_for[k] labelled rows it was drawn from,
     so that the scores keep the labels' class shares when a class is sampled.
@@ -139,16 +156,33 @@ def train(rows: list[tuple[str | None, int]], stands_for: tuple[float, float] =
         model = _fit(texts, y)
         model.slope, model.shift = 0.0, 5.0 if len(y) and y[0] else -5.0
         return model
+    weight = np.where(y == 1, stands_for[1], stands_for[0])
     fold = np.array([hash_of(t) % 3 for t in texts])
-    x = np.zeros(len(y))
-    for k in range(3):
-        part = _fit([t for t, f in zip(texts, fold) if f != k], y[fold != k])
-        x[fold == k] = [part.mean_ratio(t) for t, f in zip(texts, fold) if f == k]
-    model = _fit(texts, y)
-    model.slope, model.shift = _calibrate(x, y, np.where(y == 1, stands_for[1], stands_for[0]))
+
+    def ratios(sigmas: float) -> np.ndarray:
+        x = np.zeros(len(y))
+        for k in range(3):
+            part = _fit([t for t, f in zip(texts, fold) if f != k], y[fold != k], sigmas)
+            x[fold == k] = [part.mean_ratio(t) for t, f in zip(texts, fold) if f == k]
+        return x
+
+    every = {sigmas: ratios(sigmas) for sigmas in SIGMAS}
+    sigmas = min(SIGMAS, key=lambda g: _loss(every[g], y, weight))
+    x = every[sigmas]
+    model = _fit(texts, y, sigmas)
+    model.slope, model.shift = _calibrate(x, y, weight)
     return model
 
 
+def _loss(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The calibrated log loss of one feature."""
+    if not len(x):
+        return 0.0
+    slope, shift = _calibrate(x, y, weight)
+    z = np.where(y == 1, 1, -1) * (slope * x + shift)
+    return float((weight * np.logaddexp(0, -z)).sum())
+
+
 def hash_of(text: str) -> int:
     import zlib
 
@@ -175,9 +209,11 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; null and empty texts score the prior.
+    """doc_id, held_out, score, predicted of every row.
 
-    The model is bounded by the fitted rows, so it is broadcast. A null doc_id is not held out.
+    Null, empty and wordless texts score by the class shares alone; texts are scored whole; repeated
+    rows and ids each have their row; an empty table gives none; other columns are not read. The
+    model is bounded by the fitted rows, so it is broadcast. A null doc_id is not held out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)["doc_id"]
@@ -191,7 +227,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def keep_ordinary(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score below the threshold."""
+    """The rows of docs(text, ...) that score below the threshold, all columns as they are; null and empty
+    texts score by the class shares alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
@@ -202,5 +239,6 @@ def keep_ordinary(docs: DataFrame, model: Model, threshold: float = 0.3) -> Data
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored, learning from the labelled ones that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, fitted(docs, table(spark, sf_dir, "labels")))
