@@ -16,7 +16,9 @@ FIT_ROWS = 3_000
 DISCOUNT = 0.75
 #: Deviations by which a count must lie off what the classes share before a class has its own; the
 #: one of least loss on folds that the model was not fitted on is taken.
-SIGMAS = (3.0, 4.0, 5.0)
+SIGMAS = (3.0, 5.0)
+#: Folds of the fitted rows.
+FOLDS = 5
 STRIP = ".,;:!?\"'()[]"
 
 
@@ -144,7 +146,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def train(rows: list[tuple[str | None, int]], stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """Fits on all rows; the choice among SIGMAS and the calibration come from three folds that each leave
+    """Fits on all rows; the choice among SIGMAS and the calibration come from FOLDS folds that each leave
     their texts out.
 
     A row of class k counts in the calibration as the stands_for[k] labelled rows it was drawn from,
@@ -157,11 +159,11 @@ def train(rows: list[tuple[str | None, int]], stands_for: tuple[float, float] =
         model.slope, model.shift = 0.0, 5.0 if len(y) and y[0] else -5.0
         return model
     weight = np.where(y == 1, stands_for[1], stands_for[0])
-    fold = np.array([hash_of(t) % 3 for t in texts])
+    fold = np.array([hash_of(t) % FOLDS for t in texts])
 
     def ratios(sigmas: float) -> np.ndarray:
         x = np.zeros(len(y))
-        for k in range(3):
+        for k in range(FOLDS):
             part = _fit([t for t, f in zip(texts, fold) if f != k], y[fold != k], sigmas)
             x[fold == k] = [part.mean_ratio(t) for t, f in zip(texts, fold) if f == k]
         return x
