@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,13 +46,15 @@ class Model:
 
     def probabilities(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """P(w | v) under the ordinary and the toxic model."""
-        key = v * (len(self.ids) + 1) + w
+        key = v * self.unigram.shape[1] + w
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.own[:, at], 0.0) + self.backoff[:, v] * self.unigram[:, w]
 
     def mean_ratio(self, text: str | None) -> float:
         """Mean per word of ln P(text | toxic) - ln P(text | ordinary); 0 without words."""
-        w = self.encode(text)
+        return self.ratio_of(self.encode(text))
+
+    def ratio_of(self, w: np.ndarray) -> float:
         if not len(w):
             return 0.0
         p = np.log(self.probabilities(np.r_[0, w[:-1]], w))
@@ -88,8 +91,16 @@ def _kept(counts: np.ndarray, group: np.ndarray, groups: int, lower: np.ndarray,
     return out
 
 
-def _fit(texts: list[str], labels: np.ndarray, sigmas: float = SIGMAS[0]) -> Model:
-    """Both classes' Kneser-Ney models over one vocabulary.
+def _coded(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct words in order, and each text as their numbers."""
+    found = [tokens(t) for t in texts]
+    names = sorted({w for ws in found for w in ws})
+    place = {w: i for i, w in enumerate(names)}
+    return names, [np.fromiter((place[w] for w in ws), np.int32, len(ws)) for ws in found]
+
+
+def _fit(coded: list[np.ndarray], labels: np.ndarray, n_words: int, sigmas: float) -> tuple[Model, np.ndarray]:
+    """Both classes' Kneser-Ney models over one vocabulary, and the place of each of the n_words in it.
 
     The lowest order is shared: a word's part of all distinct left neighbours, in either class. Each
     higher order discounts its counts, and what they give up goes to the next lower one, so that
@@ -97,16 +108,17 @@ def _fit(texts: list[str], labels: np.ndarray, sigmas: float = SIGMAS[0]) -> Mod
     the pooled counts in both.
     """
     # A text that occurs several times in a class tells no more than one.
-    once = dict.fromkeys(zip(texts, map(int, labels)))
-    found, labels = [tokens(t) for t, _ in once], [y for _, y in once]
-    df = Counter(w for ws in found for w in set(ws))
-    ids = {w: i for i, w in enumerate(sorted(w for w, c in df.items() if c >= 2), 1)}
-    size = len(ids) + 1
+    once = list({(c.tobytes(), int(y)): (c, int(y)) for c, y in zip(coded, labels)}.values())
+    df = np.zeros(n_words, np.int64)
+    for c, _ in once:
+        df[np.unique(c)] += 1
+    place = np.where(df >= 2, np.cumsum(df >= 2), 0)
+    size = int((df >= 2).sum()) + 1
     each = [[], []]
-    for ws, y in zip(found, labels):
-        if ws:
-            w = np.fromiter((ids.get(x, 0) for x in ws), np.int64, len(ws))
-            each[int(y)].append(np.r_[0, w[:-1]] * size + w)
+    for c, y in once:
+        if len(c):
+            w = place[c]
+            each[y].append(np.r_[0, w[:-1]] * size + w)
     each = [np.unique(np.concatenate(e) if e else np.empty(0, np.int64), return_counts=True) for e in each]
     keys = np.union1d(each[0][0], each[1][0])
     pairs = np.zeros((2, len(keys)))
@@ -124,8 +136,8 @@ def _fit(texts: list[str], labels: np.ndarray, sigmas: float = SIGMAS[0]) -> Mod
     backoff = 1 - np.stack([np.bincount(v, x, size) for x in part])
     some = part.any(0)
     if not some.any():
-        return Model(ids, unigram, np.array([-1]), np.zeros((2, 1)), backoff)
-    return Model(ids, unigram, keys[some], part[:, some], backoff)
+        return Model({}, unigram, np.array([-1]), np.zeros((2, 1)), backoff), place
+    return Model({}, unigram, keys[some], part[:, some], backoff), place
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -154,8 +166,15 @@ def train(rows: list[tuple[str | None, int]], stands_for: tuple[float, float] =
     """
     texts = [t or "" for t, _ in rows]
     y = np.array([t for _, t in rows], float)
+    names, coded = _coded(texts)
+
+    def whole(sigmas: float) -> Model:
+        model, place = _fit(coded, y, len(names), sigmas)
+        model.ids = {names[i]: int(place[i]) for i in np.flatnonzero(place)}
+        return model
+
     if not len(y) or y.min() == y.max():
-        model = _fit(texts, y)
+        model = whole(SIGMAS[0])
         model.slope, model.shift = 0.0, 5.0 if len(y) and y[0] else -5.0
         return model
     weight = np.where(y == 1, stands_for[1], stands_for[0])
@@ -164,15 +183,14 @@ def train(rows: list[tuple[str | None, int]], stands_for: tuple[float, float] =
     def ratios(sigmas: float) -> np.ndarray:
         x = np.zeros(len(y))
         for k in range(FOLDS):
-            part = _fit([t for t, f in zip(texts, fold) if f != k], y[fold != k], sigmas)
-            x[fold == k] = [part.mean_ratio(t) for t, f in zip(texts, fold) if f == k]
+            part, place = _fit([c for c, f in zip(coded, fold) if f != k], y[fold != k], len(names), sigmas)
+            x[fold == k] = [part.ratio_of(place[c]) for c, f in zip(coded, fold) if f == k]
         return x
 
     every = {sigmas: ratios(sigmas) for sigmas in SIGMAS}
     sigmas = min(SIGMAS, key=lambda g: _loss(every[g], y, weight))
-    x = every[sigmas]
-    model = _fit(texts, y, sigmas)
-    model.slope, model.shift = _calibrate(x, y, weight)
+    model = whole(sigmas)
+    model.slope, model.shift = _calibrate(every[sigmas], y, weight)
     return model
 
 
@@ -206,8 +224,15 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     stands_for = tuple(max(1.0, count.get(k, 0) / rows) for k in (0, 1))
     take = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
     some = docs.select("doc_id", "text").join(F.broadcast(take[0].union(take[1])), "doc_id")
-    drawn = some.dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic").collect()
-    return train([(r.text, r.toxic) for r in drawn], stands_for)
+    drawn = some.dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions("doc_id")
+
+    def fit(batches):
+        found = [r for b in batches for r in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(found, stands_for))], pa.binary())], names=["model"])
+
+    # The drawn rows are few by FIT_ROWS; one task fits them, and only the model meets the driver.
+    found = drawn.mapInArrow(fit, "model binary").first()
+    return pickle.loads(found["model"]) if found else train([])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
