@@ -71,9 +71,10 @@ def _kept(counts: np.ndarray, group: np.ndarray, groups: int, lower: np.ndarray,
     `lower` is what the next lower order gives either class for each entry. Where the toxic count lies
     within `sigmas` deviations of the part of the pooled one that this lets expect, the pooled count is
     dealt to the classes as expected; where it lies off, each class has its own. Every count gives
-    up DISCOUNT, pooled or own.
+    up DISCOUNT, pooled or own; a pooled count of 1 gives up all.
     """
     pooled = counts.sum(0)
+    less = np.where(pooled <= 1, 0.0, pooled - DISCOUNT)
     totals = np.stack([np.bincount(group, n, groups) for n in counts])
     weight = totals[:, group] * lower
     both = weight.sum(0)
@@ -87,7 +88,7 @@ def _kept(counts: np.ndarray, group: np.ndarray, groups: int, lower: np.ndarray,
         rest = np.bincount(group, pooled * dealt, groups)
         left = 1 - np.bincount(group, np.where(off, counts[c], 0.0), groups) / total
         scale = np.divide(left, rest, out=np.zeros(groups), where=rest > 0)[group]
-        out[c] = np.where(off, np.maximum(counts[c] - DISCOUNT, 0) / total[group], np.maximum(pooled - DISCOUNT, 0) * dealt * scale)
+        out[c] = np.where(off, np.maximum(counts[c] - DISCOUNT, 0) / total[group], less * dealt * scale)
     return out
 
 
