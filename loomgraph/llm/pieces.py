@@ -18,7 +18,7 @@ SPACE = "▁"
 #: Words of more characters are merged by a queue instead of bit masks of 64-bit integers.
 MASKED = 62
 #: Bytes of texts whose distinct words are asked for together.
-BLOCK = 1 << 24
+BLOCK = 10 << 20
 
 
 def _processor(path: str):
