@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import mix, pack, word_codes
-from .common import discard, sliced, stored, table
+from .common import UPPER, WORD_RE, discard, sliced, stored, table
 from .tiles import BITS, BROADCAST_ROWS, linked_classes
 
 #: Logarithmic step of the size bands.
@@ -49,6 +49,11 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
+def shingle_words(text: str | None) -> list[str]:
+    """The words of a text as shingles take them."""
+    return WORD_RE.findall((text or "").translate(UPPER))
+
+
 def class_id(s: np.ndarray) -> int:
     """A signed 64-bit name of the set; 0 for the empty one."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else 0

@@ -65,7 +65,7 @@ def test_token_counts_match_library(spark):
 def brute_components(rows, width=4):
     sets = {}
     for i, t in rows:
-        w = [x for x in jaccard.WORD_RE.findall((t or "").translate(jaccard.UPPER))]
+        w = jaccard.shingle_words(t)
         sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
     comp = {i: i for i in sets}
 
@@ -118,3 +118,30 @@ def test_secrets_layers_and_edges(spark):
     rows = secrets.scan_documents(frame(spark, edge_rows())).collect()
     assert len(rows) == 8 and all(r.n_hex == 0 for r in rows)
     assert secrets.redact_documents(frame(spark, edge_rows())).count() == 8
+
+
+def test_mixing_empty_sources(spark):
+    rows = mixing.mix(frame(spark, [(1, "", "a", "x"), (2, None, "a", "x"), (3, "one two three", "b", "x")])).collect()
+    assert {r.doc_id: r.copies for r in rows if r.doc_id < 3} == {1: 0, 2: 0}
+    assert sum(r.taken for r in rows) == 3
+    assert [r.copies for r in mixing.mix(frame(spark, [(1, "", "a", "x")])).collect()] == [0]
+
+
+def test_long_runs_and_members(spark):
+    import time
+
+    began = time.time()
+    secrets.scan("a" * 1_000_000 + "%41")
+    secrets.scan("a" * 1_000_000 + "\\u0041")
+    assert time.time() - began < 2
+    key = "AKIA" + "Z" * 16
+    two = base64.b64encode(gzip.compress(b"plain text here") + gzip.compress(key.encode())).decode()
+    assert (2, "access", 2 + len(two)) in secrets.scan("x " + two)[1]
+
+
+def test_neighbours_of_each_length(spark):
+    from loomgraph.llm import neighbours
+
+    v = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 3.0]), (100, [1.0, 2.0, 3.0]), (101, [1.0, 2.0, 4.0])], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in neighbours.search(v, v.where("vec_id % 100 = 0")).collect())
+    assert got == [(0, 1, 1, 1.0), (100, 1, 101, 1.0)]
