@@ -94,10 +94,13 @@ def _kept(counts: np.ndarray, group: np.ndarray, groups: int, lower: np.ndarray,
 
 def _coded(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
     """The distinct words in order, and each text as their numbers."""
-    found = [tokens(t) for t in texts]
-    names = sorted({w for ws in found for w in ws})
-    place = {w: i for i, w in enumerate(names)}
-    return names, [np.fromiter((place[w] for w in ws), np.int32, len(ws)) for ws in found]
+    seen: dict[str, int] = {}
+    # A text's words are dropped as soon as they have their numbers.
+    coded = [np.fromiter((seen.setdefault(w, len(seen)) for w in tokens(t)), np.int32) for t in texts]
+    names = sorted(seen)
+    place = np.empty(len(names), np.int32)
+    place[[seen[w] for w in names]] = np.arange(len(names))
+    return names, [place[c] for c in coded]
 
 
 def _fit(coded: list[np.ndarray], labels: np.ndarray, n_words: int, sigmas: float) -> tuple[Model, np.ndarray]:
@@ -125,6 +128,7 @@ def _fit(coded: list[np.ndarray], labels: np.ndarray, n_words: int, sigmas: floa
     pairs = np.zeros((2, len(keys)))
     for c, (k, n) in enumerate(each):
         pairs[c, np.searchsorted(keys, k)] = n
+    del each, once
     v, w = keys // size, keys % size
     shared = np.bincount(w, minlength=size) + 1.0
     shared /= shared.sum()
