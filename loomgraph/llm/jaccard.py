@@ -21,7 +21,7 @@ SPARE = 1.3
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of texts that are cut into shingles at a time, and keys that one task sorts.
 BLOCK = 1 << 23
-TASK_KEYS = 1_500_000
+TASK_KEYS = 2_500_000
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
