@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import base_slots, entropy, prune
 from . import graph as G
+from .numbering import numbered_within
 
 
 def settled(cells: DataFrame) -> DataFrame:
@@ -139,17 +140,25 @@ def pattern_scores(compat: DataFrame) -> DataFrame:
 
 
 def scored(pairs: DataFrame, compat: DataFrame) -> DataFrame:
-    """The pairs with the score of their patterns, 0 without common partners."""
-    s = pattern_scores(compat)
-    joined = pairs.join(s, (F.least("pu", "pv") == s["a"]) & (F.greatest("pu", "pv") == s["b"]), "left")
+    """The pairs with the score of their patterns, 0 without common partners.
+
+    Only patterns that meet in a pair are scored, each pair once: the partners of one are looked up
+    among those of the other.
+    """
+    least, most = F.least("pu", "pv"), F.greatest("pu", "pv")
+    one = compat.where("radius = 1").select("a", F.col("b").alias("m"))
+    degree = one.groupBy(F.col("a").alias("m")).agg(F.count("*").alias("degree"))
+    met = pairs.select(least.alias("a"), most.alias("b")).distinct()
+    common = met.join(one, "a").join(one.withColumnRenamed("a", "b"), ["b", "m"])
+    s = common.join(degree, "m").groupBy("a", "b").agg(F.round(F.sum(1 / F.col("degree")), 9).alias("score"))
+    joined = pairs.join(s, (least == s["a"]) & (most == s["b"]), "left")
     return joined.select("run", "u", "v", "pu", "pv", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def exported(cells: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(run, id, label) and (run, src, dst), src < dst: settled cells by number in settled order from 0,
     neighbours that are not settled, loops and repeats left out. cells has `label` too."""
-    number = (F.row_number().over(Window.partitionBy("run").orderBy("pos")) - 1).alias("id")
-    known = settled(cells).select("run", "cell", "label", number)
+    known = numbered_within(settled(cells).select("run", "cell", "label", "pos"), "run", ["pos"], "id").select("run", "cell", "label", F.col("id").cast("int").alias("id"))
     ids = known.select(F.col("cell").alias("c"), F.col("id").alias("i"))
     edges = near.join(known.select("run", F.col("cell").alias("src"), F.col("id").alias("a")), "src").join(ids, F.col("dst") == F.col("c"))
     edges = edges.where("a < i").select("run", F.col("a").alias("src"), F.col("i").alias("dst")).distinct()

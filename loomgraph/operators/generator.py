@@ -6,6 +6,7 @@ A run is a chain of single collapses, so it is one task; many seeds run side by
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,7 +45,7 @@ def allocate(degrees: list[int], budget: int) -> list[int]:
     slots = [min(max(1, math.floor(s)), m) for s, m in zip(share, most)]
     surplus = budget - sum(slots)
     open_cells = [i for i in range(len(degrees)) if slots[i] < most[i]]
-    for i in sorted(open_cells, key=lambda i: slots[i] - share[i])[: max(0, surplus)]:
+    for i in sorted(open_cells, key=lambda i: -round(share[i] - slots[i], 12))[: max(0, surplus)]:
         slots[i] += 1
     return slots
 
@@ -61,7 +62,7 @@ class Run:
     settled: list[int] = field(default_factory=list)
 
     def __post_init__(self):
-        self.rng = np.random.default_rng(self.seed)
+        self.draws = 0
         self.radius = max(self.learnt.compat, default=0)
 
     def new_cell(self, parent: int | None = None) -> None:
@@ -82,9 +83,10 @@ class Run:
         self.settled.append(cell)
 
     def entropy(self, cell: int) -> float:
+        """To nine places, so that it does not depend on the order of the sum."""
         weights = [self.learnt.frequency[p] for p in self.domain[cell]]
         total = sum(weights)
-        return -sum(w / total * math.log(w / total) for w in weights) if len(weights) > 1 else 0.0
+        return round(math.log(total) - sum(round(w * math.log(w), 9) for w in weights) / total, 9) if len(weights) > 1 else 0.0
 
     def collapse(self) -> int | None:
         """Settles the first cell of least positive entropy by a weighted draw."""
@@ -93,11 +95,16 @@ class Run:
             return None
         cell = self.frontier[min(open_cells)[1]]
         sums = np.cumsum([self.learnt.frequency[p] for p in self.domain[cell]])
-        pattern = self.domain[cell][int(np.searchsorted(sums, self.rng.random() * sums[-1]))]
+        pattern = self.domain[cell][int(np.searchsorted(sums, self.draw() * sums[-1]))]
         self.settle(cell, pattern)
         self.want[cell] = self.learnt.degree[pattern]
         return cell
 
+    def draw(self) -> float:
+        """The next draw in [0, 1), as `growth.draw` gives it."""
+        self.draws += 1
+        return zlib.crc32(f"{self.seed}:{self.draws - 1}".encode()) / 2.0**32
+
     def rings(self, start: int, depth: int, through) -> list[list[int]]:
         """The cells at distance 1..depth, entering only cells that `through` allows."""
         seen, ring, out = {start}, [start], []
@@ -141,7 +148,7 @@ class Run:
     def score(self, u: int, v: int) -> float:
         one = self.learnt.compat[1]
         both = one.get(self.pattern[u], set()) & one.get(self.pattern[v], set())
-        return sum(1 / len(one[m]) for m in sorted(both) if one.get(m))
+        return round(sum(1 / len(one[m]) for m in sorted(both) if one.get(m)), 9)
 
     def connect(self) -> int:
         """Edges between settled cells that lack some, by score, ties by cell; the rules are tested before the round only."""

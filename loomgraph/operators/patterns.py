@@ -87,16 +87,42 @@ def extract_patterns(nodes: DataFrame, arcs: DataFrame, radius: int, egos: DataF
     return settled(forms.groupBy("canonical").agg(F.min("center").alias("pattern_id"), F.first("center_label").alias("center_label"), F.count("*").alias("frequency"), F.first("center_degree").alias("center_degree")).select("pattern_id", "center_label", "frequency", "center_degree", "canonical"))
 
 
-def compatibility(nodes: DataFrame, arcs: DataFrame, max_radius: int) -> tuple[DataFrame, DataFrame]:
-    """(radius, a, b) and the keys (radius, a): each radius has patterns of its own, and a pattern
-    without partners is still a key."""
+def learnt_paths(nodes: DataFrame, arcs: DataFrame, max_radius: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(patterns of max_radius, keys(radius, a), paths(radius, id, path)): each radius has patterns of its
+    own, each pattern the distinct label paths of that many hops outward from its centre.
+
+    A path is the class through which patterns are compatible: a table of patterns by path is as large as
+    its paths, while the pairs grow with the square of the patterns that share one.
+    """
     nodes, arcs = settled(nodes), settled(arcs)
     egos = ranked_ego(nodes, arcs, max_radius)
-    pairs, keys = None, None
+    found, keys, paths = None, None, None
     for r in range(1, max_radius + 1):
-        ids = extract_patterns(nodes, arcs, r, egos).select(F.col("pattern_id").alias("id"))
+        found = extract_patterns(nodes, arcs, r, egos)
+        ids = found.select(F.col("pattern_id").alias("id"))
         some = egos.where(F.col("depth") <= r).join(ids, F.col("center") == F.col("id"), "left_semi").select("center", "node", "depth")
-        paths = G.outward_paths(nodes.join(ids, "id", "left_semi"), some, arcs, r, nodes).select(F.col("center").alias("id"), "path")
-        pair, key = G.compatible(paths).select(F.lit(r).alias("radius"), "a", "b"), ids.select(F.lit(r).alias("radius"), F.col("id").alias("a"))
-        pairs, keys = (pair, key) if pairs is None else (pairs.union(pair), keys.union(key))
-    return pairs, keys
+        path = G.outward_paths(nodes.join(ids, "id", "left_semi"), some, arcs, r, nodes).select(F.lit(r).alias("radius"), F.col("center").alias("id"), "path")
+        key = ids.select(F.lit(r).alias("radius"), F.col("id").alias("a"))
+        keys, paths = (key, path) if keys is None else (keys.union(key), paths.union(path))
+    return found, keys, settled(paths)
+
+
+def pattern_of(nodes: DataFrame, arcs: DataFrame, radius: int) -> DataFrame:
+    """(node, pattern): the pattern of each node's ego, named by its smallest centre."""
+    forms = settled(canonical_forms(nodes, ranked_ego(nodes, arcs, radius), arcs))
+    ids = forms.groupBy("canonical").agg(F.min("center").alias("pattern"))
+    return forms.join(ids, "canonical").select(F.col("center").alias("node"), "pattern")
+
+
+def pairs_by_path(paths: DataFrame) -> DataFrame:
+    """(radius, a, b) of paths(radius, id, path) where a path of one is the reverse of a path of the other."""
+    one = paths.withColumnRenamed("id", "a")
+    other = paths.select("radius", F.col("id").alias("b"), F.reverse("path").alias("path"))
+    return one.join(other, ["radius", "path"]).where("a <> b").select("radius", "a", "b").distinct()
+
+
+def compatibility(nodes: DataFrame, arcs: DataFrame, max_radius: int) -> tuple[DataFrame, DataFrame]:
+    """(radius, a, b) and the keys (radius, a): each radius has patterns of its own, and a pattern
+    without partners is still a key."""
+    _, keys, paths = learnt_paths(nodes, arcs, max_radius)
+    return pairs_by_path(paths), keys

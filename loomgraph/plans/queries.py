@@ -112,3 +112,5 @@ ORACLES = {
 QUERIES |= state.QUERIES
 ORACLES |= state.ORACLES
 ORACLES["ra_score"] = PAIRS + ", one as (select distinct u.id a, v.id b from p u join p v on u.radius=1 and v.radius=1 and u.f=v.b and u.id<>v.id), n1 as (select a m, count(*) n from one group by 1) select x.a, y.a b, round(sum(1.0/n),9) score from one x join one y on x.b=y.b and x.a<y.a join n1 on n1.m=x.b group by all"
+ORACLES["propagate_waves"] = state._wave_sql(PAIRS)
+ORACLES["path_classes"] = PAIRS + "select radius, cast(path as int) path, sum(o)::bigint patterns_out, sum(i)::bigint patterns_in from (select radius, f path, 1 o, 0 i from p union all select radius, b, 0, 1 from p) group by all"

@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import bits as B
 from ..operators import cells as C
 from ..operators import generator as gen
 from ..operators import graph as G
+from ..operators import growth as W
 from ..operators import matching as M
 from ..operators import patterns as P
 from ..sources import text as T
@@ -126,15 +128,75 @@ def _parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _generated(spark: SparkSession, sf: str) -> DataFrame:
-    """Graphs of ten seeds, learnt from regions and nations, the nations of a region in a row."""
+    """Graphs of ten seeds, learnt from regions and nations."""
+    learnt = gen.learn(*_regions(spark, sf), 2)
+    return gen.generate(spark, learnt, list(range(1, 11))).select("seed", "id", "label", F.array_join("larger", ",").alias("larger"))
+
+
+def _pruned_bits(s: Snapshot) -> DataFrame:
+    """prune_domains over packed sets."""
+    d = B.from_pairs(s.patterns, s.keys, s.compat, 2)
+    cells, sets = B.packed(C.open_cells(s.cells).select("cell", "domain"), d)
+    seeds = C.settled(s.cells).select(F.col("cell").alias("node"), F.col("pattern").alias("a"))
+    reach = G.ego(cells.select(F.col("cell").alias("id")), s.near, 2).where("depth > 0")
+    rules = reach.join(seeds, "node").select(F.col("center").alias("cell"), F.col("depth").alias("radius"), "a")
+    changed, new = B.pruned_sets(cells, sets, rules, d)
+    now = cells.join(changed.withColumnRenamed("domain", "new"), "cell", "left").select("cell", F.coalesce("new", "domain").alias("domain"))
+    text = B.members(sets.union(new).distinct(), d).groupBy("domain").agg(F.array_join(F.sort_array(F.collect_set("id")), ",").alias("text"))
+    return now.join(text, "domain", "left").select("cell", F.coalesce("text", F.lit("")).alias("domain"))
+
+
+def _dictionary(nodes: DataFrame, arcs: DataFrame, radius: int) -> B.Dictionary:
+    found, keys, paths = P.learnt_paths(nodes, arcs, radius)
+    patterns = found.select(F.col("pattern_id").alias("id"), F.col("center_label").alias("label"), "frequency", F.col("center_degree").alias("degree"))
+    return B.from_paths(patterns, keys, paths, radius)
+
+
+def _waves(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of status F are settled with the pattern learnt from their place, all others may take any;
+    waves run in all customers' chains at once until no cell is forced."""
+    nodes, arcs = _numbered_chain(spark, sf)
+    d = _dictionary(nodes, arcs, 1)
+    full, sets = B.full_set(d)
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").alias("done"))
+    rows = o.join(P.pattern_of(nodes, arcs, 1), F.col("o_orderkey") == F.col("node"))
+    pattern, placed = F.when(F.col("done"), F.col("pattern")), F.when(F.col("done"), F.col("o_orderkey"))
+    cells = rows.select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("cell"), placed.alias("placed"), pattern.alias("pattern"), F.lit(0).cast("long").alias("target"), F.lit(full).alias("domain"), F.col("done").alias("fresh"))
+    start = W.State(W.gathered(cells), W.gathered(arcs.select("src", "dst")), sets)
+    s, _ = W.propagated(start, cells.select("run", F.lit(0).cast("long").alias("allowance")).distinct(), d)
+    left = B.members(s.sets, d).groupBy("domain").agg(F.count("*").alias("left"), F.min("id").alias("first"))
+    open_ = s.cells.join(left, "domain", "left")
+    return open_.select("cell", "pattern", F.when(F.col("placed").isNull(), F.coalesce("left", F.lit(0))).otherwise(1).cast("long").alias("left"), F.when(F.col("placed").isNull(), F.col("first")).otherwise(F.col("pattern")).alias("first"))
+
+
+def _regions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Regions and nations, the nations of a region in a row."""
     n = spark.read.parquet(f"{sf}/nation.parquet")
     w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
     nodes = n.select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_regionkey") + 1).cast("int").alias("label"))
     nodes = nodes.union(spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_regionkey").cast("long") + 100, F.lit(0)))
     edges = n.select(F.col("n_nationkey").cast("long").alias("src"), F.lead(F.col("n_nationkey").cast("long")).over(w).alias("dst")).where("dst is not null")
     edges = edges.union(n.select(F.col("n_nationkey").cast("long"), F.col("n_regionkey").cast("long") + 100))
-    learnt = gen.learn(nodes, P.ordered_arcs(edges.withColumn("seq", F.col("src") * 1000 + F.col("dst"))), 2)
-    return gen.generate(spark, learnt, list(range(1, 11))).select("seed", "id", "label", F.array_join("larger", ",").alias("larger"))
+    return nodes, P.ordered_arcs(edges.withColumn("seq", F.col("src") * 1000 + F.col("dst")))
+
+
+def _grown(spark: SparkSession, sf: str) -> DataFrame:
+    """A small graph per nation, all grown side by side from the patterns of regions and nations; the
+    nation's key is its seed."""
+    nodes, arcs = _regions(spark, sf)
+    d = _dictionary(nodes, arcs, 1)
+    runs = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("run"), F.col("n_nationkey").cast("long").alias("seed"), F.lit(6).cast("long").alias("target"))
+    labels, edges = W.exported(W.grow(runs, d, G.expansion_cap(nodes, arcs).first().cap), d)
+    near = edges.groupBy("run", F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("larger"))
+    return labels.join(near, ["run", "id"], "left").select("run", "id", "label", F.coalesce(F.array_join("larger", ","), F.lit("")).alias("larger"))
+
+
+def _path_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """How many patterns of each radius go out by a path, and how many come in by it."""
+    _, _, paths = P.learnt_paths(*_numbered_chain(spark, sf), 2)
+    out = paths.groupBy("radius", F.array_join("path", "").alias("path")).agg(F.count("*").alias("out"))
+    into = paths.groupBy("radius", F.array_join(F.reverse("path"), "").alias("path")).agg(F.count("*").alias("into"))
+    return out.join(into, ["radius", "path"], "full").select("radius", F.col("path").cast("int").alias("path"), F.coalesce("out", F.lit(0)).alias("patterns_out"), F.coalesce("into", F.lit(0)).alias("patterns_in"))
 
 
 def _stats(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -171,6 +233,10 @@ QUERIES = {
     "geo_stats": lambda spark, sf: _stats(*_geo(spark, sf)),
     "parts_score": lambda spark, sf: G.resource_allocation(_parts(spark, sf)),
     "generate_graph": _generated,
+    "prune_domains_bits": _over(_pruned_bits),
+    "path_classes": _path_classes,
+    "propagate_waves": _waves,
+    "grow_cells": _grown,
 }
 
 
@@ -225,6 +291,32 @@ def _round(own: str, near: list[str]) -> str:
 ONES = "c as (select o_orderkey id, cast(substr(o_orderpriority,1,1) as bigint) l, lag(o_orderkey) over w pid, lead(o_orderkey) over w nid, cast(lag(substr(o_orderpriority,1,1)) over w as bigint) pl, cast(lead(substr(o_orderpriority,1,1)) over w as bigint) nl from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey))"
 
 
+#: Waves that the SQL of propagate_waves goes through; further ones change nothing where it settles before.
+WAVES = 8
+
+
+def _wave_sql(chain: str) -> str:
+    """propagate_waves as one table of open cells' patterns and one of settled cells for each wave."""
+    steps = [
+        "who as (select c.id cell, g.id p from a1 c join g1 g on g.l=c.l and g.x=least(c.x,c.y) and g.y=greatest(c.x,c.y))",
+        "ok as (select distinct u.id a, v.id b from p u join p v on u.radius=1 and v.radius=1 and u.f=v.b and u.id<>v.id)",
+        "adj as (select * from (select o_orderkey s, lag(o_orderkey) over w d from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)) where d is not null), near as (select s, d from adj union all select d, s from adj)",
+        "s0 as materialized (select o_orderkey cell, who.p, true fresh from orders join who on who.cell=o_orderkey where o_orderstatus='F')",
+        "d0 as materialized (select o_orderkey cell, g1.id p from orders, g1 where o_orderstatus<>'F')",
+    ]
+    for k in range(WAVES):
+        steps += [
+            f"r{k} as (select distinct near.d cell, s.p a from s{k} s join near on near.s=s.cell where s.fresh)",
+            f"b{k} as (select distinct d.cell, d.p from d{k} d join r{k} r on r.cell=d.cell left join ok on ok.a=r.a and ok.b=d.p where ok.b is null)",
+            f"e{k} as materialized (select d.* from d{k} d anti join b{k} b on b.cell=d.cell and b.p=d.p)",
+            f"f{k} as materialized (select cell, min(p) p from e{k} group by 1 having count(*)=1)",
+            f"s{k + 1} as materialized (select cell, p, false fresh from s{k} union all select cell, p, true from f{k})",
+            f"d{k + 1} as materialized (select e.* from e{k} e anti join f{k} f on f.cell=e.cell)",
+        ]
+    last = f"n as (select cell, count(*) n, min(p) p from d{WAVES} group by 1)"
+    return f"{chain}, {', '.join(steps)}, {last} select o_orderkey as cell, s.p as pattern, cast(case when s.p is null then coalesce(n.n, 0) else 1 end as bigint) as \"left\", coalesce(s.p, n.p) as first from orders left join s{WAVES} s on s.cell=o_orderkey left join n on n.cell=o_orderkey"
+
+
 def _colour_sql() -> str:
     first = f"k0 as (select *, {_pair('0', 'l')} c0, {_pair('1', 'pl')} p0, {_pair('1', 'nl')} n0 from c)"
 
@@ -243,6 +335,7 @@ COLOURS = _colour_sql()
 GEO = "with e as (select cast(n_nationkey as bigint)+100 s, cast(n_regionkey as bigint) d from nation union all select c_custkey+1000000000, cast(c_nationkey as bigint)+100 from customer union all select s_suppkey+2000000000, cast(s_nationkey as bigint)+100 from supplier), a as (select s, d from e union all select d, s from e), n as (select cast(r_regionkey as bigint) id, 1 label from region union all select cast(n_nationkey as bigint)+100, 2 from nation union all select c_custkey+1000000000, 3 from customer union all select s_suppkey+2000000000, 4 from supplier)"
 
 ORACLES = {
+    "prune_domains_bits": DOMAINS + " select st.cell, coalesce(string_agg(cast(kept.p as varchar), ',' order by kept.p), '') as domain from st left join kept on kept.cell=st.cell where not st.done group by 1",
     "prune_domains": DOMAINS + " select st.cell, coalesce(string_agg(cast(kept.p as varchar), ',' order by kept.p), '') as domain from st left join kept on kept.cell=st.cell where not st.done group by 1",
     "forced_cells": DOMAINS + " select cell, cast(min(p) as int) as pattern from kept group by 1 having count(*)=1",
     "cell_entropy": ENTROPY + " select st.cell, round(coalesce(h,0.0),9) as entropy from st left join h on h.cell=st.cell where not st.done",
