@@ -92,7 +92,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeat: int =
     copies follows from doc_id and the row's place in `docs`, so that reruns agree.
     """
     docs = docs.drop("size", "source_size", "target", "rate", "copies", "taken")
-    sized = docs.withColumns({"size": F.size(words("text")).cast("long"), "__row": F.monotonically_increasing_id()})
+    # The table's own columns go by number meanwhile, so that none can clash with a working one.
+    own = [f"__own{k}" for k in range(len(docs.columns))]
+    sized = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, own)), *(docs[c].alias(c) for c in ("doc_id", "source")), F.size(words("text")).cast("long").alias("size"), F.monotonically_increasing_id().alias("__row"))
     hist = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     solved = solve(hist, source_targets(hist, weights, max_repeat), max_repeat)
     solved = cut(solved.withColumn("buckets", F.ceil(F.col("source_docs") / BUCKET_ROWS)).withColumnRenamed("source", "s"))
@@ -116,7 +118,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeat: int =
     end = F.col("offset") + F.col("run")
     extra = F.floor((end + ONE // 2) / ONE) - F.floor((end - F.col("part") + ONE // 2) / ONE)
     rows = rows.withColumn("copies", F.least(F.lit(max_repeat), F.col("whole") + extra).cast("int"))
-    return rows.withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).select(*docs.columns, "size", "source_size", "target", "rate", "copies", "taken")
+    return rows.withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).select(*(F.col(n).alias(c) for c, n in zip(docs.columns, own)), "size", "source_size", "target", "rate", "copies", "taken")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,15 +221,16 @@ def held_out():
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """The model of the labelled rows that are not held out, at most `rows` of each class.
 
-    The calibration is to the class shares of all of them.
+    The calibration is to the class shares of all of them. Of several labels or texts of one doc_id the
+    smallest counts, so that reruns agree.
     """
-    known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
     known = known.where(~F.coalesce(held_out(), F.lit(True)))
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     stands_for = tuple(max(1.0, count.get(k, 0) / rows) for k in (0, 1))
     take = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
     some = docs.select("doc_id", "text").join(F.broadcast(take[0].union(take[1])), "doc_id")
-    drawn = some.dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions("doc_id")
+    drawn = some.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).repartition(1).sortWithinPartitions("doc_id")
 
     def fit(batches):
         found = [r for b in batches for r in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist())]

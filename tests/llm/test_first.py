@@ -120,6 +120,15 @@ def test_secrets_layers_and_edges(spark):
     assert secrets.redact_documents(frame(spark, edge_rows())).count() == 8
 
 
+def test_mixing_keeps_columns_that_clash(spark):
+    names = ["s", "s2", "tilt", "mean", "offset", "buckets", "source_docs", "bin", "run", "rank", "n", "a.b"]
+    plain = frame(spark, edge_rows())
+    found = mixing.mix(plain.select("*", *(mixing.F.lit(k).alias(n) for k, n in enumerate(names))))
+    assert found.columns == [*plain.columns, *names, "size", "source_size", "target", "rate", "copies", "taken"]
+    assert sorted(map(str, found.select(*mixing.mix(plain).columns).collect())) == sorted(map(str, mixing.mix(plain).collect()))
+    assert {tuple(r[n] for n in names) for r in found.collect()} == {tuple(range(len(names)))}
+
+
 def test_mixing_empty_sources(spark):
     rows = mixing.mix(frame(spark, [(1, "", "a", "x"), (2, None, "a", "x"), (3, "one two three", "b", "x")])).collect()
     assert {r.doc_id: r.copies for r in rows if r.doc_id < 3} == {1: 0, 2: 0}
