@@ -154,7 +154,7 @@ def _dictionary(nodes: DataFrame, arcs: DataFrame, radius: int) -> B.Dictionary:
 
 def _waves(spark: SparkSession, sf: str) -> DataFrame:
     """Orders of status F are settled with the pattern learnt from their place, all others may take any;
-    waves run in all customers' chains at once until no cell is forced."""
+    waves run in all customers' chains at once until no cell is forced. -1 stands for no pattern."""
     nodes, arcs = _numbered_chain(spark, sf)
     d = _dictionary(nodes, arcs, 1)
     full, sets = B.full_set(d)
@@ -166,7 +166,7 @@ def _waves(spark: SparkSession, sf: str) -> DataFrame:
     s, _ = W.propagated(start, cells.select("run", F.lit(0).cast("long").alias("allowance")).distinct(), d)
     left = B.members(s.sets, d).groupBy("domain").agg(F.count("*").alias("left"), F.min("id").alias("first"))
     open_ = s.cells.join(left, "domain", "left")
-    return open_.select("cell", "pattern", F.when(F.col("placed").isNull(), F.coalesce("left", F.lit(0))).otherwise(1).cast("long").alias("left"), F.when(F.col("placed").isNull(), F.col("first")).otherwise(F.col("pattern")).alias("first"))
+    return open_.select("cell", F.coalesce("pattern", F.lit(-1)).alias("pattern"), F.when(F.col("placed").isNull(), F.coalesce("left", F.lit(0))).otherwise(1).cast("long").alias("left"), F.coalesce("pattern", "first", F.lit(-1)).alias("first"))
 
 
 def _regions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -314,7 +314,7 @@ def _wave_sql(chain: str) -> str:
             f"d{k + 1} as materialized (select e.* from e{k} e anti join f{k} f on f.cell=e.cell)",
         ]
     last = f"n as (select cell, count(*) n, min(p) p from d{WAVES} group by 1)"
-    return f"{chain}, {', '.join(steps)}, {last} select o_orderkey as cell, s.p as pattern, cast(case when s.p is null then coalesce(n.n, 0) else 1 end as bigint) as \"left\", coalesce(s.p, n.p) as first from orders left join s{WAVES} s on s.cell=o_orderkey left join n on n.cell=o_orderkey"
+    return f"{chain}, {', '.join(steps)}, {last} select o_orderkey as cell, coalesce(s.p, -1) as pattern, cast(case when s.p is null then coalesce(n.n, 0) else 1 end as bigint) as \"left\", coalesce(s.p, n.p, -1) as first from orders left join s{WAVES} s on s.cell=o_orderkey left join n on n.cell=o_orderkey"
 
 
 def _colour_sql() -> str:
