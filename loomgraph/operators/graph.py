@@ -10,6 +10,12 @@ def arcs_of(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+def neighbours(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(id, near): the neighbours of every node in ascending order, repeats kept; none as an empty array."""
+    near = arcs.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("near"))
+    return nodes.select("id").join(near, "id", "left").withColumn("near", F.coalesce("near", F.array().cast("array<bigint>")))
+
+
 def ego(nodes: DataFrame, arcs: DataFrame, radius: int) -> DataFrame:
     """(center, node, depth): shortest depth up to radius, the centre itself included."""
     arcs = arcs.distinct()

@@ -69,6 +69,7 @@ QUERIES = {
     "ego_layers": _with(lambda n, a: G.ego(n, a, 2).groupBy("center", "depth").agg(F.count("*").alias("n_nodes"))),
     "induced_arcs": _with(lambda n, a: G.induced(G.ego(n, a, 2), a)),
     "node_degree": _with(lambda n, a: n.join(a.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("c")), "id", "left").select("id", F.coalesce("c", F.lit(0)).alias("degree"))),
+    "neighbour_lists": _with(lambda n, a: G.neighbours(n, a).select("id", F.array_join("near", ",").alias("near"))),
     "center_degree": _with(lambda n, a: G.ego(n, a, 1).groupBy("center").agg(F.count_if(F.col("depth") == 1).alias("degree"))),
     "outward_paths": _with(_label_paths),
     "compatible_patterns": _with(_compat),
@@ -96,6 +97,7 @@ ORACLES = {
     # In a chain, an ego is the orders up to two places away.
     "induced_arcs": "with c as (select o_orderkey id, o_custkey k, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) n from orders) select x.id center, s.id src, d.id dst, cast(abs(s.n-x.n) as int) sdepth, cast(abs(d.n-x.n) as int) ddepth from c x join c s on x.k=s.k and abs(s.n-x.n)<=2 join c d on d.k=x.k and abs(d.n-s.n)=1 and abs(d.n-x.n)<=2",
     "node_degree": PRE + "select id, coalesce(c, 0) degree from nodes left join (select src, count(*) c from arcs group by 1) on id=src",
+    "neighbour_lists": PRE + "select id, coalesce(string_agg(cast(dst as varchar), ',' order by dst), '') near from nodes left join (select src, dst from edges union all select dst, src from edges) on id=src group by id",
     "center_degree": PRE + "select id center, (select count(*) from arcs where src=id and dst<>id) degree from nodes",
     "outward_paths": PRE + "select distinct x.center, concat(c.label, ',', m.label, ',', o.label) path from ind x join ind y on x.center=y.center and x.dst=y.src and x.sdepth=0 and x.ddepth=1 and y.ddepth=2 join nodes c on c.id=x.center join nodes m on m.id=x.dst join nodes o on o.id=y.dst",
     "compatible_patterns": PRE + ", p as (select distinct a.src center, c.label*10+o.label p, o.label*10+c.label r from arcs a join nodes c on c.id=a.src join nodes o on o.id=a.dst), k as (select center, list_sort(list(p)) ps from p group by 1), ids as (select min(center) id, ps from k group by ps), u as (select id, unnest(ps) p from ids) select distinct x.id a, y.id b from u x join u y on x.p = (y.p % 10)*10 + y.p//10 where x.id<>y.id",

@@ -38,6 +38,6 @@ def last_labels(named: DataFrame) -> DataFrame:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """`u v` once per undirected edge with u < v, and `id label`."""
-    edges.where("src < dst").select(F.concat_ws(" ", "src", "dst")).distinct().write.mode("overwrite").text(f"{path}/edges")
-    nodes.select(F.concat_ws(" ", "id", "label")).write.mode("overwrite").text(f"{path}/labels")
+    """`u v` once per undirected edge with u < v, and `id label`; the parts in their order are sorted by number."""
+    edges.where("src < dst").select("src", "dst").distinct().orderBy("src", "dst").select(F.concat_ws(" ", "src", "dst")).write.mode("overwrite").text(f"{path}/edges")
+    nodes.orderBy("id").select(F.concat_ws(" ", "id", "label")).write.mode("overwrite").text(f"{path}/labels")

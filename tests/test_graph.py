@@ -3,7 +3,7 @@ import pytest
 
 from loomgraph.operators import graph
 from loomgraph.plans.queries import ORACLES, QUERIES
-from loomgraph.sources.text import load_graph
+from loomgraph.sources.text import load_graph, write_graph
 
 SF = "/root/testdata/sf0.01"
 
@@ -38,6 +38,14 @@ def test_blanks_at_both_ends(spark, tmp_path):
     assert sorted((r.src, r.dst) for r in edges.collect()) == [(3, 4), (5, 6), (7, 8)]
 
 
+def test_written_graphs_are_sorted(spark, tmp_path):
+    nodes = spark.createDataFrame([(k, k % 3) for k in (11, 2, 7, 1, 30)], "id int, label int").repartition(3)
+    edges = spark.createDataFrame([(2, 11), (1, 30), (30, 1), (2, 7), (2, 7), (7, 7), (1, 2)], "src int, dst int").repartition(3)
+    write_graph(nodes, edges, str(tmp_path))
+    lines = {k: [line for f in sorted((tmp_path / k).glob("part-*")) for line in f.read_text().split("\n") if line] for k in ("edges", "labels")}
+    assert lines == {"edges": ["1 2", "1 30", "2 7", "2 11"], "labels": ["1 1", "2 2", "7 1", "11 2", "30 0"]}
+
+
 def test_a_bad_token_fails(spark, tmp_path):
     (tmp_path / "e").write_text("1 x\n")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
