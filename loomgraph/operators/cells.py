@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import base_slots, entropy, prune
 from . import graph as G
-from .numbering import numbered_within
+from .numbering import numbered, numbered_within
 
 
 def settled(cells: DataFrame) -> DataFrame:
@@ -97,6 +97,42 @@ def children(slots: DataFrame) -> DataFrame:
     return some.select("run", F.col("cell").alias("parent"), F.explode(F.sequence(F.lit(1).cast("long"), "slots")).alias("number"))
 
 
+def possible(cells: DataFrame) -> DataFrame:
+    """(cell, domain) of cells that are not settled; a settled one fails the job."""
+    return cells.select("cell", F.when(F.col("pattern").isNotNull(), F.raise_error(F.lit("the cell is settled"))).otherwise(F.col("domain")).alias("domain"))
+
+
+def collapsed(cells: DataFrame, choices: DataFrame, patterns: DataFrame) -> DataFrame:
+    """cells(run, cell, pos, pattern, label, domain) with choices(cell, pattern) settled: the pattern, its label
+    and a domain of that pattern alone. A chosen cell that is settled, or cannot take the pattern, fails the job."""
+    labels = patterns.select(F.col("id").alias("chosen"), F.col("label").alias("its_label"))
+    asked = choices.select("cell", F.col("pattern").alias("chosen")).join(labels, "chosen", "left")
+    chosen = F.col("chosen")
+    fault = F.when(F.col("pattern").isNotNull(), F.lit("the cell is settled")).when(~F.coalesce(F.array_contains("domain", chosen), F.lit(False)), F.lit("the pattern is not possible"))
+    checked = F.when(fault.isNotNull(), F.raise_error(fault).cast("int")).otherwise(chosen)
+    rows = cells.join(asked, "cell", "left").withColumn("now", F.when(chosen.isNotNull(), checked))
+    return rows.select(
+        "run", "cell", "pos", F.coalesce("now", "pattern").alias("pattern"), F.when(F.col("now").isNotNull(), F.col("its_label")).otherwise(F.col("label")).alias("label"),
+        F.when(F.col("now").isNotNull(), F.array("now")).otherwise(F.col("domain")).alias("domain"),
+    )
+
+
+def born(cells: DataFrame, slots: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The new cells(run, cell, pos, parent, domain) of slots(run, cell, slots), and their arcs(src, dst) in both
+    directions. Parents follow their place, numbers go on from the largest cell and from the run's largest
+    place, and every pattern is possible."""
+    parents = cells.select("run", F.col("cell").alias("parent"), F.col("pos").alias("parent_pos"))
+    new = numbered_within(children(slots).join(parents, ["run", "parent"]), "run", ["parent_pos", "number"], "nth")
+    new = numbered(new, ["run", "nth"], "at")
+    last = cells.groupBy("run").agg(F.max("pos").alias("last_pos"))
+    largest = cells.agg(F.coalesce(F.max("cell"), F.lit(0)).alias("largest"))
+    full = patterns.agg(F.array_sort(F.collect_set("id")).alias("domain"))
+    # Both are one row.
+    rows = new.join(last, "run").crossJoin(F.broadcast(largest)).crossJoin(F.broadcast(full))
+    rows = rows.select("run", (F.col("largest") + 1 + F.col("at")).alias("cell"), (F.col("last_pos") + 1 + F.col("nth")).alias("pos"), "parent", "domain")
+    return rows, G.arcs_of(rows.select(F.col("parent").alias("src"), F.col("cell").alias("dst")))
+
+
 def stubs(cells: DataFrame, near: DataFrame, targets: DataFrame) -> DataFrame:
     """(run, cell, pattern, stubs) of the settled cells that have fewer neighbours than their target(cell, target)."""
     degree = near.groupBy(F.col("src").alias("cell")).agg(F.count("*").alias("degree"))

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import gathered, settled
+
+#: A node with more neighbours than this has them dealt over several keys.
+HUB = 1_000
+
 
 def arcs_of(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -28,6 +33,33 @@ def ego(nodes: DataFrame, arcs: DataFrame, radius: int) -> DataFrame:
     return seen
 
 
+def dealt(rows: DataFrame, hubs: DataFrame, at: str, by: str, own: str, other: str) -> DataFrame:
+    """The rows at a hub dealt over hubs(hub, parts) by another column, each copied to all parts of the other side."""
+    parts = F.coalesce("parts", F.lit(1))
+    known = rows.join(hubs, F.col(at) == F.col("hub"), "left")
+    return known.select(*rows.columns, F.pmod(F.xxhash64(by), parts).cast("int").alias(own), F.explode(F.sequence(F.lit(0), parts - 1)).alias(other))
+
+
+def split_ego(nodes: DataFrame, arcs: DataFrame, radius: int, limit: int = HUB) -> DataFrame:
+    """ego where no task meets a whole hub: a node of d > limit neighbours becomes a square of p = ceil(d / limit)
+    rows and columns. Its arcs are dealt over the columns, the centres that have reached it over the rows,
+    and both are copied along the other side, so that a key joins at most about limit arcs to a p-th of
+    the centres. Hubs are at most arcs / limit rows; Spark broadcasts them where their size allows it.
+    """
+    arcs = settled(arcs.select("src", "dst").distinct())
+    degree = arcs.groupBy(F.col("src").alias("hub")).agg(F.count("*").alias("d"))
+    hubs = gathered(degree.where(F.col("d") > limit).select("hub", F.ceil(F.col("d") / limit).cast("int").alias("parts")))
+    spread = settled(dealt(arcs, hubs, "src", "dst", "col", "row"))
+    seen = nodes.select(F.col("id").alias("center"), F.col("id").alias("node"), F.lit(0).alias("depth"))
+    front = seen
+    for d in range(1, radius + 1):
+        reached = dealt(front.select("center", "node"), hubs, "node", "center", "row", "col").withColumnRenamed("node", "src")
+        step = reached.join(spread, ["src", "row", "col"]).select("center", F.col("dst").alias("node")).distinct()
+        front = settled(step.join(seen.select("center", "node"), ["center", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        seen = seen.union(front)
+    return seen
+
+
 def induced(egos: DataFrame, arcs: DataFrame) -> DataFrame:
     """(center, src, dst, sdepth, ddepth) of the arcs with both ends in the ego."""
     one = egos.select("center", F.col("node").alias("src"), F.col("depth").alias("sdepth"))

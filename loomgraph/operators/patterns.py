@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,19 +77,23 @@ def canonical_forms(nodes: DataFrame, egos: DataFrame, arcs: DataFrame, rounds:
     return parts.select("center", F.array_join(F.transform("parts", lambda p: p["text"]), ";").alias("canonical"))
 
 
-def extract_patterns(nodes: DataFrame, arcs: DataFrame, radius: int, egos: DataFrame | None = None) -> DataFrame:
+def extract_patterns(nodes: DataFrame, arcs: DataFrame, radius: int, egos: DataFrame | None = None, by: Callable[[Column], Column] | None = None) -> DataFrame:
     """(pattern_id, center_label, frequency, center_degree, canonical): egos of one form are one
-    pattern, named by its smallest centre. Egos of a larger radius may be given; they are cut."""
+    pattern, named by its smallest centre. Egos of a larger radius may be given; they are cut.
+
+    With by, which gives a centre's graph, each graph has patterns of its own, and graph comes first.
+    """
     if radius < 1:
         raise ValueError("radius must be at least 1")
     egos = (ranked_ego(nodes, arcs, radius) if egos is None else egos).where(F.col("depth") <= radius)
     degree = egos.groupBy("center").agg(F.count_if(F.col("depth") == 1).alias("center_degree"))
     forms = canonical_forms(nodes, egos, arcs).join(degree, "center").join(nodes.select(F.col("id").alias("center"), F.col("label").alias("center_label")), "center")
     # Equal forms have equal labels and degrees at the centre.
-    return settled(forms.groupBy("canonical").agg(F.min("center").alias("pattern_id"), F.first("center_label").alias("center_label"), F.count("*").alias("frequency"), F.first("center_degree").alias("center_degree")).select("pattern_id", "center_label", "frequency", "center_degree", "canonical"))
+    graph = [] if by is None else [by(F.col("center")).alias("graph")]
+    return settled(forms.groupBy(*graph, "canonical").agg(F.min("center").alias("pattern_id"), F.first("center_label").alias("center_label"), F.count("*").alias("frequency"), F.first("center_degree").alias("center_degree")).select(*(["graph"] if graph else []), "pattern_id", "center_label", "frequency", "center_degree", "canonical"))
 
 
-def learnt_paths(nodes: DataFrame, arcs: DataFrame, max_radius: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def learnt_paths(nodes: DataFrame, arcs: DataFrame, max_radius: int, by: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(patterns of max_radius, keys(radius, a), paths(radius, id, path)): each radius has patterns of its
     own, each pattern the distinct label paths of that many hops outward from its centre.
 
@@ -98,7 +104,7 @@ def learnt_paths(nodes: DataFrame, arcs: DataFrame, max_radius: int) -> tuple[Da
     egos = ranked_ego(nodes, arcs, max_radius)
     found, keys, paths = None, None, None
     for r in range(1, max_radius + 1):
-        found = extract_patterns(nodes, arcs, r, egos)
+        found = extract_patterns(nodes, arcs, r, egos, by)
         ids = found.select(F.col("pattern_id").alias("id"))
         some = egos.where(F.col("depth") <= r).join(ids, F.col("center") == F.col("id"), "left_semi").select("center", "node", "depth")
         path = G.outward_paths(nodes.join(ids, "id", "left_semi"), some, arcs, r, nodes).select(F.lit(r).alias("radius"), F.col("center").alias("id"), "path")
@@ -107,6 +113,38 @@ def learnt_paths(nodes: DataFrame, arcs: DataFrame, max_radius: int) -> tuple[Da
     return found, keys, settled(paths)
 
 
+def summaries(nodes: DataFrame, arcs: DataFrame, radius: int) -> DataFrame:
+    """(pattern_id, summary): a pattern's figures, then the nodes of each hop of its named ego in order of
+    discovery, each with its neighbours in the same and in the next hop."""
+    nodes, arcs = settled(nodes), settled(arcs)
+    egos = ranked_ego(nodes, arcs, radius)
+    found = extract_patterns(nodes, arcs, radius, egos)
+    some = egos.join(found.select(F.col("pattern_id").alias("center")), "center", "left_semi").join(nodes.select(F.col("id").alias("node"), "label"), "node")
+    some = settled(some.withColumn("text", F.concat("node", F.lit("("), "label", F.lit(")"))))
+    far = some.select("center", F.col("node").alias("dst"), F.col("depth").alias("ddepth"), F.struct("rank", "text").alias("far"))
+    near = some.select("center", F.col("node").alias("src"), "depth").join(arcs.select("src", "dst").distinct(), "src").join(far, ["center", "dst"])
+
+    def listed(these: Column) -> Column:
+        return F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(these), lambda x: x["text"]), ", "), F.lit("]"))
+
+    def ends(step: int) -> Column:
+        return F.collect_list(F.when(F.col("ddepth") == F.col("depth") + step, F.col("far")))
+
+    sides = near.groupBy("center", F.col("src").alias("node")).agg(listed(ends(0)).alias("same"), listed(ends(1)).alias("next"))
+    none = F.lit("[]")
+    rows = some.where("depth > 0").join(sides, ["center", "node"], "left")
+    line = F.concat(F.lit("\n  "), "text", F.lit(": same-layer → "), F.coalesce("same", none), F.lit(", next-layer → "), F.coalesce("next", none))
+    hops = rows.groupBy("center", "depth").agg(listed(F.collect_list(F.struct("rank", "text"))).alias("nodes"), F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
+    every = found.select(F.col("pattern_id").alias("center"), F.explode(F.sequence(F.lit(1), F.lit(radius))).alias("depth"))
+    hops = every.join(hops, ["center", "depth"], "left")
+    lines = F.coalesce(F.array_join(F.transform("lines", lambda x: x["line"]), ""), F.lit(""))
+    hop = F.concat(F.lit("\n"), "depth", F.lit("-hop nodes: "), F.coalesce("nodes", none), lines)
+    bodies = hops.groupBy("center").agg(F.array_sort(F.collect_list(F.struct("depth", hop.alias("hop")))).alias("hops"))
+    head = F.concat(F.lit("Pattern ID: "), "pattern_id", F.lit("(label="), "center_label", F.lit(f"), Radius: {radius}, Frequency: "), "frequency", F.lit(", CenterDegree: "), "center_degree")
+    whole = found.join(bodies, F.col("pattern_id") == F.col("center"))
+    return whole.select("pattern_id", F.concat(head, F.array_join(F.transform("hops", lambda x: x["hop"]), "")).alias("summary"))
+
+
 def pattern_of(nodes: DataFrame, arcs: DataFrame, radius: int) -> DataFrame:
     """(node, pattern): the pattern of each node's ego, named by its smallest centre."""
     forms = settled(canonical_forms(nodes, ranked_ego(nodes, arcs, radius), arcs))

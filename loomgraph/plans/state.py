@@ -15,6 +15,7 @@ from ..operators import cells as C
 from ..operators import generator as gen
 from ..operators import graph as G
 from ..operators import growth as W
+from ..operators import many as S
 from ..operators import matching as M
 from ..operators import patterns as P
 from ..sources import text as T
@@ -72,6 +73,15 @@ def _draws(s: Snapshot) -> DataFrame:
     return s.cells.select("cell", (F.pmod(F.col("cell") * 7919, F.lit(1000)) / 1000).alias("u"))
 
 
+def _collapsed(s: Snapshot) -> DataFrame:
+    """Every open cell takes its weighted pick; those without a pattern left stay open, -1."""
+    open_ = s.pruned()
+    done = C.settled(s.cells).select("run", "cell", "pos", "pattern", "label", "domain")
+    cells = done.unionByName(open_.withColumns({"pattern": F.lit(None).cast("int"), "label": F.lit(None).cast("int")}))
+    now = C.collapsed(cells, C.picked(open_, s.patterns, _draws(s)), s.patterns.withColumn("label", F.col("id") * 10))
+    return now.select("cell", F.coalesce("pattern", F.lit(-1)).alias("pattern"), F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce(F.array_join("domain", ","), F.lit("")).alias("domain"))
+
+
 def _budget(s: Snapshot) -> DataFrame:
     counts = s.cells.groupBy("run").agg(F.count_if(F.col("pattern").isNotNull()).alias("forced"), F.count_if(F.col("pattern").isNull()).alias("frontier"))
     return counts.select("run", C.wave_budget(F.col("forced"), 3, F.col("frontier")).cast("long").alias("budget"))
@@ -199,6 +209,17 @@ def _path_classes(spark: SparkSession, sf: str) -> DataFrame:
     return out.join(into, ["radius", "path"], "full").select("radius", F.col("path").cast("int").alias("path"), F.coalesce("out", F.lit(0)).alias("patterns_out"), F.coalesce("into", F.lit(0)).alias("patterns_in"))
 
 
+def _shipments(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A graph per month of shipping: the parts and suppliers that met in it, suppliers below 0. Both kinds branch."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    month = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("int")
+    met = li.select(month.alias("graph"), F.col("l_partkey").cast("int").alias("src"), (-1 - F.col("l_suppkey")).cast("int").alias("dst")).distinct()
+    part = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").cast("int").alias("id"), (F.col("p_size") % 4).cast("int").alias("label"))
+    supplier = spark.read.parquet(f"{sf}/supplier.parquet").select((-1 - F.col("s_suppkey")).cast("int").alias("id"), (F.col("s_nationkey") % 3 + 10).cast("int").alias("label"))
+    ids = met.select("graph", F.col("src").alias("id")).union(met.select("graph", "dst")).distinct()
+    return ids.join(part.union(supplier), "id").select("graph", "id", "label"), met.withColumn("seq", F.col("src").cast("long") * 1_000_000 - F.col("dst"))
+
+
 def _stats(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     degree = arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
     rows = nodes.join(degree, "id", "left").withColumn("d", F.coalesce("d", F.lit(0)))
@@ -231,6 +252,13 @@ QUERIES = {
     "geo_degree": lambda spark, sf: _geo(spark, sf)[1].groupBy("src").agg(F.count("*").alias("degree")),
     "geo_layers": lambda spark, sf: G.layers(G.ego(*_geo(spark, sf), 2), 2).select("center", "depth", F.size("nodes").cast("long").alias("n_nodes")),
     "geo_stats": lambda spark, sf: _stats(*_geo(spark, sf)),
+    "ego_hubs": lambda spark, sf: G.split_ego(*_geo(spark, sf), 2, limit=32),
+    "patterns_by_graph": lambda spark, sf: S.patterns_by_graph(*_shipments(spark, sf), 1).drop("canonical"),
+    "classes_by_graph": lambda spark, sf: S.classes_by_graph(*_shipments(spark, sf), 1).withColumn("path", F.array_join("path", ",")),
+    "pattern_summary": lambda spark, sf: P.summaries(*_numbered_chain(spark, sf), 1),
+    "collapse_cells": _over(_collapsed),
+    "new_cells": _over(lambda s: _joined(C.born(s.cells, s.allocated(), s.patterns)[0], "domain")),
+    "new_arcs": _over(lambda s: C.born(s.cells, s.allocated(), s.patterns)[1]),
     "parts_score": lambda spark, sf: G.resource_allocation(_parts(spark, sf)),
     "generate_graph": _generated,
     "prune_domains_bits": _over(_pruned_bits),
@@ -334,6 +362,10 @@ def _colour_sql() -> str:
 COLOURS = _colour_sql()
 GEO = "with e as (select cast(n_nationkey as bigint)+100 s, cast(n_regionkey as bigint) d from nation union all select c_custkey+1000000000, cast(c_nationkey as bigint)+100 from customer union all select s_suppkey+2000000000, cast(s_nationkey as bigint)+100 from supplier), a as (select s, d from e union all select d, s from e), n as (select cast(r_regionkey as bigint) id, 1 label from region union all select cast(n_nationkey as bigint)+100, 2 from nation union all select c_custkey+1000000000, 3 from customer union all select s_suppkey+2000000000, 4 from supplier)"
 
+SHIPMENTS = "with e as (select distinct cast(year(l_shipdate)*12+month(l_shipdate) as int) g, cast(l_partkey as int) p, cast(-1-l_suppkey as int) s from lineitem), lab as (select p_partkey id, cast(p_size%4 as int) l from part union all select -1-s_suppkey, cast(10+s_nationkey%3 as int) from supplier), a as (select g, p src, s dst from e union all select g, s, p from e), f as (select g, src, x.l, string_agg(cast(y.l as varchar), ',' order by y.l) near, count(*) d from a join lab x on x.id=src join lab y on y.id=dst group by 1, 2, 3)"
+NEW = ALLOC + ", k as (select al.run, al.cell, st.rn, unnest(range(1, al.slots+1)) i from al join st on st.cell=al.cell), nw as (select run, cell, (select max(cell) from st) + row_number() over (order by run, rn, i) new, (select max(rn) from st z where z.run=k.run) + row_number() over (partition by run order by rn, i) pos from k)"
+LINE = "chr(10)||'  '||{}||': same-layer → [], next-layer → []'"
+
 ORACLES = {
     "prune_domains_bits": DOMAINS + " select st.cell, coalesce(string_agg(cast(kept.p as varchar), ',' order by kept.p), '') as domain from st left join kept on kept.cell=st.cell where not st.done group by 1",
     "prune_domains": DOMAINS + " select st.cell, coalesce(string_agg(cast(kept.p as varchar), ',' order by kept.p), '') as domain from st left join kept on kept.cell=st.cell where not st.done group by 1",
@@ -358,6 +390,13 @@ ORACLES = {
     "bfs_rank": f"with {ONES}, one as (select id center, pid node, 2*pid+1 seq from c where pid is not null union all select id, nid, 2*id from c where nid is not null), r1 as (select *, row_number() over (partition by center order by seq) rank from one), two as (select r.center, o.node, r.rank pr, o.seq from r1 r join one o on o.center=r.node and o.node<>r.center), r2 as (select center, node, row_number() over (partition by center order by pr, seq) rank from two) select id as center, id as node, 0 as depth, 1 as rank from c union all select center, node, 1, cast(rank as int) from r1 union all select center, node, 2, cast(rank as int) from r2",
     "geo_degree": GEO + " select s as src, count(*) as degree from a group by 1",
     "geo_layers": GEO + ", two as (select distinct x.s c, y.d n from a x join a y on x.d=y.s and y.d<>x.s), d1 as (select s c, count(*) k from a group by 1), d2 as (select c, count(*) k from two anti join a on a.s=two.c and a.d=two.n group by 1) select id as center, 1 as depth, coalesce(k,0) as n_nodes from n left join d1 on d1.c=id union all select id, 2, coalesce(k,0) from n left join d2 on d2.c=id",
+    "ego_hubs": GEO + ", two as (select distinct x.s center, y.d node from a x join a y on x.d=y.s) select id center, id node, 0 depth from n union all select s, d, 1 from a union all select center, node, 2 from two where center<>node and not exists (select 1 from a where a.s=two.center and a.d=two.node)",
+    "patterns_by_graph": SHIPMENTS + " select g as graph, min(src) as pattern_id, l as center_label, count(*) as frequency, d as center_degree from f group by g, l, near, d",
+    "classes_by_graph": SHIPMENTS + ", pt as (select g, min(src) id, l, near from f group by g, l, near), pp as (select distinct g, id, l, unnest(string_split(near, ',')) m from pt), u as (select g, l||','||m path, 1 o, 0 i from pp union all select g, m||','||l, 0, 1 from pp) select g as graph, 1 as radius, path, sum(o)::bigint as patterns_out, sum(i)::bigint as patterns_in from u group by g, path",
+    "pattern_summary": f"with {ONES}, k as (select *, case when pid is null then coalesce(nl||'', '') when nid is null then pl||'' when pl < nl then pl||','||nl else nl||','||pl end s from c), g as (select min(id) id, count(*) n from k group by l, s), h as (select k.*, n, pid||'('||pl||')' pt, nid||'('||nl||')' nt, 2*pid+1 < 2*id pfirst from g join k using (id)) select id as pattern_id, 'Pattern ID: '||id||'(label='||l||'), Radius: 1, Frequency: '||n||', CenterDegree: '||((pid is not null)::int+(nid is not null)::int)||chr(10)||'1-hop nodes: ['||concat_ws(', ', case when pid is null or nid is null or pfirst then pt else nt end, case when pid is null or nid is null or pfirst then nt else pt end)||']'||coalesce(case when pid is null or nid is null or pfirst then {LINE.format('pt')} else {LINE.format('nt')} end, '')||coalesce(case when pid is null or nid is null or pfirst then {LINE.format('nt')} else {LINE.format('pt')} end, '') as summary from h",
+    "collapse_cells": DOMAINS + ", w as (select *, sum(f) over (partition by cell order by p) upto, sum(f) over (partition by cell) t from kept), pick as (select cell, cast(min(p) as int) p from w where ((cell*7919)%1000)/1000.0*t <= upto group by 1) select st.cell, coalesce(case when done then st.p else pick.p end, -1) as pattern, coalesce(case when done then st.p else pick.p*10 end, -1) as label, case when done then '' else coalesce(cast(pick.p as varchar), '') end as domain from st left join pick on pick.cell=st.cell",
+    "new_cells": NEW + " select run, new as cell, pos, cell as parent, '1,2,3,4,5' as domain from nw",
+    "new_arcs": NEW + " select cell as src, new as dst from nw union all select new, cell from nw",
     "geo_stats": GEO + ", g as (select s, count(*) d from a group by 1) select label, count(*) as nodes, cast(coalesce(sum(d),0) as bigint) as ends, cast(coalesce(max(d),0) as bigint) as largest from n left join g on g.s=id group by 1",
     "parts_score": "with e as (select distinct l_partkey s, -1-l_suppkey d from lineitem), a as (select s, d from e union all select d, s from e), g as (select s m, count(*) n from a group by 1) select x.d as u, y.d as v, round(sum(1.0/n),6) as score from a x join a y on x.s=y.s and x.d<y.d join g on g.m=x.s group by 1, 2",
 }

@@ -18,9 +18,10 @@ def read_pairs(spark: SparkSession, path: str, first: str, second: str) -> DataF
 
 
 def parse_pairs(lines: DataFrame, first: str, second: str) -> DataFrame:
-    """read_pairs over lines(value, seq)."""
-    rows = lines.select(F.split(strip_comments(F.col("value")), r"\s+").alias("t"), "seq").where("size(t) >= 2")
-    return rows.select(F.col("t")[0].cast("int").alias(first), F.col("t")[1].cast("int").alias(second), "seq")
+    """read_pairs over lines(value, seq); further columns are kept."""
+    kept = [c for c in lines.columns if c != "value"]
+    rows = lines.select(F.split(strip_comments(F.col("value")), r"\s+").alias("t"), *kept).where("size(t) >= 2")
+    return rows.select(F.col("t")[0].cast("int").alias(first), F.col("t")[1].cast("int").alias(second), *kept)
 
 
 def load_graph(spark: SparkSession, edges: str | None = None, labels: str | None = None) -> tuple[DataFrame, DataFrame]:

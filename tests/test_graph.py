@@ -15,7 +15,7 @@ SMALL = {"parts_score"}
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     db, folder = duckdb.connect(), SF.replace("0.01", "0.001") if name in SMALL else SF
-    for t in ("orders", "customer", "region", "nation", "supplier", "lineitem"):
+    for t in ("orders", "customer", "region", "nation", "supplier", "lineitem", "part"):
         db.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
     got = QUERIES[name](spark, folder).toPandas()
     want = db.execute(ORACLES[name]).df()
