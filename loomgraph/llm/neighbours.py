@@ -60,31 +60,32 @@ class Forest:
             root = grow(np.arange(len(sample)), depth)
             #: Leaves are numbered through all trees.
             self.first.append(self.first[-1] + leaves)
-            self.trees.append((root, np.array(planes).reshape(-1, sample.shape[1]), np.array(cuts), children))
-
-    def leaf(self, x: np.ndarray) -> list[int]:
-        """The leaf of the vector in every tree."""
-        out = []
-        for first, (root, planes, cuts, children) in zip(self.first, self.trees):
-            side = planes @ x > cuts
-            at = root
-            while at >= 0:
-                at = children[at][int(side[at])]
-            out.append(first + ~at)
+            self.trees.append((root, np.array(planes).reshape(-1, sample.shape[1]), np.array(cuts), np.array(children, np.int64).reshape(-1, 2)))
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row in every tree; a row only meets the planes on its way."""
+        out = np.empty((len(x), len(self.trees)), np.int64)
+        for k, (first, (root, planes, cuts, children)) in enumerate(zip(self.first, self.trees)):
+            at = np.full(len(x), root)
+            while (rows := np.flatnonzero(at >= 0)).size:
+                here = at[rows]
+                side = np.einsum("ij,ij->i", planes[here], x[rows]) > cuts[here]
+                at[rows] = children[here, side.astype(int)]
+            out[:, k] = first + ~at
         return out
 
     def search(self, x: np.ndarray, visits: int) -> list[int]:
         """Leaves by growing distance to the planes crossed, all trees in one queue."""
-        sides = [planes @ x - cuts for _, planes, cuts, _ in self.trees]
         queue = [(0.0, k, t[0]) for k, t in enumerate(self.trees)]
         out = []
         while queue and len(out) < visits:
             far, k, at = heapq.heappop(queue)
             while at >= 0:
-                side = sides[k][at]
+                _, planes, cuts, children = self.trees[k]
+                side = float(planes[at] @ x - cuts[at])
                 near = int(side > 0)
-                heapq.heappush(queue, (max(far, abs(float(side))), k, self.trees[k][3][at][1 - near]))
-                at = self.trees[k][3][at][near]
+                heapq.heappush(queue, (max(far, abs(side)), k, int(children[at, 1 - near])))
+                at = int(children[at, near])
             out.append(self.first[k] + ~at)
         return out
 
@@ -230,7 +231,7 @@ def _search(good: DataFrame, queries: DataFrame, k: int, visits: int | None, cou
     forest = vectors.sparkSession.sparkContext.broadcast(Forest(fit, depth))
 
     def place(ids, found):
-        return ids, found, [forest.value.leaf(np.array(v)) for v in found]
+        return ids, found, forest.value.leaves(np.array(found, float)).tolist()
 
     placed = cut(map_columns(groups, ["gid", "embedding"], place, "gid long, embedding array<double>, leaves array<long>"))
     asked = cut(queries.select("vec_id").join(good, "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
