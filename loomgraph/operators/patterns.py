@@ -17,20 +17,26 @@ def ordered_arcs(edges: DataFrame) -> DataFrame:
     return there.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("seq") * 2 + 1).alias("seq")))
 
 
-def ranked_ego(nodes: DataFrame, arcs: DataFrame, radius: int) -> DataFrame:
-    """(center, node, depth, rank): rank is the place inside its depth, in order of discovery."""
-    seen = nodes.select(F.col("id").alias("center"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit(1).alias("rank"))
-    front = seen
+def found_ego(nodes: DataFrame, arcs: DataFrame, radius: int) -> DataFrame:
+    """(center, node, depth, rank): rank holds the arcs' seq on the way from the centre, the first of the
+    shortest ways; nodes of one depth are discovered in its order."""
+    seen = nodes.select(F.col("id").alias("center"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("rank"))
     for d in range(1, radius + 1):
-        step = front.join(arcs, F.col("node") == F.col("src")).groupBy("center", F.col("dst").alias("node")).agg(F.min(F.struct("rank", "seq")).alias("first"))
-        step = step.join(seen.select("center", "node"), ["center", "node"], "left_anti")
-        place = F.row_number().over(Window.partitionBy("center").orderBy("first"))
-        front = step.select("center", "node", F.lit(d).alias("depth"), place.alias("rank"))
-        front = settled(front)
-        seen = seen.union(front)
+        way = F.concat("rank", F.array(F.col("seq").cast("long")))
+        step = seen.where(F.col("depth") == d - 1).join(arcs, F.col("node") == F.col("src")).select("center", F.col("dst").alias("node"), F.lit(d).alias("depth"), way.alias("rank"))
+        # What was seen before has a smaller depth, so one aggregate drops it and settles the order.
+        seen = seen.union(step).groupBy("center", "node").agg(F.min(F.struct("depth", "rank")).alias("first")).select("center", "node", "first.*")
+        if d < radius:
+            seen = settled(seen)
     return seen
 
 
+def ranked_ego(nodes: DataFrame, arcs: DataFrame, radius: int) -> DataFrame:
+    """(center, node, depth, rank): rank is the place inside its depth, in order of discovery."""
+    place = F.row_number().over(Window.partitionBy("center", "depth").orderBy("rank", "node"))
+    return found_ego(nodes, arcs, radius).withColumn("rank", place)
+
+
 def wrap32(value: Column) -> Column:
     """A long brought into the range of signed 32-bit integers."""
     return F.pmod(value + F.lit(2147483648), F.lit(4294967296)) - F.lit(2147483648)
@@ -40,41 +46,102 @@ def _pair_hash(a: Column, b: Column) -> Column:
     return wrap32(wrap32(F.lit(31) * (F.lit(31) + a)) + b)
 
 
-def coloured(nodes: DataFrame, egos: DataFrame, arcs: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(center, node, depth, rank, label, colour) of egos(center, node, depth, rank), and the arcs inside them.
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
-    Colours start from depth and label and are refined by the sorted colours of the neighbours
-    inside the ego.
+def leaning(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(id, label, out): a node's arcs towards nodes of larger (degree, id), loops included, null where it has none.
+
+    However large a hub is, it leans on at most about sqrt(number of arcs) others, so that lists stay
+    short and an ego is not joined to all arcs of a hub in it.
     """
-    labelled = egos.join(nodes.select(F.col("id").alias("node"), "label"), "node")
-    state = labelled.withColumn("colour", _pair_hash(F.col("depth").cast("long"), F.col("label").cast("long")))
-    one = egos.select("center", F.col("node").alias("src"))
-    two = egos.select("center", F.col("node").alias("dst"))
-    inside = one.join(arcs.select("src", "dst"), "src").join(two, ["center", "dst"]).select("center", "src", "dst")
-    inside, state = settled(inside), settled(state)
+    degree = arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
+    one, two = degree.toDF("src", "sd"), degree.toDF("dst", "dd")
+    some = arcs.select("src", "dst").join(one, "src").join(two, "dst").where(F.struct(F.col("sd").alias("d"), F.col("src").alias("id")) <= F.struct(F.col("dd").alias("d"), F.col("dst").alias("id")))
+    out = some.groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("out"))
+    return nodes.select("id", "label").join(out, "id", "left")
+
+
+def ego_rows(nodes: DataFrame, egos: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(center, members) of egos(center, node, depth, rank) and arcs in both directions, repeats kept.
+
+    members lists an ego as (i, node, depth, label, near) in order of discovery: i is the place, near the
+    places of the neighbours inside the ego. After one exchange by centre all steps stay in place, and
+    an ego becomes a row only at the end.
+    """
+    known = egos.join(leaning(nodes, arcs), F.col("node") == F.col("id")).repartition("center")
+    place = F.row_number().over(Window.partitionBy("center").orderBy("depth", "rank", "node")) - 1
+    rows = known.select("center", "node", "depth", "label", "out", place.alias("i"))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+
+    def entry(**given: Column) -> Column:
+        names = ("i", "node", "depth", "label", "far")
+        return F.struct(*(given.get(n, F.lit(None)).cast(kinds["i"] if n == "far" else kinds[n]).alias(n) for n in names))
+
+    def met(rows: DataFrame, ends: Column, key: str) -> DataFrame:
+        """The rows themselves and their ends, as one row per centre and key."""
+        itself = entry(i=F.col("i"), node=F.col("node"), depth=F.col("depth"), label=F.col("label"))
+        every = rows.select("center", F.explode(F.concat(F.array(itself), ends)).alias("e")).select("center", "e.*")
+        rest = [F.max(n).alias(n) for n in ("i", "node", "depth", "label") if n != key]
+        return every.groupBy("center", key).agg(*rest, F.collect_list("far").alias("near"))
+
+    none = F.array().cast(rows.schema["out"].dataType)
+    rows = met(rows, F.transform(F.coalesce("out", none), lambda x: entry(node=x, far=F.col("i"))), "node").where("i is not null")
+    there = F.transform("near", lambda x: entry(i=F.col("i"), far=x))
+    back = F.transform(F.filter("near", lambda x: x != F.col("i")), lambda x: entry(i=x, far=F.col("i")))
+    rows = met(rows, F.concat(there, back), "i")
+    return rows.groupBy("center").agg(F.array_sort(F.collect_list(F.struct("i", "node", "depth", "label", "near"))).alias("members"))
+
+
+def colours(rounds: int) -> Column:
+    """The members' colours: they start from depth and label and are refined by the neighbours' sorted colours."""
+    members = F.col("members")
+
+    def refined(now: Column) -> Column:
+        def fold(near: Column) -> Column:
+            return F.aggregate(F.array_sort(F.transform(near, lambda j: F.get(now, j))), F.lit(1).cast("long"), lambda h, x: wrap32(F.lit(31) * h + x))
+
+        return F.zip_with(members, now, lambda m, own: _pair_hash(own, fold(m["near"])))
+
+    now = F.transform(members, lambda m: _pair_hash(m["depth"].cast("long"), m["label"].cast("long")))
     for _ in range(rounds):
-        near = inside.join(state.select("center", F.col("node").alias("dst"), "colour"), ["center", "dst"])
-        near = near.groupBy("center", F.col("src").alias("node")).agg(F.array_sort(F.collect_list("colour")).alias("near"))
-        fold = F.aggregate(F.coalesce("near", F.array().cast("array<bigint>")), F.lit(1).cast("long"), lambda h, x: wrap32(F.lit(31) * h + x))
-        state = state.join(near, ["center", "node"], "left").withColumn("colour", _pair_hash(F.col("colour"), fold)).drop("near")
-        state = settled(state)
-    return state, inside
+        now = _let(now, refined)
+    return now
+
+
+def coloured(nodes: DataFrame, egos: DataFrame, arcs: DataFrame, rounds: int = 2) -> DataFrame:
+    """(center, node, depth, label, colour) of egos(center, node, depth, rank)."""
+    pairs = F.zip_with("members", colours(rounds), lambda m, c: F.struct(m["node"].alias("node"), m["depth"].alias("depth"), m["label"].alias("label"), c.alias("colour")))
+    return ego_rows(nodes, egos, arcs).select("center", F.explode(pairs).alias("m")).select("center", "m.*")
+
+
+def form(rounds: int = 2) -> Column:
+    """The canonical text of members: nodes by (colour, depth, label), ties in order of discovery."""
+    order = F.array_sort(F.zip_with("members", colours(rounds), lambda m, c: F.struct(c.alias("c"), m["depth"].alias("d"), m["label"].alias("l"), m["i"].alias("i"), m["near"].alias("near"))))
+
+    def place(order: Column) -> Column:
+        by = F.array_sort(F.transform(order, lambda x, k: F.struct(x["i"].alias("i"), k.alias("k"))))
+        return F.transform(by, lambda x: x["k"])
+
+    def text(order: Column, place: Column) -> Column:
+        def node(x: Column, k: Column) -> Column:
+            near = F.array_sort(F.transform(x["near"], lambda j: F.get(place, j)))
+            return F.concat(F.lit("("), k, F.lit(":c="), x["c"], F.lit(",d="), x["d"], F.lit(",l="), x["l"], F.lit("→["), F.array_join(near.cast("array<string>"), ", "), F.lit("])"))
+
+        return F.array_join(F.transform(order, node), ";")
+
+    return _let(order, lambda o: _let(place(o), lambda p: text(o, p)))
 
 
 def canonical_forms(nodes: DataFrame, egos: DataFrame, arcs: DataFrame, rounds: int = 2) -> DataFrame:
-    """(center, canonical) of egos(center, node, depth, rank).
+    """(center, canonical, center_label, center_degree) of egos(center, node, depth, rank).
 
-    The text lists the nodes by (colour, depth, label), ties in order of discovery, so equal texts
-    mean isomorphic egos, but not the other way round.
+    Equal texts mean isomorphic egos, but not the other way round.
     """
-    state, inside = coloured(nodes, egos, arcs, rounds)
-    order = Window.partitionBy("center").orderBy("colour", "depth", "label", "rank")
-    state = settled(state.withColumn("i", F.row_number().over(order) - 1))
-    near = inside.join(state.select("center", F.col("node").alias("dst"), F.col("i").alias("j")), ["center", "dst"])
-    near = near.groupBy("center", F.col("src").alias("node")).agg(F.array_sort(F.collect_list("j")).alias("near"))
-    text = F.concat(F.lit("("), "i", F.lit(":c="), "colour", F.lit(",d="), "depth", F.lit(",l="), "label", F.lit("→["), F.coalesce(F.array_join("near", ", "), F.lit("")), F.lit("])"))
-    parts = state.join(near, ["center", "node"], "left").select("center", "i", text.alias("text")).groupBy("center").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("parts"))
-    return parts.select("center", F.array_join(F.transform("parts", lambda p: p["text"]), ";").alias("canonical"))
+    degree = F.size(F.filter("members", lambda m: m["depth"] == 1)).cast("long")
+    return ego_rows(nodes, egos, arcs).select("center", form(rounds).alias("canonical"), F.get("members", F.lit(0))["label"].alias("center_label"), degree.alias("center_degree"))
 
 
 def extract_patterns(nodes: DataFrame, arcs: DataFrame, radius: int, egos: DataFrame | None = None, by: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -85,9 +152,11 @@ def extract_patterns(nodes: DataFrame, arcs: DataFrame, radius: int, egos: DataF
     """
     if radius < 1:
         raise ValueError("radius must be at least 1")
-    egos = (ranked_ego(nodes, arcs, radius) if egos is None else egos).where(F.col("depth") <= radius)
-    degree = egos.groupBy("center").agg(F.count_if(F.col("depth") == 1).alias("center_degree"))
-    forms = canonical_forms(nodes, egos, arcs).join(degree, "center").join(nodes.select(F.col("id").alias("center"), F.col("label").alias("center_label")), "center")
+    if egos is None:
+        arcs = settled(arcs)
+        egos = found_ego(nodes, arcs, radius)
+    egos = egos.where(F.col("depth") <= radius)
+    forms = canonical_forms(nodes, egos, arcs)
     # Equal forms have equal labels and degrees at the centre.
     graph = [] if by is None else [by(F.col("center")).alias("graph")]
     return settled(forms.groupBy(*graph, "canonical").agg(F.min("center").alias("pattern_id"), F.first("center_label").alias("center_label"), F.count("*").alias("frequency"), F.first("center_degree").alias("center_degree")).select(*(["graph"] if graph else []), "pattern_id", "center_label", "frequency", "center_degree", "canonical"))
@@ -101,7 +170,7 @@ def learnt_paths(nodes: DataFrame, arcs: DataFrame, max_radius: int, by: Callabl
     its paths, while the pairs grow with the square of the patterns that share one.
     """
     nodes, arcs = settled(nodes), settled(arcs)
-    egos = ranked_ego(nodes, arcs, max_radius)
+    egos = settled(found_ego(nodes, arcs, max_radius))
     found, keys, paths = None, None, None
     for r in range(1, max_radius + 1):
         found = extract_patterns(nodes, arcs, r, egos, by)
@@ -117,7 +186,7 @@ def summaries(nodes: DataFrame, arcs: DataFrame, radius: int) -> DataFrame:
     """(pattern_id, summary): a pattern's figures, then the nodes of each hop of its named ego in order of
     discovery, each with its neighbours in the same and in the next hop."""
     nodes, arcs = settled(nodes), settled(arcs)
-    egos = ranked_ego(nodes, arcs, radius)
+    egos = settled(ranked_ego(nodes, arcs, radius))
     found = extract_patterns(nodes, arcs, radius, egos)
     some = egos.join(found.select(F.col("pattern_id").alias("center")), "center", "left_semi").join(nodes.select(F.col("id").alias("node"), "label"), "node")
     some = settled(some.withColumn("text", F.concat("node", F.lit("("), "label", F.lit(")"))))
@@ -147,7 +216,7 @@ def summaries(nodes: DataFrame, arcs: DataFrame, radius: int) -> DataFrame:
 
 def pattern_of(nodes: DataFrame, arcs: DataFrame, radius: int) -> DataFrame:
     """(node, pattern): the pattern of each node's ego, named by its smallest centre."""
-    forms = settled(canonical_forms(nodes, ranked_ego(nodes, arcs, radius), arcs))
+    forms = settled(canonical_forms(nodes, found_ego(nodes, arcs, radius), arcs))
     ids = forms.groupBy("canonical").agg(F.min("center").alias("pattern"))
     return forms.join(ids, "canonical").select(F.col("center").alias("node"), "pattern")
 

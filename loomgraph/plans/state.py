@@ -104,12 +104,12 @@ def _numbered_chain(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
 
 def _colours(spark: SparkSession, sf: str) -> DataFrame:
     nodes, arcs = _numbered_chain(spark, sf)
-    return P.coloured(nodes, P.ranked_ego(nodes, arcs, 1), arcs)[0].select("center", "node", "colour")
+    return P.coloured(nodes, P.ranked_ego(nodes, arcs, 1), arcs).select("center", "node", "colour")
 
 
 def _forms(spark: SparkSession, sf: str) -> DataFrame:
     nodes, arcs = _numbered_chain(spark, sf)
-    return P.canonical_forms(nodes, P.ranked_ego(nodes, arcs, 1), arcs)
+    return P.canonical_forms(nodes, P.found_ego(nodes, arcs, 1), arcs).select("center", "canonical")
 
 
 def _labels_of(spark: SparkSession, sf: str) -> DataFrame:
