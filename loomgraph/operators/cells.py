@@ -52,7 +52,7 @@ def forced(domains: DataFrame) -> DataFrame:
 def _weighted(domains: DataFrame, patterns: DataFrame) -> DataFrame:
     """One row per cell and pattern of its domain, with the place in it and the frequency."""
     each = domains.select("run", "cell", "pos", F.posexplode("domain").alias("k", "id"))
-    return each.join(F.broadcast(patterns.select("id", "frequency")), "id")
+    return each.join(patterns.select("id", "frequency"), "id")
 
 
 def entropies(domains: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def candidates(open_ends: DataFrame, near: DataFrame, compat: DataFrame) -> Data
     one = compat.where("radius = 1").select(F.col("a").alias("pu"), F.col("b").alias("pv"))
     u = open_ends.select("run", F.col("cell").alias("u"), F.col("pattern").alias("pu"))
     v = open_ends.select("run", F.col("cell").alias("v"), F.col("pattern").alias("pv"))
-    pairs = u.join(F.broadcast(one), "pu").join(v, ["run", "pv"]).where("u < v")
+    pairs = u.join(one, "pu").join(v, ["run", "pv"]).where("u < v")
     return pairs.join(near.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_anti").select("run", "u", "v", "pu", "pv")
 
 

@@ -42,7 +42,7 @@ class Snapshot:
         self.patterns = spark.createDataFrame(PATTERNS, "id int, frequency int, degree int")
         self.keys = spark.createDataFrame(KEYS, "radius int, a int")
         self.compat = spark.createDataFrame(COMPAT, "radius int, a int, b int")
-        self.degrees = self.cells.where("pattern is not null").join(F.broadcast(self.patterns.withColumnRenamed("id", "pattern")), "pattern")
+        self.degrees = self.cells.where("pattern is not null").join(self.patterns.withColumnRenamed("id", "pattern"), "pattern")
 
     def pruned(self) -> DataFrame:
         return C.pruned(self.cells, self.near, self.keys, self.compat, 2)
