@@ -38,3 +38,24 @@ def test_leaves_of_a_hub_are_walked_from_once(spark):
     (hub,) = G.hubs_of(arcs, "src", 4).collect()
     assert hub.parts == 28
     assert {(r.depth, r.n_nodes) for r in G.layer_sizes(nodes, arcs, 2, 4).where("center > 0").collect()} == {(1, 1), (2, 2_999)}
+
+
+def test_common_neighbours_are_summed_by_tiles(spark):
+    """Ids over three blocks, many common neighbours: the sums of a plain loop; pairs never meet as rows."""
+    rng = random.Random(4)
+    edges = sorted({(rng.randrange(2_300), -1 - rng.randrange(5)) for _ in range(1_500)} | {(5, 5)})
+    arcs = G.arcs_of(spark.createDataFrame(edges, "src long, dst long"))
+    near = {}
+    for u, v in edges:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    want = {}
+    for of in near.values():
+        for u in of:
+            for v in of:
+                if u < v:
+                    want[u, v] = want.get((u, v), 0) + 1 / len(of)
+    found = G.resource_allocation(arcs)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    got = {(r.u, r.v): r.score for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
