@@ -19,12 +19,12 @@ def _folder(spark: SparkSession) -> str:
 
 
 #: Rows of a shuffled table that one task takes in.
-TASK_ROWS = 1_000_000
+TASK_ROWS = 150_000
 
 
-def tasks(spark: SparkSession, rows: int, each: int = TASK_ROWS) -> int:
+def tasks(spark: SparkSession, rows: int, each: int | None = None) -> int:
     """How many parts a table of so many rows is shuffled into: a task's memory does not grow with the table."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // (each or TASK_ROWS)))
 
 
 def settled(df: DataFrame) -> DataFrame:

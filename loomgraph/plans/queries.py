@@ -66,7 +66,7 @@ QUERIES = {
     "graph_arcs": _with(lambda n, a: a),
     "expansion_cap": _with(lambda n, a: G.expansion_cap(n, a)),
     "ego_networks": _with(lambda n, a: G.ego(n, a, 2)),
-    "ego_layers": _with(lambda n, a: G.ego(n, a, 2).groupBy("center", "depth").agg(F.count("*").alias("n_nodes"))),
+    "ego_layers": _with(lambda n, a: G.layer_counts(n, a, 2)),
     "induced_arcs": _with(lambda n, a: G.induced(G.ego(n, a, 2), a)),
     "node_degree": _with(lambda n, a: n.join(a.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("c")), "id", "left").select("id", F.coalesce("c", F.lit(0)).alias("degree"))),
     "neighbour_lists": _with(lambda n, a: G.neighbours(n, a).select("id", F.array_join("near", ",").alias("near"))),

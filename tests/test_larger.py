@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph as G
+from loomgraph.operators import lineage
 from loomgraph.operators import patterns as P
 
 
@@ -82,3 +83,13 @@ def test_an_ego_over_several_batches():
     for size in (1, 2, 4, 6):
         got = [r for b in P._met(iter(rows.to_batches(size))) for r in b.to_pylist()]
         assert [{"center": r["center"], "near": [sorted(m["near"]) for m in r["members"]]} for r in got] == want
+
+
+def test_layers_are_counted_in_parts_of_the_arcs(spark, monkeypatch):
+    """More arcs make more parts, not larger ones; the counts are those of the listed egos."""
+    nodes, arcs = _graph(spark, 5)
+    want = sorted(map(tuple, G.ego(nodes, arcs, 2).groupBy("center", "depth").count().collect()))
+    monkeypatch.setattr(lineage, "TASK_ROWS", 20)
+    found = G.layer_counts(nodes, arcs, 2)
+    assert sorted(map(tuple, found.collect())) == want
+    assert found.rdd.getNumPartitions() == -(-arcs.count() // 20) > 4
