@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import buffer, pack, string_codes, unpack
-from .common import sliced, table
+from .common import release, sliced, table
 
 SPACE = "▁"
 #: Words of more characters are merged by a queue instead of bit masks of 64-bit integers.
 MASKED = 62
 #: Bytes of texts whose distinct words are asked for together.
 BLOCK = 10 << 20
+#: Bytes of texts that are cut into words at a time.
+PART = 1 << 20
 
 
 def _processor(path: str):
@@ -52,13 +54,8 @@ def joints(pieces: list[str]) -> np.ndarray:
     return out
 
 
-def words_of(column: pa.Array, joined: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct words in order, number of each word among them, n + 1 bounds of each text's words).
-
-    Texts get a leading blank and read U+2581 as one; a text's words joined are the text. An empty or
-    null one has none. Words are told apart by 64-bit codes.
-    """
-    column = pc.fill_null(column, "")
+def _words(column: pa.Array, joined: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words as they come up, their codes, number of each word among them, words of each text)."""
     if pc.any(pc.match_substring(column, SPACE)).as_py():
         column = pc.replace_substring(column, SPACE, " ")
     raw, at = buffer(column)
@@ -66,18 +63,40 @@ def words_of(column: pa.Array, joined: np.ndarray) -> tuple[pa.Array, np.ndarray
     raw = np.insert(raw, at[full], 32)
     at = at + np.searchsorted(full, np.arange(len(at)))
     if not len(raw):
-        return pa.array([], pa.string()), np.empty(0, np.int64), np.zeros(len(at), np.int64)
-    first = np.empty(len(raw), bool)
-    first[1:] = ~joined[(raw[:-1].astype(np.uint16) << 8) | raw[1:]]
-    first[at[:-1][at[:-1] < len(raw)]] = True
-    start = np.flatnonzero(first)
-    _, one, number = np.unique(string_codes(raw, start), return_index=True, return_inverse=True)
-    every = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.r_[start, len(raw)]), pa.py_buffer(raw))
-    kinds = every.take(pa.array(one)).cast(pa.string())
+        return pa.array([], pa.string()), np.empty(0, np.uint64), np.empty(0, np.int32), np.zeros(len(column), np.int64)
+    first = np.empty(len(raw) + 1, bool)
+    first[1:-1] = ~joined[(raw[:-1].astype(np.uint16) << 8) | raw[1:]]
+    first[at] = True
+    bound = np.flatnonzero(first)
+    codes = pa.array(string_codes(raw, bound[:-1])).dictionary_encode()
+    every = pa.LargeStringArray.from_buffers(len(bound) - 1, pa.py_buffer(bound), pa.py_buffer(raw))
+    return every.take(pa.array(_firsts(codes))).cast(pa.string()), codes.dictionary.to_numpy(), codes.indices.to_numpy(), np.diff(np.searchsorted(bound[:-1], at))
+
+
+def _firsts(codes: pa.DictionaryArray) -> np.ndarray:
+    """The first place of each code; they are numbered as they come up."""
+    return np.searchsorted(np.maximum.accumulate(codes.indices.to_numpy()), np.arange(len(codes.dictionary)))
+
+
+def words_of(column: pa.Array, joined: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words in order, number of each word among them, n + 1 bounds of each text's words).
+
+    Texts get a leading blank and read U+2581 as one; a text's words joined are the text. An empty or
+    null one has none. Words are told apart by 64-bit codes. Texts are cut a few at a time, as what is
+    held for that is many times their size; of each time only the distinct words and the numbers stay.
+    """
+    column = pc.fill_null(column, "")
+    parts = [_words(some.column(0), joined) for some in sliced(pa.RecordBatch.from_arrays([column], names=["text"]), PART)]
+    if not parts:
+        return pa.array([], pa.string()), np.empty(0, np.int32), np.zeros(1, np.int64)
+    codes = pa.array(np.concatenate([p[1] for p in parts])).dictionary_encode()
+    kinds = pa.concat_arrays([p[0] for p in parts]).take(pa.array(_firsts(codes)))
     order = pc.sort_indices(kinds).to_numpy()
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return kinds.take(pa.array(order)), place[number], np.searchsorted(start, at)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    place = np.split(place[codes.indices.to_numpy()], np.cumsum([len(p[1]) for p in parts])[:-1])
+    number = np.concatenate([own[p[2]] for own, p in zip(place, parts)])
+    return kinds.take(pa.array(order)), number, np.r_[0, np.cumsum(np.concatenate([p[3] for p in parts]))]
 
 
 def _bytes_of(char: Column, byte0: int) -> Column:
@@ -272,10 +291,13 @@ def encode(docs: DataFrame, path: str, words=merged_words) -> DataFrame:
         return kinds, numbers, bounds, int(np.uint64(mark).astype(np.int64))
 
     def ask(batches):
+        release()
         for batch in batches:
             for some in sliced(batch, BLOCK):
                 kinds, _, _, mark = marked(some)
                 yield pa.RecordBatch.from_arrays([kinds, pa.array(np.full(len(kinds), mark)), pa.array(np.arange(len(kinds), dtype=np.int32))], names=["word", "block", "number"])
+                del kinds
+                release()
 
     asked = docs.select("text", "row").mapInArrow(ask, "word string not null, block long, number int").repartition("word")
     # The distinct words come from the exchange of the requests: all its columns are used here, and no
@@ -284,6 +306,7 @@ def encode(docs: DataFrame, path: str, words=merged_words) -> DataFrame:
     folded = words(kinds.select("word", F.when((F.col("n") >= 0) & F.col("b").isNotNull(), F.col("word")).alias("w")), pieces, byte0)
 
     def answer(batches):
+        release()
         found = []
         for batch in batches:
             ids, word = batch.column("ids"), batch.column("word")
@@ -313,6 +336,7 @@ def encode(docs: DataFrame, path: str, words=merged_words) -> DataFrame:
     answers = asked.join(folded, "word", "left").select("word", "block", "number", "ids").mapInArrow(answer, "block long, pieces binary, texts binary")
 
     def number(batches):
+        release()
         for batch in batches:
             for some in sliced(batch, BLOCK):
                 kinds, numbers, bounds, mark = marked(some)
@@ -322,10 +346,13 @@ def encode(docs: DataFrame, path: str, words=merged_words) -> DataFrame:
                 names = np.frombuffer(sink.getvalue(), np.uint8)
                 texts = pack(names, np.array([len(kinds)], np.uint32), np.diff(bounds).astype(np.uint32), numbers.astype(np.uint32))
                 yield pa.RecordBatch.from_arrays([pa.array([mark], pa.int64()), pa.array([None], pa.binary()), pa.array([texts], pa.binary())], names=["block", "pieces", "texts"])
+                del kinds, numbers, bounds, names, texts
+                release()
 
     numbered = docs.mapInArrow(number, "block long, pieces binary, texts binary")
 
     def assemble(batches):
+        release()
         answered: dict[int, list[bytes]] = {}
         texts: dict[int, list[bytes]] = {}
         for batch in batches:
