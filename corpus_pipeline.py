@@ -13,7 +13,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold go; null and empty texts score by the class shares alone."""
+    """Documents whose score reaches the threshold go; null and empty texts score by the shift alone."""
     return toxicity.keep_ordinary(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ DISCOUNT = 0.75
 SIGMAS = (3.0, 5.0)
 #: Folds of the fitted rows.
 FOLDS = 5
+#: Words of a text that count by themselves, besides the mean of all: a few bad words tell, however long the text.
+PEAKS = 2
 STRIP = ".,;:!?\"'()[]"
 
 
@@ -37,7 +39,7 @@ class Model:
     keys: np.ndarray
     own: np.ndarray
     backoff: np.ndarray
-    slope: float = 1.0
+    slopes: np.ndarray = field(default_factory=lambda: np.zeros(1 + PEAKS))
     shift: float = 0.0
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -50,18 +52,20 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.own[:, at], 0.0) + self.backoff[:, v] * self.unigram[:, w]
 
-    def mean_ratio(self, text: str | None) -> float:
-        """Mean per word of ln P(text | toxic) - ln P(text | ordinary); 0 without words."""
-        return self.ratio_of(self.encode(text))
-
-    def ratio_of(self, w: np.ndarray) -> float:
-        if not len(w):
-            return 0.0
-        p = np.log(self.probabilities(np.r_[0, w[:-1]], w))
-        return float((p[1] - p[0]).mean())
+    def evidence(self, w: np.ndarray) -> np.ndarray:
+        """Of ln P(word | toxic) - ln P(word | ordinary), each after its left neighbour: the mean of all words and
+        the PEAKS largest, in falling order; 0 for those that the text is too short for."""
+        out = np.zeros(1 + PEAKS)
+        if len(w):
+            p = np.log(self.probabilities(np.r_[0, w[:-1]], w))
+            ratio = p[1] - p[0]
+            out[0] = ratio.mean()
+            top = np.sort(np.partition(ratio, -PEAKS)[-PEAKS:] if len(w) > PEAKS else ratio)[::-1]
+            out[1 : 1 + len(top)] = top
+        return out
 
     def score(self, text: str | None) -> float:
-        z = self.slope * self.mean_ratio(text) + self.shift
+        z = self.evidence(self.encode(text)) @ self.slopes + self.shift
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
@@ -145,21 +149,44 @@ def _fit(coded: list[np.ndarray], labels: np.ndarray, n_words: int, sigmas: floa
     return Model({}, unigram, keys[some], part[:, some], backoff), place
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic regression on one feature with a light ridge, by Newton steps."""
-    scale = x.std() or 1.0
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x / scale + b, -30, 30)))
-        d = weight * (p - y)
-        g = np.array([(d * x / scale).sum() + 0.1 * a, d.sum() + 0.001 * b])
-        q = weight * p * (1 - p)
-        h = np.array([[(q * x * x).sum() / scale**2 + 0.1, (q * x).sum() / scale], [(q * x).sum() / scale, q.sum() + 0.001]])
-        step = np.clip(np.linalg.solve(h, g), -2, 2)
-        a, b = a - step[0], b - step[1]
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Slopes and shift of the weighted logistic regression with a light ridge, by Newton steps that are halved
+    while they do not lessen the loss."""
+    one = np.c_[x, np.ones(len(x))]
+    ridge = np.r_[np.full(x.shape[1], 0.1), 0.001]
+
+    def loss(a: np.ndarray) -> float:
+        return float((weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (one @ a))).sum() + (ridge * a * a).sum() / 2)
+
+    a = np.zeros(one.shape[1])
+    least = loss(a)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(one @ a, -30, 30)))
+        h = (one * (weight * p * (1 - p))[:, None]).T @ one + np.diag(ridge)
+        step = np.linalg.solve(h, one.T @ (weight * (p - y)) + ridge * a)
+        while abs(step).max() >= 1e-8 and loss(a - step) > least:
+            step = step / 2
         if abs(step).max() < 1e-8:
             break
-    return a / scale, b
+        a = a - step
+        least = loss(a)
+    return a
+
+
+def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """The logistic regression on the columns of x without those whose slopes would be negative, so that no
+    larger ratio lowers a score."""
+    scale = x.std(0)
+    scale = np.where(scale > 0, scale, 1.0)
+    used = np.arange(x.shape[1])
+    while True:
+        a = _logistic(x[:, used] / scale[used], y, weight)
+        if not len(used) or a[:-1].min() >= 0:
+            break
+        used = np.delete(used, a[:-1].argmin())
+    slopes = np.zeros(x.shape[1])
+    slopes[used] = a[:-1] / scale[used]
+    return slopes, float(a[-1])
 
 
 def train(rows: list[tuple[str | None, int]], stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
@@ -180,31 +207,32 @@ def train(rows: list[tuple[str | None, int]], stands_for: tuple[float, float] =
 
     if not len(y) or y.min() == y.max():
         model = whole(SIGMAS[0])
-        model.slope, model.shift = 0.0, 5.0 if len(y) and y[0] else -5.0
+        model.shift = 5.0 if len(y) and y[0] else -5.0
         return model
     weight = np.where(y == 1, stands_for[1], stands_for[0])
     fold = np.array([hash_of(t) % FOLDS for t in texts])
 
-    def ratios(sigmas: float) -> np.ndarray:
-        x = np.zeros(len(y))
+    def evidence(sigmas: float) -> np.ndarray:
+        x = np.zeros((len(y), 1 + PEAKS))
         for k in range(FOLDS):
             part, place = _fit([c for c, f in zip(coded, fold) if f != k], y[fold != k], len(names), sigmas)
-            x[fold == k] = [part.ratio_of(place[c]) for c, f in zip(coded, fold) if f == k]
+            for i in np.flatnonzero(fold == k):
+                x[i] = part.evidence(place[coded[i]])
         return x
 
-    every = {sigmas: ratios(sigmas) for sigmas in SIGMAS}
+    every = {sigmas: evidence(sigmas) for sigmas in SIGMAS}
     sigmas = min(SIGMAS, key=lambda g: _loss(every[g], y, weight))
     model = whole(sigmas)
-    model.slope, model.shift = _calibrate(every[sigmas], y, weight)
+    model.slopes, model.shift = _calibrate(every[sigmas], y, weight)
     return model
 
 
 def _loss(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The calibrated log loss of one feature."""
+    """The calibrated log loss of the columns of x."""
     if not len(x):
         return 0.0
-    slope, shift = _calibrate(x, y, weight)
-    z = np.where(y == 1, 1, -1) * (slope * x + shift)
+    slopes, shift = _calibrate(x, y, weight)
+    z = np.where(y == 1, 1, -1) * (x @ slopes + shift)
     return float((weight * np.logaddexp(0, -z)).sum())
 
 
@@ -244,7 +272,7 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row.
 
-    Null, empty and wordless texts score by the class shares alone; texts are scored whole; repeated
+    Null, empty and wordless texts have no evidence and score by the shift alone; texts are scored whole; repeated
     rows and ids each have their row; an empty table gives none; other columns are not read. The
     model is bounded by the fitted rows, so it is broadcast. A null doc_id is not held out.
     """
@@ -261,7 +289,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 def keep_ordinary(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of docs(text, ...) that score below the threshold, all columns as they are; null and empty
-    texts score by the class shares alone."""
+    texts score by the shift alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
