@@ -93,3 +93,23 @@ def test_layers_are_counted_in_parts_of_the_arcs(spark, monkeypatch):
     found = G.layer_counts(nodes, arcs, 2)
     assert sorted(map(tuple, found.collect())) == want
     assert found.rdd.getNumPartitions() == -(-arcs.count() // 20) > 4
+
+
+def test_a_hub_is_copied_no_faster_than_it_grows(spark, monkeypatch):
+    """Of two stars, one ten times the other, the parts stay 8 while rows fit: they were 28 and 87 at a limit of 4."""
+    rows = spark.createDataFrame([(3_000,), (30_000,), (2_000_000,)], "n long")
+    assert [r.p for r in rows.select(G.parts_of(F.col("n"), 4).alias("p")).collect()] == [8, 8, 20]
+    copied, plain = [], G.dealt
+
+    def counted(*args):
+        out = plain(*args)
+        copied.append((args[0].count(), out.count()))
+        return out
+
+    monkeypatch.setattr(G, "dealt", counted)
+    leaves = spark.range(1, 3_001)
+    nodes = leaves.select("id", F.lit(1).alias("label")).union(spark.createDataFrame([(0, 0)], "id long, label int"))
+    arcs = G.arcs_of(leaves.select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")))
+    found = G.split_ego(nodes, arcs, 2, 4)
+    assert found.count() == 3_001**2
+    assert all(out <= 8 * rows for rows, out in copied)
