@@ -113,3 +113,24 @@ def test_a_hub_is_copied_no_faster_than_it_grows(spark, monkeypatch):
     found = G.split_ego(nodes, arcs, 2, 4)
     assert found.count() == 3_001**2
     assert all(out <= 8 * rows for rows, out in copied)
+
+
+def test_tiles_shuffle_an_array_once_a_block(spark, monkeypatch):
+    """Twenty separate copies of a dense graph: arrays reach the tiles of their own blocks alone, so copies do
+    not grow with the table; the sums are those of every small block and of pairs made few at a time."""
+    rng = random.Random(8)
+    edges = {(100 * k + rng.randrange(60), -1 - 10 * k - rng.randrange(6)) for k in range(20) for _ in range(250)}
+    arcs = G.arcs_of(spark.createDataFrame(sorted(edges), "src long, dst long"))
+
+    def run():
+        return {(r.u, r.v): r.score for r in G.resource_allocation(arcs).collect()}
+
+    want = run()
+    monkeypatch.setattr(G, "BLOCK_ARCS", 300)
+    for at_once in (1_000, 7):
+        monkeypatch.setattr(G, "PAIRS_AT_ONCE", at_once)
+        got = run()
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    chunks = G.tile_sums(arcs, arcs.count(), 100_000)
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
